@@ -13,20 +13,37 @@ from pyspark.sql import functions as F
 
 # Rows of a dense integer position (line number, scanline) per block.
 LINES_PER_BLOCK = 65536
+# Table rows per block.
+ROWS_PER_BLOCK = 4096
 # Words of one emission range; a dense spot on a page is spread by it.
 WORDS_PER_SALT = 1 << 22
 # A block of coordinates spans this many tolerances; it bounds the marks (row or cluster starts) of a block.
 TOLERANCES_PER_BLOCK = 256
+# Block 0 starts this part of a block width below zero.
+BLOCK_LEAD = 32
 # Blocks per super-block in chains of blocks.
 BLOCKS_PER_SUPER = 1024
 
 
 def int_block(position: Column, size: int = LINES_PER_BLOCK) -> Column:
-    return F.floor(position / F.lit(size)).cast("bigint")
+    """Block of an integer position; ``size`` is a power of two.
+
+    A shift is never null for a position that is not null. Spark adds null checks for a quotient, and those would keep two
+    readings of one table from sharing their shuffle.
+    """
+    if size < 1 or size & (size - 1):
+        raise ValueError(f"block sizes are powers of two, not {size}")
+    return F.shiftright(position.cast("bigint"), size.bit_length() - 1)
 
 
 def value_block(value: Column, width: float) -> Column:
-    return F.floor(value / F.lit(float(width))).cast("bigint")
+    """Blocks of coordinates. Block 0 starts a little below zero, so that the usual first values lie well inside it."""
+    return F.floor((value + F.lit(width / BLOCK_LEAD)) * F.lit(1.0 / width)).cast("bigint")
+
+
+def block_top(block: Column, width: float) -> Column:
+    """A value that no value of the block lies below (give or take a rounding error)."""
+    return block * F.lit(float(width)) - F.lit(width / BLOCK_LEAD)
 
 
 def running_sum(counts: DataFrame, keys: list[str], path: list[str], n: str, before: str, total: str | None = None) -> DataFrame:
@@ -66,8 +83,8 @@ def number_rows(df: DataFrame, keys: list[str], path: list[Column], order: list,
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
-        .join(starts, [*keys, *names])
-        .withColumn(out, (F.col("_before") + F.col("_inside") - 1).cast("int"))
+        .join(starts, [*keys, *names], "left")
+        .withColumn(out, (F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1).cast("int"))
         .drop("_before", "_inside", *names)
     )
 
@@ -89,7 +106,7 @@ def lookup_by_block(rows: DataFrame, table: DataFrame, keys: list[str], block: C
 
 
 def assign_marks(rows: DataFrame, blocks: DataFrame, keys: list[str], value: str, width: float, ord_col: str | None, out: str) -> DataFrame:
-    """Give each row the number of the last mark at or below its value.
+    """Give each row the number of the last mark at or below its value; -1 for a row without a value.
 
     ``blocks`` has one row per ``keys`` and ``_vb`` (value block) with ``_salts`` (array of emission blocks met in it),
     ``_marks`` (array of struct(v, no)) and ``_carry`` (the number in force when the block starts). Marks are merged into the
@@ -106,13 +123,13 @@ def assign_marks(rows: DataFrame, blocks: DataFrame, keys: list[str], value: str
     order = Window.partitionBy(*keys, "_vb", "_salt").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.unionByName(marks, allowMissingColumns=True)
-        .withColumn(out, F.last("_no", ignorenulls=True).over(order).cast("int"))
+        .withColumn(out, F.coalesce(F.last("_no", ignorenulls=True).over(order), F.lit(-1)).cast("int"))
         .filter(F.col("_kind") == 1)
         .drop("_vb", "_salt", "_v", "_no", "_kind")
     )
 
 
-def value_sets(rows: DataFrame, keys: list[str], value: str, width: float, ord_col: str | None) -> DataFrame:
+def value_sets(rows: DataFrame, keys: list[str], value: str, width: float, ord_col: str | None, per_super: int = BLOCKS_PER_SUPER) -> DataFrame:
     """Distinct values per block (sorted) and the emission blocks met in it; copies collapse before the shuffle.
 
     Blocks are also numbered into super-blocks. The callers read this table more than once; its null filter and the filter
@@ -122,7 +139,7 @@ def value_sets(rows: DataFrame, keys: list[str], value: str, width: float, ord_c
     blocks = (
         rows.select(*keys, F.col(value).cast("double").alias("_v"), salt.alias("_salt"))
         .withColumn("_vb", value_block(F.col("_v"), width))
-        .withColumn("_sb", int_block(F.col("_vb"), BLOCKS_PER_SUPER))
+        .withColumn("_sb", int_block(F.col("_vb"), per_super))
     )
     for name in [*keys, "_vb", "_sb"]:
         blocks = blocks.filter(F.col(name).isNotNull())
@@ -133,12 +150,12 @@ def value_sets(rows: DataFrame, keys: list[str], value: str, width: float, ord_c
     )
 
 
-def gap_marks(rows: DataFrame, keys: list[str], value: str, gap: float, ord_col: str | None) -> tuple[DataFrame, float]:
+def gap_marks(rows: DataFrame, keys: list[str], value: str, gap: float, ord_col: str | None, span: int = TOLERANCES_PER_BLOCK) -> tuple[DataFrame, float]:
     """Group starts of a value column: a value starts a group when it is more than ``gap`` above the next lower value.
 
     Returns the block table for ``assign_marks`` and its block width.
     """
-    width = float(gap) * TOLERANCES_PER_BLOCK
+    width = float(gap) * span
     sets = value_sets(rows, keys, value, width, ord_col)
     inner = F.filter(F.col("_vs"), lambda v, i: (i > 0) & (v - F.get("_vs", i - 1) > gap))
     sets = sets.select(

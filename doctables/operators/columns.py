@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import CLUSTER_EPS, COLUMN_BOUNDARIES
-from doctables.operators.blocks import WORDS_PER_SALT, assign_marks, gap_marks, int_block, number_rows
+from doctables.operators.blocks import TOLERANCES_PER_BLOCK, WORDS_PER_SALT, assign_marks, gap_marks, int_block, number_rows
 
 LINE = ["doc_id", "page_no", "line_no"]
 
@@ -27,14 +27,14 @@ def bin_columns_fixed(words: DataFrame, boundaries=COLUMN_BOUNDARIES, x: str = "
     return words.filter(at < boundaries[-1]).withColumn(out, column)
 
 
-def cluster_columns_gap(words: DataFrame, keys: list[str] = LINE, x: str = "x", eps: float = CLUSTER_EPS, scale: float = 1.0, ord_col: str | None = "ord", out: str = "col_no") -> DataFrame:
+def cluster_columns_gap(words: DataFrame, keys: list[str] = LINE, x: str = "x", eps: float = CLUSTER_EPS, scale: float = 1.0, ord_col: str | None = "ord", out: str = "col_no", span: int = TOLERANCES_PER_BLOCK) -> DataFrame:
     """Cluster words along x: a gap of more than ``eps`` starts a new column (0-based, left to right).
 
     This is density clustering with a minimum of one point in one dimension, where clusters are the runs without a larger
     gap. ``keys`` is the line; with the page as key the columns are shared by all lines of the page.
     """
     scaled = words.withColumn("_x", F.col(x) * F.lit(float(scale)))
-    blocks, width = gap_marks(scaled, keys, "_x", eps, ord_col)
+    blocks, width = gap_marks(scaled, keys, "_x", eps, ord_col, span)
     return assign_marks(scaled, blocks, keys, "_x", width, ord_col, out).drop("_x")
 
 

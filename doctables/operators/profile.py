@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctables.operators.blocks import assign_marks, gap_marks, int_block, lookup_by_block, running_sum, value_block
+from doctables.operators.blocks import TOLERANCES_PER_BLOCK, assign_marks, gap_marks, int_block, lookup_by_block, running_sum, value_block
 
 PAGE_ID = ["page_id"]
 LINES_PER_CROP = 1024
@@ -40,15 +40,15 @@ def ink_profile(binary: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", ink:
     return binary.groupBy(*keys, y).agg(F.sum(F.col(ink).cast("bigint")).alias("ink"))
 
 
-def _banded(profile: DataFrame, keys: list[str], y: str) -> DataFrame:
+def _banded(profile: DataFrame, keys: list[str], y: str, span: int) -> DataFrame:
     inked = profile.filter(F.col("ink") > 0)
-    blocks, width = gap_marks(inked, keys, y, 1, None)
+    blocks, width = gap_marks(inked, keys, y, 1, None, span)
     return assign_marks(inked, blocks, keys, y, width, None, "band_no")
 
 
-def segment_bands(profile: DataFrame, keys: list[str] = PAGE_ID, y: str = "y") -> DataFrame:
+def segment_bands(profile: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", span: int = 16 * TOLERANCES_PER_BLOCK) -> DataFrame:
     """Runs of consecutive scanlines with ink, both ends inclusive, numbered from the top. Pages without ink have none."""
-    return _banded(profile, keys, y).groupBy(*keys, "band_no").agg(F.min(y).alias("y_start"), F.max(y).alias("y_end"))
+    return _banded(profile, keys, y, span).groupBy(*keys, "band_no").agg(F.min(y).alias("y_start"), F.max(y).alias("y_end"))
 
 
 def crop_bands(rows: DataFrame, bands: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", exclusive_end: bool = False) -> DataFrame:

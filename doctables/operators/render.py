@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import PAGE_BREAK
 from doctables.functions.text import csv_line, markdown_line
-from doctables.operators.blocks import int_block, lookup_by_block
+from doctables.operators.blocks import ROWS_PER_BLOCK, int_block, lookup_by_block
 from doctables.operators.lines import assemble_text
-from doctables.operators.shape import ROWS_PER_BLOCK
 
 PAGE = ["doc_id", "page_no"]
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import ROW_TOLERANCE
 from doctables.operators.blocks import (
+    BLOCKS_PER_SUPER,
     TOLERANCES_PER_BLOCK,
     WORDS_PER_SALT,
     assign_marks,
+    block_top,
     int_block,
     number_rows,
     value_block,
@@ -41,112 +43,80 @@ def sort_by_y(words: DataFrame, keys: list[str] = PAGE, y: str = "y", ord_col: s
     return number_rows(words, keys, path, [ord_col], out)
 
 
-def _follow(start: Column, items: Column) -> Column:
-    """A move (first anchor, last anchor, number of anchors) prolonged through a list of blocks."""
+def _step(state: str, move: str) -> tuple[str, str]:
+    """Last anchor and number of anchors after a block, entered in ``state``.
 
-    def step(state, item):
-        hit = F.get(F.filter(item["moves"], lambda m: m["first"] - state["last"] > item["tol"]), F.lit(0))
-        return F.struct(
-            state["first"].alias("first"),
-            F.coalesce(hit["last"], state["last"]).alias("last"),
-            (state["n"] + F.coalesce(hit["n"], F.lit(0))).alias("n"),
-        )
-
-    return F.aggregate(items, start, step)
-
-
-def _entries(items: str) -> Column:
-    """State in force when each block of an ordered list is entered, given the state before the list."""
-
-    def step(acc, item):
-        hit = F.get(F.filter(item["moves"], lambda m: m["first"] - acc["last"] > item["tol"]), F.lit(0))
-        return F.struct(
-            F.coalesce(hit["last"], acc["last"]).alias("last"),
-            (acc["n"] + F.coalesce(hit["n"], F.lit(0))).alias("n"),
-            F.array_append(acc["seen"], F.struct(item["at"].alias("at"), acc["last"].alias("last"), acc["n"].alias("n"))).alias("seen"),
-        )
-
-    none = F.expr("cast(array() as array<struct<at:bigint,last:double,n:int>>)")
-    start = F.struct(F.col("_last").alias("last"), F.col("_n").alias("n"), none.alias("seen"))
-    return F.aggregate(F.col(items), start, step)["seen"]
+    ``move`` picks the block's first start that lies more than the tolerance below the last anchor; a block without one
+    leaves the state as it is.
+    """
+    return f"coalesce({move}.last, {state}.last)", f"{state}.n + coalesce({move}.n, 0)"
 
 
-def anchor_marks(words: DataFrame, keys: list[str], y: str, tol: float, ord_col: str | None) -> tuple[DataFrame, float]:
+def anchor_marks(words: DataFrame, keys: list[str], y: str, tol: float, ord_col: str | None, span: int = TOLERANCES_PER_BLOCK, per_super: int = BLOCKS_PER_SUPER) -> tuple[DataFrame, float]:
     """Block table of row anchors: going down the page, a row starts at the first y more than ``tol`` below its predecessor's start.
 
     The rule is sequential: where a block's first row starts depends on the last anchor above it. Since that anchor lies
     above the block, the first row can only start at a y within ``tol`` of the block's top, or at the first y beyond. For
-    each of these few starts the block tells where its last row starts and how many rows it has; chaining these moves down
-    the page (in two levels, so that no list grows with the page) gives each block its true entry.
+    each of these few starts the block tells where its last row starts and how many rows it has (a *move*); chaining the
+    moves down the page, in two levels so that no list grows with the page, gives each block its true entry.
     """
-    width = float(tol) * TOLERANCES_PER_BLOCK
-    tol_col = F.lit(float(tol))
-    sets = value_sets(words, keys, y, width, ord_col)
-
-    top = F.col("_vb") * F.lit(width)
-    n_first = F.size(F.filter("_vs", lambda v: v - top <= tol_col)) + 1
-
-    def move(first):
-        start = F.struct(first.alias("first"), first.alias("last"), F.lit(1).alias("n"))
-        return F.aggregate(
-            "_vs",
-            start,
-            lambda s, v: F.when(
-                v - s["last"] > tol_col, F.struct(s["first"].alias("first"), v.alias("last"), (s["n"] + 1).alias("n"))
-            ).otherwise(s),
-        )
-
-    moves = sets.select(*keys, "_sb", "_vb", F.transform(F.slice("_vs", 1, n_first), move).alias("moves"))
-    item = F.struct(F.col("_vb").alias("at"), "moves", tol_col.alias("tol"))
-    supers = moves.groupBy(*keys, "_sb").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-
-    head = F.get("_items", F.lit(0))
-    rest = F.slice("_items", 2, F.greatest(F.size("_items"), F.lit(1)))
-    # a start that leaves the first block untouched can only be followed by blocks that do not depend on it
-    untouched = F.struct(F.lit(float("inf")).alias("first"), F.lit(float("-inf")).alias("last"), F.lit(0).alias("n"))
-    firsts = F.concat(head["moves"], F.when(F.size("_items") > 1, F.array(untouched)).otherwise(F.slice(head["moves"], 1, 0)))
-    through = F.transform(firsts, lambda m: _follow(m, rest))
+    width, tol = float(tol) * span, float(tol)
+    sets = value_sets(words, keys, y, width, ord_col, per_super)
+    inf = "double('infinity')"
+    hit = "get(filter({moves}, m -> m.first - {state}.last > " + repr(tol) + "d), 0)"
+
+    # twice the tolerance leaves room for the rounding of the block's top; a start too many does no harm
+    near = F.filter("_vs", lambda v: v - block_top(F.col("_vb"), width) <= 2 * tol)
+    walk = f"""transform(slice(_vs, 1, size(_near) + 1), c -> aggregate(_vs, named_struct('first', c, 'last', c, 'n', 1),
+        (s, v) -> if(v - s.last > {tol!r}d, named_struct('first', s.first, 'last', v, 'n', s.n + 1), s)))"""
+    moves = sets.withColumn("_near", near).selectExpr(*keys, "_sb", f"named_struct('at', _vb, 'moves', {walk}) as _item")
+    supers = moves.groupBy(*keys, "_sb").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+
+    # Moves of a super-block: those of its first block, prolonged through the others. A start that leaves the first block
+    # untouched (first = infinity) can only be followed by blocks that do not depend on it.
+    last, n = _step("s", hit.format(moves="b.moves", state="s"))
+    through = f"""transform(
+        concat(_items[0].moves, if(size(_items) > 1, array(named_struct('first', {inf}, 'last', -{inf}, 'n', 0)), array())),
+        m -> aggregate(slice(_items, 2, size(_items)), m, (s, b) -> named_struct('first', s.first, 'last', {last}, 'n', {n})))"""
+
+    # State in force when each block of an ordered list is entered, given the state before the list.
+    last, n = _step("s", hit.format(moves="b.moves", state="s"))
+    entered = f"""explode(aggregate(_items,
+        named_struct('last', _last, 'n', _n, 'seen', cast(array() as array<struct<at:bigint,last:double,n:int>>)),
+        (s, b) -> named_struct('last', {last}, 'n', {n}, 'seen', array_append(s.seen, named_struct('at', b.at, 'last', s.last, 'n', s.n))),
+        s -> s.seen)) as _e"""
     over_page = (
-        supers.select(*keys, F.struct(F.col("_sb").alias("at"), through.alias("moves"), tol_col.alias("tol")).alias("_item"))
+        supers.selectExpr(*keys, f"named_struct('at', _sb, 'moves', {through}) as _item")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        .withColumns({"_last": F.lit(float("-inf")), "_n": F.lit(0)})
-        .select(*keys, F.explode(_entries("_items")).alias("_e"))
-        .select(*keys, F.col("_e.at").alias("_sb"), F.col("_e.last").alias("_last"), F.col("_e.n").alias("_n"))
+        .selectExpr(*keys, "_items", f"-{inf} as _last", "0 as _n")
+        .selectExpr(*keys, entered)
+        .selectExpr(*keys, "_e.at as _sb", "_e.last as _last", "_e.n as _n")
     )
     entries = (
         supers.join(over_page, [*keys, "_sb"])
-        .select(*keys, "_sb", F.explode(_entries("_items")).alias("_e"))
-        .select(*keys, "_sb", F.col("_e.at").alias("_vb"), F.col("_e.last").alias("_last"), F.col("_e.n").alias("_n"))
-    )
-    none = F.expr("cast(array() as array<double>)")
-    anchors = F.aggregate(
-        "_vs",
-        none,
-        lambda acc, v: F.when(
-            v - F.coalesce(F.get(acc, F.size(acc) - 1), F.col("_last")) > tol_col, F.array_append(acc, v)
-        ).otherwise(acc),
+        .selectExpr(*keys, "_sb", entered)
+        .selectExpr(*keys, "_sb", "_e.at as _vb", "_e.last as _last", "_e.n as _n")
     )
+    anchors = f"""aggregate(_vs, cast(array() as array<double>),
+        (a, v) -> if(v - coalesce(get(a, size(a) - 1), _last) > {tol!r}d, array_append(a, v), a))"""
     blocks = (
         sets.join(entries, [*keys, "_sb", "_vb"])
-        .select(*keys, "_vb", "_salts", "_n", anchors.alias("_anchors"))
-        .select(
-            *keys,
-            "_vb",
-            "_salts",
-            (F.col("_n") - 1).alias("_carry"),
-            F.transform("_anchors", lambda v, i: F.struct(v.alias("v"), (F.col("_n") + i).cast("bigint").alias("no"))).alias("_marks"),
+        .selectExpr(*keys, "_vb", "_salts", "_n", f"{anchors} as _anchors")
+        .selectExpr(
+            *keys, "_vb", "_salts", "_n - 1 as _carry", "transform(_anchors, (v, i) -> struct(v as v, bigint(_n + i) as no)) as _marks"
         )
     )
     return blocks, width
 
 
-def group_rows_by_anchor(words: DataFrame, keys: list[str] = PAGE, y: str = "y", tol: float = ROW_TOLERANCE, ord_col: str | None = "ord", out: str = "row_no") -> DataFrame:
+def group_rows_by_anchor(words: DataFrame, keys: list[str] = PAGE, y: str = "y", tol: float = ROW_TOLERANCE, ord_col: str | None = "ord", out: str = "row_no", span: int = TOLERANCES_PER_BLOCK, per_super: int = BLOCKS_PER_SUPER) -> DataFrame:
     """Row number of each word (0-based): a word belongs to the row of the last anchor at or above it.
 
-    Exactly ``tol`` away from the anchor is still the same row. Pages without words give no rows.
+    Exactly ``tol`` away from the anchor is still the same row. Pages without words give no rows. ``span`` (at least 4) is
+    the height of a block in tolerances, ``per_super`` the number of blocks in a super-block; neither changes the result.
     """
-    blocks, width = anchor_marks(words, keys, y, tol, ord_col)
+    blocks, width = anchor_marks(words, keys, y, tol, ord_col, span, per_super)
     return assign_marks(words, blocks, keys, y, width, ord_col, out)
 
 
@@ -165,14 +135,13 @@ def fragment_rows(words: DataFrame, keys: list[str], ord_col: str = "ord", out:
     return number_rows(words, keys, [int_block(F.col(ord_col))], [ord_col], out)
 
 
-def table_lines(cells: DataFrame, keys: list[str] = PAGE, order: list[str] = ["col_no"]) -> DataFrame:
+def table_lines(cells: DataFrame, keys: list[str] = PAGE, order: list[str] = ["col_no"], row: str = "row_no") -> DataFrame:
     """Display form: one line per table row with its cells as an array, in the order of ``order``.
 
     A displayed row is one value; the long form (one row per cell) has no such limit.
     """
     return (
-        cells.groupBy(*keys, "row_no")
+        cells.groupBy(*keys, row)
         .agg(F.sort_array(F.collect_list(F.struct(*order, "text"))).alias("_cells"))
-        .withColumn("cells", F.transform("_cells", lambda c: c["text"]))
-        .drop("_cells")
+        .select(*keys, row, F.transform("_cells", lambda c: c["text"]).alias("cells"))
     )

@@ -28,12 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark, sf_dir) -> DataFrame:
     """25 lines per page, every tenth line empty."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    numbered = explode_lines(docs, "text", ["doc_id"], "_ln")
-    return numbered.select(
+    return explode_lines(docs, "text", ["doc_id"], "_ln").selectExpr(
         "doc_id",
-        (1 + F.floor(F.col("_ln") / LINES_PER_PAGE)).cast("int").alias("page_no"),
-        (F.col("_ln") % LINES_PER_PAGE).cast("int").alias("line_no"),
-        F.when((F.col("doc_id") + F.col("_ln")) % 10 == 9, "").otherwise(F.col("line")).alias("line"),
+        f"int(1 + _ln div {LINES_PER_PAGE}) as page_no",
+        f"_ln % {LINES_PER_PAGE} as line_no",
+        "if((doc_id + _ln) % 10 = 9, '', line) as line",
     )
 
 
@@ -41,26 +40,24 @@ def words(spark, sf_dir) -> DataFrame:
     """words with coordinates; in every third line the emission order is reversed."""
     cut = lines(spark, sf_dir).select("doc_id", "page_no", "line_no", F.split("line", " ").alias("_w"))
     one = cut.select("doc_id", "page_no", "line_no", F.size("_w").alias("_n"), F.posexplode("_w").alias("_i", "text"))
-    i, d, ln = F.col("_i"), F.col("doc_id"), F.col("line_no")
-    return one.filter("text <> ''").select(
+    return one.filter("text <> ''").selectExpr(
         "doc_id",
         "page_no",
         "line_no",
-        (ln * 100000 + F.when(ln % 3 == 0, F.col("_n") - 1 - i).otherwise(i)).cast("bigint").alias("ord"),
+        "bigint(line_no * 100000 + if(line_no % 3 = 0, _n - 1 - _i, _i)) as ord",
         "text",
-        (((d + i) % 100) / F.lit(100.0)).alias("confidence"),
-        (i * 40 + F.floor(i / 4) * 76 + (d + ln * 3 + i * 7) % 23).cast("double").alias("x"),
-        (ln * 30 + (d * 7 + ln * 13 + i * 5) % 11).cast("double").alias("y"),
-        (ln * 12 + (d * 7 + ln * 5 + i * 2) % 9).cast("double").alias("y_drift"),
+        "((doc_id + _i) % 100) / 100d as confidence",
+        "double(_i * 40 + _i div 4 * 76 + (doc_id + line_no * 3 + _i * 7) % 23) as x",
+        "double(line_no * 30 + (doc_id * 7 + line_no * 13 + _i * 5) % 11) as y",
+        "double(line_no * 12 + (doc_id * 7 + line_no * 5 + _i * 2) % 9) as y_drift",
     )
 
 
 def boxes(spark, sf_dir) -> DataFrame:
     """F2 in its four-corner form."""
-    right, low = F.col("x") + 8 * F.length("text"), F.col("y") + 12
-    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    bbox = F.array(corner(F.col("x"), F.col("y")), corner(right, F.col("y")), corner(right, low), corner(F.col("x"), low))
-    return words(spark, sf_dir).withColumn("bbox", bbox).drop("x", "y", "y_drift")
+    corners = ", ".join(f"struct({a} as x, {b} as y)" for a, b in (("x", "y"), ("_r", "y"), ("_r", "_b"), ("x", "_b")))
+    sized = words(spark, sf_dir).selectExpr("*", "x + 8 * length(text) as _r", "y + 12 as _b")
+    return sized.selectExpr("doc_id", "page_no", "line_no", "ord", "text", "confidence", f"array({corners}) as bbox")
 
 
 def _nested_pages(spark, sf_dir) -> DataFrame:
