@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Rows of a dense integer position (line number, scanline) per block.
 LINES_PER_BLOCK = 65536
+# A block with more rows than this is split further.
+CROWDED = 1 << 22
 # Table rows per block.
 ROWS_PER_BLOCK = 4096
 # Words of one emission range; a dense spot on a page is spread by it.
@@ -70,22 +72,33 @@ def running_sum(counts: DataFrame, keys: list[str], path: list[str], n: str, bef
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], path: list[Column], order: list, out: str) -> DataFrame:
-    """0-based position of each row in its group.
+def number_rows(df: DataFrame, keys: list[str], block: Column, order: list[str], out: str, finer: list[Column] = [], crowded: int = CROWDED) -> DataFrame:
+    """0-based position of each row in its group, following ``order``.
 
-    ``path`` are columns that split a group along the order (coarsest first): every row of an earlier block precedes every
-    row of a later one. ``order`` is the order inside the finest block.
+    ``block`` splits a group along the order: every row of an earlier block precedes every row of a later one. A block of more
+    than ``crowded`` rows (many rows at one position, or copies) is split further along ``finer``, in the same sense. There
+    are at most (rows / ``crowded``) such blocks, so their list is small and is broadcast.
     """
-    names = [f"_path{i}" for i in range(len(path))]
-    rows = df.withColumns(dict(zip(names, path)))
-    counts = rows.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    starts = running_sum(counts, keys, names, "_n", "_before").select(*keys, *names, "_before")
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
+    rows = df.withColumn("_p0", block)
+    counts = rows.groupBy(*keys, "_p0").agg(F.count(F.lit(1)).alias("_n"))
+    path = ["_p0"]
+    if finer:
+        full = F.broadcast(counts.filter(F.col("_n") > crowded).select(*keys, "_p0", F.lit(True).alias("_full")))
+        names = [f"_p{i}" for i in range(1, len(finer) + 1)]
+        kinds = [f.dataType.simpleString() for f in df.select(*finer).schema]
+        zeros = [F.lit("" if kind == "string" else 0).cast(kind) for kind in kinds]
+        rows = rows.join(full, [*keys, "_p0"], "left")
+        rows = rows.withColumns({n: F.when(F.col("_full"), c).otherwise(zero) for n, c, zero in zip(names, finer, zeros)})
+        split = rows.filter("_full").groupBy(*keys, "_p0", *names).agg(F.count(F.lit(1)).alias("_n"))
+        whole = counts.filter(F.col("_n") <= crowded).withColumns(dict(zip(names, zeros)))
+        counts, rows, path = whole.unionByName(split), rows.drop("_full"), ["_p0", *names]
+    starts = running_sum(counts, keys, path, "_n", "_before").select(*keys, *path, "_before")
+    inside = Window.partitionBy(*keys, *path).orderBy(*order)
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
-        .join(starts, [*keys, *names], "left")
+        .join(starts, [*keys, *path], "left")
         .withColumn(out, (F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1).cast("int"))
-        .drop("_before", "_inside", *names)
+        .drop("_before", "_inside", *path)
     )
 
 

@@ -47,7 +47,7 @@ def order_clusters(words: DataFrame, keys: list[str] = LINE, column_order: str =
     salted = words.withColumn("_salt", int_block(F.col(ord_col), WORDS_PER_SALT))
     per_salt = salted.groupBy(*keys, cluster, "_salt").agg(F.min(ord_col).alias("_first"))
     firsts = per_salt.groupBy(*keys, cluster).agg(F.min("_first").alias("_first"))
-    ranked = number_rows(firsts, keys, [int_block(F.col("_first"), WORDS_PER_SALT)], ["_first"], "_rank")
+    ranked = number_rows(firsts, keys, int_block(F.col("_first"), WORDS_PER_SALT), ["_first"], "_rank")
     placed = per_salt.drop("_first").join(ranked.drop("_first"), [*keys, cluster])
     return (
         salted.join(placed, [*keys, cluster, "_salt"])

@@ -9,6 +9,8 @@ from doctables.operators.blocks import TOLERANCES_PER_BLOCK, assign_marks, gap_m
 
 PAGE_ID = ["page_id"]
 LINES_PER_CROP = 1024
+# Radians per block of angles.
+ANGLE_BLOCK = 1 / 4096
 
 
 def otsu_threshold(pixels: DataFrame, keys: list[str] = PAGE_ID, v: str = "v") -> DataFrame:
@@ -74,7 +76,7 @@ def page_skew_angle(pages: DataFrame, edges: DataFrame, keys: list[str] = PAGE_I
 
     Equal angles collapse into counts first; the middle one or two are picked by running counts, so no page is collected.
     """
-    counts = edges.groupBy(*keys, value_block(F.col(theta), 0.25).alias("_b"), F.col(theta).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = edges.groupBy(*keys, value_block(F.col(theta), ANGLE_BLOCK).alias("_b"), F.col(theta).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_sum(counts, keys, ["_b", "_t"], "_n", "_before", "_total")
     low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     after = F.col("_before") + F.col("_n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from doctables.functions.fixed_values import ROW_TOLERANCE
 from doctables.operators.blocks import (
     BLOCKS_PER_SUPER,
+    CROWDED,
     TOLERANCES_PER_BLOCK,
     WORDS_PER_SALT,
     assign_marks,
@@ -34,13 +35,13 @@ def word_left_x(words: DataFrame, bbox: str = "bbox", out: str = "x") -> DataFra
     return words.withColumn(out, F.col(bbox)[0]["x"])
 
 
-def sort_by_y(words: DataFrame, keys: list[str] = PAGE, y: str = "y", ord_col: str = "ord", band: float = 4096.0, out: str = "y_rank") -> DataFrame:
+def sort_by_y(words: DataFrame, keys: list[str] = PAGE, y: str = "y", ord_col: str = "ord", band: float = 4096.0, out: str = "y_rank", crowded: int = CROWDED) -> DataFrame:
     """Position of each word on its page by y; ties keep emission order.
 
-    Words that share one y are split further by emission block, so a page with a single dense line is spread too.
+    Where more than ``crowded`` words lie in one ``band``, they are split by their y and emission block.
     """
-    path = [value_block(F.col(y), band), F.col(y), int_block(F.col(ord_col), WORDS_PER_SALT)]
-    return number_rows(words, keys, path, [ord_col], out)
+    finer = [F.col(y), int_block(F.col(ord_col), WORDS_PER_SALT)]
+    return number_rows(words, keys, value_block(F.col(y), band), [y, ord_col], out, finer, crowded)
 
 
 def _step(state: str, move: str) -> tuple[str, str]:
@@ -120,19 +121,22 @@ def group_rows_by_anchor(words: DataFrame, keys: list[str] = PAGE, y: str = "y",
     return assign_marks(words, blocks, keys, y, width, ord_col, out)
 
 
-def order_cells_in_row(words: DataFrame, keys: list[str] = PAGE, cell_order: str = "x", band: float = 4096.0, out: str = "col_no") -> DataFrame:
-    """Column number of each word in its row: by ``x`` (then emission order), or by ``text``."""
-    row = [*keys, "row_no"]
+def order_cells_in_row(words: DataFrame, keys: list[str] = PAGE, cell_order: str = "x", band: float = 4096.0, out: str = "col_no", crowded: int = CROWDED) -> DataFrame:
+    """Column number of each word in its row: by ``x`` (then emission order), or by ``text`` (then x, then emission order).
+
+    More than ``crowded`` words close to one x, or of one text, are split further by x and emission block.
+    """
+    row, salt = [*keys, "row_no"], int_block(F.col("ord"), WORDS_PER_SALT)
     if cell_order == "x":
-        return number_rows(words, row, [value_block(F.col("x"), band)], ["x", "ord"], out)
+        return number_rows(words, row, value_block(F.col("x"), band), ["x", "ord"], out, [F.col("x"), salt], crowded)
     if cell_order == "text":
-        return number_rows(words, row, [F.substring("text", 1, 2)], ["text", "x", "ord"], out)
+        return number_rows(words, row, F.substring("text", 1, 1), ["text", "x", "ord"], out, [F.col("text"), F.col("x"), salt], crowded)
     raise ValueError(f"cell_order is 'x' or 'text', not {cell_order!r}")
 
 
 def fragment_rows(words: DataFrame, keys: list[str], ord_col: str = "ord", out: str = "col_no") -> DataFrame:
     """One row per recogniser group: the column number of a word is its place in the group's emission order."""
-    return number_rows(words, keys, [int_block(F.col(ord_col))], [ord_col], out)
+    return number_rows(words, keys, int_block(F.col(ord_col)), [ord_col], out)
 
 
 def table_lines(cells: DataFrame, keys: list[str] = PAGE, order: list[str] = ["col_no"], row: str = "row_no") -> DataFrame:

@@ -41,8 +41,12 @@ def case(name: str, inputs: str, select: str, **names: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder; a temporary one only where none is set (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doctables-")
+    """A new folder in the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only for a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="doctables-")
     return os.path.join(base, f"doctables-{uuid4().hex}")
 
 

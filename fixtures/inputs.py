@@ -38,8 +38,9 @@ def lines(spark, sf_dir) -> DataFrame:
 
 def words(spark, sf_dir) -> DataFrame:
     """words with coordinates; in every third line the emission order is reversed."""
-    cut = lines(spark, sf_dir).select("doc_id", "page_no", "line_no", F.split("line", " ").alias("_w"))
-    one = cut.select("doc_id", "page_no", "line_no", F.size("_w").alias("_n"), F.posexplode("_w").alias("_i", "text"))
+    # the number of words is counted before the words are cut, so that no word row carries its whole line
+    sized = lines(spark, sf_dir).selectExpr("*", "size(split(line, ' ')) as _n")
+    one = sized.select("doc_id", "page_no", "line_no", "_n", F.posexplode(F.split("line", " ")).alias("_i", "text"))
     return one.filter("text <> ''").selectExpr(
         "doc_id",
         "page_no",
@@ -155,7 +156,7 @@ def spaced_lines(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat("p_name", F.lit("  "), "p_type", F.lit("     "), F.col("p_size").cast("string"), F.lit("  ")))
         .alias("line"),
     )
-    return number_rows(rows, ["page"], [int_block(k)], ["p_partkey"], "line_no").select("page", "line_no", "line")
+    return number_rows(rows, ["page"], int_block(k), ["p_partkey"], "line_no").select("page", "line_no", "line")
 
 
 def marked_lines(spark, sf_dir) -> DataFrame:
@@ -172,7 +173,7 @@ def marked_lines(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat("event_type", F.lit(" | "), text, F.lit(" | 2013-"), (2013 + e % 5).cast("string")))
         .alias("line"),
     )
-    return number_rows(rows, ["page"], [int_block(e)], ["event_id"], "line_no").select("page", "line_no", "line")
+    return number_rows(rows, ["page"], int_block(e), ["event_id"], "line_no").select("page", "line_no", "line")
 
 
 def profile(spark, sf_dir) -> DataFrame:

@@ -104,17 +104,19 @@ def test_exact_eps_stays_in_the_cluster(spark):
     assert {r.ord: r.col_no for r in C.cluster_columns_gap(words).collect()} == {0: 0, 1: 0, 2: 0, 3: 1}
 
 
-def test_orders_equal_sorts(spark):
+@pytest.mark.parametrize("crowded", [3, 1 << 22])
+def test_orders_equal_sorts(spark, crowded, monkeypatch):
+    monkeypatch.setattr(R, "WORDS_PER_SALT", 16)
     rows = random_words(seed=5, step=20.0)
     words = spark.createDataFrame(rows, WORDS)
-    ranks = {(r.doc_id, r.page_no, r.ord): r.y_rank for r in R.sort_by_y(words, band=64.0).collect()}
+    ranks = {(r.doc_id, r.page_no, r.ord): r.y_rank for r in R.sort_by_y(words, band=64.0, crowded=crowded).collect()}
     for page in {r[:2] for r in rows}:
         inside = sorted((r for r in rows if r[:2] == page), key=lambda r: (r[6], r[3]))
         assert [ranks[(*page, r[3])] for r in inside] == list(range(len(inside)))
     rowed = R.group_rows_by_anchor(words)
     row_of = loop_rows(rows, 15)
     for how, key in (("x", lambda r: (r[5], r[3])), ("text", lambda r: (r[4].encode(), r[5], r[3]))):
-        cols = {(r.doc_id, r.page_no, r.ord): r.col_no for r in R.order_cells_in_row(rowed, cell_order=how, band=64.0).collect()}
+        cols = {(r.doc_id, r.page_no, r.ord): r.col_no for r in R.order_cells_in_row(rowed, cell_order=how, band=64.0, crowded=crowded).collect()}
         groups = {}
         for r in rows:
             groups.setdefault((*r[:2], row_of[(*r[:2], r[3])]), []).append(r)
