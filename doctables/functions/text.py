@@ -70,5 +70,5 @@ def base_name(path: Column) -> Column:
 
 
 def without_extension(name: Column) -> Column:
-    """``a.b.pdf`` -> ``a.b``; a leading dot does not start an extension."""
-    return F.regexp_replace(name, r"(?<=[^/.])\.[^./]*$", "")
+    """``a.b.pdf`` -> ``a.b``; dots at the start of a name do not start an extension."""
+    return F.regexp_replace(name, r"^(\.*[^.].*)\.[^.]*$", "$1")

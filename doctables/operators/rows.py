@@ -61,6 +61,8 @@ def anchor_marks(words: DataFrame, keys: list[str], y: str, tol: float, ord_col:
     each of these few starts the block tells where its last row starts and how many rows it has (a *move*); chaining the
     moves down the page, in two levels so that no list grows with the page, gives each block its true entry.
     """
+    if span < 4:
+        raise ValueError(f"a block spans at least 4 tolerances, not {span}")
     width, tol = float(tol) * span, float(tol)
     sets = value_sets(words, keys, y, width, ord_col, per_super)
     inf = "double('infinity')"

@@ -11,6 +11,7 @@ from doctables.operators import columns as C
 from doctables.operators import lines as L
 from doctables.operators import rows as R
 from doctables.operators import shape as S
+from doctables.sinks.stored import stored
 from doctables.sources.pages import explode_lines
 
 PAGE = ["doc_id", "page_no"]
@@ -23,6 +24,21 @@ def tables_from_boxes(words: DataFrame, tol: float = ROW_TOLERANCE, cell_order:
     return S.pad_lines(R.table_lines(placed, keys, order), keys)
 
 
+def padded_cells(placed: DataFrame, cell_order: str = "x", keys: list[str] = PAGE) -> DataFrame:
+    """Words with their ``row_no`` to padded cells in long form, for pages and rows of any size.
+
+    Numbering and padding read their input several times, so the words and the numbered cells are stored on the way.
+    """
+    words = stored(placed.select(*keys, "row_no", "x", "ord", "text"))
+    cells = R.order_cells_in_row(words, keys, cell_order).select(*keys, "row_no", "col_no", "text")
+    return S.pad_rectangular(stored(cells), keys)
+
+
+def cells_from_boxes(words: DataFrame, tol: float = ROW_TOLERANCE, cell_order: str = "x", keys: list[str] = PAGE) -> DataFrame:
+    """Word boxes to padded cells in long form: the table of ``tables_from_boxes`` without its limit on a row's size."""
+    return padded_cells(R.group_rows_by_anchor(R.word_centroid(words), keys, "y", tol), cell_order, keys)
+
+
 def tables_from_fragments(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """One table row per recogniser group, cells in emission order, rows left ragged."""
     rows = words.withColumn("row_no", F.col("group_no"))
@@ -31,9 +47,10 @@ def tables_from_fragments(words: DataFrame, keys: list[str] = PAGE) -> DataFrame
 
 def tables_from_clusters(words: DataFrame, eps: float = CLUSTER_EPS, column_order: str = "x", scale: float = 1.0) -> DataFrame:
     """Cells (long form) per line, columns by gap clusters; missing cells at a line's end are null."""
-    clustered = C.cluster_columns_gap(R.word_left_x(words), eps=eps, scale=scale)
-    cells = C.merge_cell_text(C.order_clusters(clustered, column_order=column_order))
-    return S.pad_ragged_null(cells, PAGE, "line_no")
+    clustered = C.cluster_columns_gap(R.word_left_x(words), eps=eps, scale=scale).select(*C.LINE, "ord", "text", "col_no")
+    if column_order != "x":
+        clustered = C.order_clusters(stored(clustered), column_order=column_order)
+    return S.pad_ragged_null(stored(C.merge_cell_text(clustered)), PAGE, "line_no")
 
 
 def tables_from_boundaries(lines: DataFrame, words: DataFrame, boundaries=COLUMN_BOUNDARIES, scale: float = 1.0, overflow: str = "drop") -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +16,7 @@ from doctables.operators import rows as R
 from doctables.operators import shape as S
 from doctables.plans import documents as plans
 from doctables.sinks import writers as W
+from doctables.sinks.stored import shared_folder, stored
 from doctables.sources import files as files_src
 from doctables.sources import pages as pages_src
 from doctables.sources import words as words_src
@@ -40,16 +38,6 @@ def case(name: str, inputs: str, select: str, **names: str):
     return register
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only for a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="doctables-")
-    return os.path.join(base, f"doctables-{uuid4().hex}")
-
-
 def _marked(spark, sf):
     return L.detect_pipe_tables(I.marked_lines(spark, sf), ["page"])
 
@@ -224,7 +212,7 @@ def _(spark, sf):
 
 @case("order_cells_in_row", "anchor_cells", "select doc_id, page_no, row_no, col_no, ord, text from anchor_cells", y="y_drift")
 def _(spark, sf):
-    return R.order_cells_in_row(_anchored(spark, sf, "y_drift")).select(*PAGE, "row_no", "col_no", "ord", "text")
+    return R.order_cells_in_row(stored(_anchored(spark, sf, "y_drift"))).select(*PAGE, "row_no", "col_no", "ord", "text")
 
 
 @case(
@@ -234,7 +222,7 @@ def _(spark, sf):
     y="y",
 )
 def _(spark, sf):
-    return R.order_cells_in_row(_anchored(spark, sf), cell_order="text").select(*PAGE, "row_no", "col_no", "ord", "text")
+    return R.order_cells_in_row(stored(_anchored(spark, sf)), cell_order="text").select(*PAGE, "row_no", "col_no", "ord", "text")
 
 
 @case("bin_columns_fixed", "bin_grid", "select doc_id, page_no, line_no, col_no, text from bin_grid")
@@ -273,8 +261,8 @@ def _(spark, sf):
     from (select *, min(ord) over (partition by doc_id, page_no, line_no, col_no) as first_ord from clustered)""",
 )
 def _(spark, sf):
-    clustered = C.cluster_columns_gap(I.words(spark, sf))
-    return C.order_clusters(clustered, column_order="first_seen").select(*LINE, "ord", "col_no")
+    clustered = C.cluster_columns_gap(I.words(spark, sf)).select(*LINE, "ord", "col_no")
+    return C.order_clusters(stored(clustered), column_order="first_seen").select(*LINE, "ord", "col_no")
 
 
 @case("merge_cell_text", "cluster_cells", "select doc_id, page_no, line_no, col_no, text from cluster_cells")
@@ -358,7 +346,7 @@ def _(spark, sf):
     y="y_drift",
 )
 def _(spark, sf):
-    return S.pad_rectangular(R.order_cells_in_row(_anchored(spark, sf, "y_drift")))
+    return plans.padded_cells(_anchored(spark, sf, "y_drift"))
 
 
 @case(
@@ -563,7 +551,7 @@ def _(spark, sf):
 
 @case("write_structured_csv", "final_rows", "select page, title, content, tables from final_rows")
 def _(spark, sf):
-    path = shared_dir(spark)
+    path = shared_folder(spark)
     W.write_structured_csv(plans.structured_rows(I.answer_pages(spark, sf), I.answers(spark, sf)), path, by=[], order=["doc_id", "page_no"])
     back = spark.read.schema("page string, title string, content string, tables string")
     return back.options(header=True, multiLine=True, quote='"', lineSep="\n", **W.CSV_DIALECT).csv(path).fillna("")
@@ -621,7 +609,7 @@ def _(spark, sf):
 
 @case("write_regions", "f9", "select page_id, region_no, type, res from f9")
 def _(spark, sf):
-    path = shared_dir(spark)
+    path = shared_folder(spark)
     W.write_regions(I.regions(spark, sf), path, by=["type"])
     return spark.read.schema("page_id bigint, region_no int, res string, type string").parquet(path)
 

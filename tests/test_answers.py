@@ -1,6 +1,7 @@
 """Answers: validity against Python's parser, defaults, fallbacks, outcome of files."""
 
 import json
+import os
 
 from doctables.operators import answers as A
 from doctables.plans import documents as plans
@@ -62,3 +63,10 @@ def test_answer_tables_and_outcomes(spark):
     assert paths == {i: f"out/s.{i}.csv" for i in range(4)}
     assert "p1" in A.build_prompt(pages).filter("ocr_text = 'p1'").collect()[0].prompt
     assert A.quarantine(A.classify_answer(A.match_page_answer(pages, answers))).count() == 1
+
+
+def test_extensions_are_cut_like_splitext(spark):
+    names = ["a.pdf", "a.b.PDF", ".pdf", "..pdf", "a..pdf", "plain", "dot.", "in/dir.x/name", "in/dir.x/name.hocr"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r.path: r.output_path for r in A.output_path(files, "o", ".md").collect()}
+    assert got == {n: "o/" + os.path.splitext(os.path.basename(n))[0] + ".md" for n in names}
