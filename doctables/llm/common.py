@@ -72,7 +72,7 @@ class SpanHasher:
     """64-bit hashes of any spans of a byte array, from one running sum."""
 
     def __init__(self, data: np.ndarray):
-        bits = max(20, len(data).bit_length())
+        bits = max(21, len(data).bit_length())
         terms = BYTES.take(data) * _powers(bits, ODD)[: len(data)]
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
         self.down = _powers(bits, INVERSE)

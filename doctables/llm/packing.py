@@ -108,17 +108,13 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     plan = placements(tokens.select("row", "doc_tokens"), size, together)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, room = [], 0
+        for batch in slices(batches, "ids"):
+            out = []
             for doc_id, n, ids, n_full, first_full, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "ids", "n_full", "first_full", "parts"))):
                 places = [(k * size, size, first_full + k, 0) for k in range(n_full)]
                 places += [(n_full * size + p["start"], p["length"], p["sequence"], p["offset"]) for p in parts]
                 out += [(doc_id, start, length, ids[2 * start : 2 * (start + length)], n, sequence, offset) for start, length, sequence, offset in places]
-                room += len(ids)
-                if room > 1 << 22:
-                    yield pa.RecordBatch.from_pylist([dict(zip(PIECE.names, x)) for x in out], PIECE)
-                    out, room = [], 0
-            yield pa.RecordBatch.from_pylist([dict(zip(PIECE.names, x)) for x in out], PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(PIECE), PIECE)], schema=PIECE)
 
     return tokens.join(plan, "row").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doctables.llm import packing, wavelet
+from doctables.llm import line_rules, packing, secrets, transducer, wavelet
 from doctables.llm.tokens import tokenizer_path
+from doctables.sinks.stored import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,21 @@ def op1_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digests(files)
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.verdicts(table(spark, sf_dir, "documents")).drop("tie", "removed")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_wavelet_files": op1_wavelet_files, "op3_packing": op3_packing}
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents"), shared_folder(spark)))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_files, op2_line_rules, op3_packing, op6_secret_ledger, op10_token_counts)}
 ORACLES: dict[str, str] = {}

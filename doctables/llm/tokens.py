@@ -7,7 +7,6 @@ characters that the library's normalizer may change, go through the library whol
 
 from __future__ import annotations
 
-import json
 import os
 from functools import lru_cache
 
@@ -17,8 +16,8 @@ import pyarrow as pa
 from doctables.llm.common import SpanHasher, text_bytes
 from doctables.llm.pretokens import cuts
 
-SLOTS = 1 << 21
-POOL = 1 << 24
+SLOTS = 1 << 20
+POOL = 1 << 22
 #: Fixed value: the first bytes of UTF-8 characters from U+0100, which normalizing may change.
 WIDE_LEAD = 0xC4
 
@@ -89,8 +88,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
-        with open(path, encoding="utf-8") as file:
-            self.special = [t["content"].encode() for t in json.load(file)["added_tokens"]]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = self.tokenizer.normalizer is not None
         self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
         self.pieces = Pieces(self._piece, np.uint16)

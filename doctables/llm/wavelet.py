@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctables.llm.common import renamed, slices
+from doctables.llm.common import SLICE_BYTES, renamed, slices
 from doctables.llm.tokens import encoder, with_end
 from doctables.sinks.stored import stored
 
@@ -184,7 +184,7 @@ def shards(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
             row = [part, seq, len(names), len(ids), pack_shard(ids, names, np.concatenate(sizes))]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "n_docs", "n_tokens", "value"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", min(SLICE_BYTES, 4 * shard_tokens)):
             ids, counts = with_end(*encoder(tokenizer).slice(batch.column("text")), end_id)
             held.append(ids)
             names.extend(batch.column("doc_id").to_pylist())
