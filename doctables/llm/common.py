@@ -93,3 +93,61 @@ def renamed(table, columns: dict[str, str]):
     from pyspark.sql import functions as F
 
     return table.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end, and each text's first word (one more for the end). ``blank``: for each byte, whether it parts words."""
+    inside = np.concatenate(([False], ~blank[data], [False]))
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
+    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+#: The bytes that part words in the contracts, and A-Z to a-z.
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def groups_in_order(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a sorted partition, one after another; a group may run over several batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Joined:
+    """Disjoint sets of 0 .. n-1."""
+
+    def __init__(self, n: int):
+        self.up, self.left = list(range(n)), n
+
+    def top(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.left -= 1
+        return True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doctables.llm import line_rules, packing, secrets, transducer, wavelet
+from doctables.llm import hamming, line_rules, packing, secrets, spaced_seeds, transducer, wavelet, weak_labels
 from doctables.llm.tokens import tokenizer_path
 from doctables.sinks.stored import shared_folder
 
@@ -26,13 +26,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op4_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents"), shared_folder(spark)))
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_files, op2_line_rules, op3_packing, op6_secret_ledger, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_wavelet_files, op2_line_rules, op3_packing, op4_hamming_join, op5_spaced_seeds, op6_secret_ledger, op9_weak_labels, op10_token_counts,
+)}
 ORACLES: dict[str, str] = {}
