@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.common import LOWER, SpanHasher, mixed, renamed, slices, text_bytes, words_of
+from doctables.llm.common import SpanHasher, mixed, renamed, slices, text_bytes, words_of
 from doctables.sinks.stored import stored
 
 #: Words under a one are compared.
@@ -29,8 +30,7 @@ MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words (lower case, no punctuation) end to end, and each text's first word (one more for the end)."""
-    data, offsets = text_bytes(column)
-    data = LOWER[data]
+    data, offsets = text_bytes(pc.utf8_lower(column))
     starts, ends, first = words_of(data, offsets, MARK)
     return SpanHasher(data)(starts, ends), first
 
