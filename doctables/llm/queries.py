@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doctables.llm import hamming, line_rules, packing, secrets, spaced_seeds, toxicity, transducer, wavelet, weak_labels
+from doctables.llm import hamming, line_rules, packing, repeats, secrets, spaced_seeds, toxicity, transducer, wavelet, weak_labels
 from doctables.llm.tokens import tokenizer_path
 from doctables.sinks.stored import shared_folder
 
@@ -38,6 +38,10 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents"), shared_folder(spark)))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_wavelet_files, op2_line_rules, op3_packing, op4_hamming_join, op5_spaced_seeds, op6_secret_ledger, op8_toxicity, op9_weak_labels, op10_token_counts,
+    op1_wavelet_files, op2_line_rules, op3_packing, op4_hamming_join, op5_spaced_seeds, op6_secret_ledger, op7_repeats, op8_toxicity, op9_weak_labels, op10_token_counts,
 )}
 ORACLES: dict[str, str] = {}
