@@ -159,9 +159,9 @@ def chosen_terms(toxic: dict[str, int]) -> list[str]:
 def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and model from about ``max_labelled`` labelled rows that are not held out, chosen by a hash of their id."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    n = known.count()
+    n, nothing = known.count(), (Lexicon([]), np.array([-3.0, 0, 0, 0, 0, 0]))
     if not n:
-        return Lexicon([]), np.array([-3.0, 0, 0, 0, 0, 0])
+        return nothing
     share = min(1.0, max_labelled / n)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     rows = table.join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -189,6 +189,8 @@ def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lex
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.string()))], names=["toxic", "hits"])
 
     sample = [(r.toxic > 0, [(t, e == "1", q == "1") for t, e, q in (h.split("\t") for h in r.hits)]) for r in rows.mapInArrow(found, "toxic int, hits array<string>").collect()]
+    if not sample:
+        return nothing
     bad, good = Counter(), Counter()
     for toxic, own in sample:
         (bad if toxic else good).update({t for t, exact, _ in own if not exact})
@@ -197,9 +199,9 @@ def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lex
     lexicon = Lexicon(kept, fuzzy)
     own = [(toxic, [h for h in found_ if h[1] or h[0] in fuzzy]) for toxic, found_ in sample]
     weights = fit(np.array([counts(h) for _, h in own]), np.array([float(t) for t, _ in own]))
-    # where no labelled text was misspelled, an edited term counts as half a term
+    # where no labelled text was misspelled, an edited term counts as four fifths of a term
     if not any(not exact and not quoted for t, h in own if t for _, exact, quoted in h):
-        weights[3] = max(weights[3], 0.5 * (weights[1] + weights[5]))
+        weights[3] = max(weights[3], 0.8 * (weights[1] + weights[5] / np.log(2)))
     return lexicon, weights
 
 
