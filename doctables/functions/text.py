@@ -58,8 +58,22 @@ def markdown_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(escaped, " | "), F.lit(" |"))
 
 
+NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric entity, given as decimal digits or as x and hexadecimal ones."""
+    hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+    digits = F.when(hexadecimal, F.upper(F.substring(number, 2, 6))).otherwise(F.conv(number, 10, 16))
+    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+
 def unescape_html(text: Column) -> Column:
-    """The five predefined entities; ``&amp;`` last, so that nothing is decoded twice."""
+    """Numeric entities and the five predefined ones; ``&amp;`` last, so that nothing is decoded twice."""
+    between = F.split(text, NUMERIC_ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(1)), _character)
+    joined = F.array_join(F.zip_with(between, found, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
+    text = F.when(text.contains("&#"), joined).otherwise(text)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import ALL_FINE, PROMPT_HEAD, PROMPT_TAIL
 from doctables.functions.text import base_name, without_extension
+from doctables.sources.files import only_pdf
 
 PAGE = ["doc_id", "page_no"]
 ANSWER_TABLES = "array<struct<table_title:string,table_content:string>>"
@@ -17,9 +18,20 @@ def build_prompt(pages: DataFrame, text: str = "ocr_text", head: str = PROMPT_HE
     return pages.withColumn("prompt", F.concat(F.lit(head), F.coalesce(F.col(text), F.lit("")), F.lit(tail)))
 
 
-def match_page_answer(pages: DataFrame, answers: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Pages with their answer, null where there is none."""
-    return pages.join(answers, keys, "left")
+def latest_answer(answers: DataFrame, keys: list[str] = PAGE, order: str = "attempt", response: str = "response") -> DataFrame:
+    """One answer per page: that of the last attempt, of equal ones the greatest text. Without ``order`` only the text decides."""
+    last = F.struct(order, response) if order in answers.columns else F.struct(response)
+    return answers.groupBy(*keys).agg(F.max(last).alias("_last")).select(*keys, f"_last.{response}")
+
+
+def match_page_answer(pages: DataFrame, answers: DataFrame, keys: list[str] = PAGE, order: str = "attempt") -> DataFrame:
+    """Pages with their answer, null where there is none. Answers of pages that do not exist: ``orphan_answers``."""
+    return pages.join(latest_answer(answers, keys, order), keys, "left")
+
+
+def orphan_answers(pages: DataFrame, answers: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """Answers, all attempts, that name no page."""
+    return answers.join(pages.select(*keys).distinct(), keys, "left_anti")
 
 
 def _wrapped(response: Column) -> tuple[Column, Column]:
@@ -88,24 +100,29 @@ def explode_answer_tables(parsed: DataFrame, keys: list[str] = PAGE) -> DataFram
     )
 
 
-def file_manifest(files: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
-    """Outcome per file: pages, malformed pages, status. One malformed page fails its file if ``strict``.
+def file_manifest(files: DataFrame, pages: DataFrame, strict: bool = False, read_error: str = "read_error") -> DataFrame:
+    """Outcome per PDF file: pages, malformed pages, status and reason. Other files are not taken in.
 
-    Files without pages stay in the manifest.
+    A file fails if it could not be read (the optional column ``read_error`` says why) or has no page, and with ``strict`` also if one of
+    its answers is malformed.
     """
+    files = only_pdf(files)
+    error = F.col(read_error) if read_error in files.columns else F.lit(None).cast("string")
     outcome = pages.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("status") == "malformed").alias("n_malformed")
     )
-    rows = files.select("doc_id", base_name(F.col("path")).alias("file_name")).join(outcome, "doc_id", "left")
+    rows = files.select("doc_id", base_name(F.col("path")).alias("file_name"), error.alias("_error")).join(outcome, "doc_id", "left")
     rows = rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_pages", "n_malformed")})
-    failed = (F.col("n_malformed") > 0) if strict else F.lit(False)
-    return rows.withColumn("status", F.when(failed, "failed").otherwise("success"))
+    malformed = (F.col("n_malformed") > 0) if strict else F.lit(False)
+    reason = F.coalesce("_error", F.when(F.col("n_pages") == 0, "no pages"), F.when(malformed, "malformed answer"))
+    rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "success").otherwise("failed"))
+    return rows.drop("_error")
 
 
-def failure_report(files: DataFrame, succeeded: DataFrame) -> DataFrame:
-    """Names of the files without a successful outcome, or a single line that all is fine."""
-    failed = files.join(succeeded.select("doc_id").distinct(), "doc_id", "left_anti")
-    names = failed.select(base_name(F.col("path")).alias("report"))
+def failure_report(manifest: DataFrame) -> DataFrame:
+    """Names of the files that failed by their manifest, or a single line that all is fine."""
+    failed = manifest.filter("status <> 'success'")
+    names = failed.select(F.col("file_name").alias("report"))
     fine = failed.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(F.lit(ALL_FINE).alias("report"))
     return names.unionByName(fine)
 

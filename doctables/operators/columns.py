@@ -11,10 +11,10 @@ from doctables.operators.blocks import TOLERANCES_PER_BLOCK, WORDS_PER_SALT, ass
 LINE = ["doc_id", "page_no", "line_no"]
 
 
-def bin_columns_fixed(words: DataFrame, boundaries=COLUMN_BOUNDARIES, x: str = "x", scale: float = 1.0, overflow: str = "drop", out: str = "col_no") -> DataFrame:
+def bin_columns_fixed(words: DataFrame, boundaries=COLUMN_BOUNDARIES, x: str = "x", scale: float = 1.0, overflow: str = "last", out: str = "col_no") -> DataFrame:
     """Column of a word = first boundary that lies right of its x (times ``scale``).
 
-    Words at or beyond the last boundary are dropped; ``overflow="last"`` puts them into the last column.
+    Words at or beyond the last boundary belong to the last column; ``overflow="drop"`` leaves them out.
     """
     if overflow not in ("drop", "last"):
         raise ValueError(f"overflow is 'drop' or 'last', not {overflow!r}")

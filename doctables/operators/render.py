@@ -56,11 +56,12 @@ def join_page_tables(lines: DataFrame, keys: list[str] = PAGE, row: str = "row_n
     return render_markdown_table(lines, keys, row, header).unionByName(last).withColumn("part", F.lit(0))
 
 
-def join_pages_markdown(names: DataFrame, out_lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+def join_pages_markdown(names: DataFrame, out_lines: DataFrame, doc: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
     """Documents as texts in the order of ``page_no``, ``block_no``: a ``# name`` head (page 0), then the pages.
 
     Pages are numbered from 1 without holes. The page break stands before every page but the first, which gives the same
-    document as a break after every page but the last and needs no look at the page count.
+    document as a break after every page but the last and needs no look at the page count. With ``pages`` (document, page_no)
+    a page without any line keeps its break.
     """
     texts = assemble_text(out_lines, [doc, "page_no"])
     opening = (F.col("page_no") > 1) & (F.col("block_no") == 0)
@@ -68,10 +69,13 @@ def join_pages_markdown(names: DataFrame, out_lines: DataFrame, doc: str = "doc_
     heads = names.select(
         doc, F.lit(0).alias("page_no"), F.lit(0).alias("block_no"), F.concat(F.lit("# "), F.col("file_name"), F.lit("\n\n")).alias("text")
     )
+    if pages is not None:
+        bare = pages.filter("page_no > 1").select(doc, "page_no").distinct().join(out_lines.select(doc, "page_no").distinct(), [doc, "page_no"], "left_anti")
+        texts = texts.unionByName(bare.select(doc, "page_no", F.lit(0).cast(texts.schema["block_no"].dataType).alias("block_no"), F.lit(PAGE_BREAK).alias("text")))
     return heads.unionByName(texts)
 
 
-def document_lines(names: DataFrame, out_lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+def document_lines(names: DataFrame, out_lines: DataFrame, doc: str = "doc_id", pages: DataFrame | None = None) -> DataFrame:
     """The same documents line by line (``page_no``, ``line_no``, ``part``): the form a text sink writes."""
     heads = names.select(
         doc,
@@ -81,7 +85,7 @@ def document_lines(names: DataFrame, out_lines: DataFrame, doc: str = "doc_id")
     )
     rule = PAGE_BREAK.split("\n")[:-1]
     breaks = (
-        out_lines.filter("page_no > 1")
+        (out_lines if pages is None else pages).filter("page_no > 1")
         .select(doc, "page_no")
         .distinct()
         .select(doc, "page_no", F.lit(-1).alias("line_no"), F.posexplode(F.array(*map(F.lit, rule))).alias("part", "text"))

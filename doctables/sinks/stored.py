@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only for a local session that has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="doctables-")
+    """A new folder below ``spark.checkpoint.dir``; without that setting, below the warehouse, which all executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(base, f"doctables-{uuid4().hex}")
 
 
@@ -28,3 +23,13 @@ def stored(table: DataFrame) -> DataFrame:
     path = shared_folder(table.sparkSession)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files that a stored table was read from, when nothing reads it any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if not path.getParent().getName().startswith("doctables-"):
+            raise ValueError(f"{file} was not stored by this library")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)

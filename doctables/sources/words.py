@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.functions.text import unescape_html
+from doctables.functions.text import base_name, unescape_html, without_extension
 
 PAGE = ["doc_id", "page_no"]
 
@@ -61,7 +61,9 @@ def flatten_word_tree(pages: DataFrame, blocks: str = "blocks", keys: list[str]
 
 
 # --- fixed values: hOCR word markup ---
-HOCR_WORD = r"""(?s)<span[^>]*class=['"]ocrx_word['"][^>]*>.*?</span>"""
+HOCR_PAGE = r"""(?=<div[^>]*class=['"]ocr_page['"])"""
+# a word's span with what it holds, spans of single characters included
+HOCR_WORD = r"""<span[^>]*class=['"]ocrx_word['"][^>]*>(?:[^<]|<(?!/?span\b)[^>]*>|<span\b[^>]*>(?:[^<]|<(?!/?span\b)[^>]*>)*+</span>)*+</span>"""
 HOCR_BOX = r"bbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)"
 HOCR_CONFIDENCE = r"x_wconf (\d+)"
 
@@ -80,8 +82,18 @@ def parse_hocr(pages: DataFrame, hocr: str = "hocr", keys: list[str] = PAGE) ->
     )
 
 
-def scan_hocr_words(spark: SparkSession, path: str) -> DataFrame:
-    """Read hOCR sidecar files (one page each) as words; the file's path is the document."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.hocr").text(path)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("hocr"))
-    return parse_hocr(named, "hocr", ["path"])
+def hocr_sheets(documents: DataFrame, hocr: str = "hocr", keys: list[str] = ["doc_id"]) -> DataFrame:
+    """Pages of hOCR documents, numbered from 1; a document without page marks is one page."""
+    parts = F.filter(F.split(hocr, HOCR_PAGE, -1), lambda p: p.rlike(HOCR_PAGE))
+    whole = F.when(F.size(parts) > 0, parts).otherwise(F.array(hocr))
+    return documents.select(*keys, F.posexplode(whole).alias("_p", "hocr")).select(*keys, (F.col("_p") + 1).alias("page_no"), "hocr")
+
+
+def scan_hocr_words(spark: SparkSession, path: str, files: str = "*.hocr") -> DataFrame:
+    """Read hOCR sidecar files, one per document and of any number of pages, as words.
+
+    ``doc_id`` is the name of the file without its extension, or that of its folder if folders are named ``doc_id=...``.
+    """
+    found = spark.read.option("pathGlobFilter", files).text(path, wholetext=True)
+    name = F.col("doc_id") if "doc_id" in found.columns else without_extension(base_name(F.col("_metadata.file_path")))
+    return parse_hocr(hocr_sheets(found.select(name.alias("doc_id"), F.col("value").alias("hocr"))))

@@ -21,7 +21,7 @@ from doctables.sources import files as files_src
 from doctables.sources import pages as pages_src
 from doctables.sources import words as words_src
 from fixtures import inputs as I
-from fixtures.sql import PROMPT, REPORT, statement
+from fixtures.sql import PROMPT, statement
 
 PAGE = ["doc_id", "page_no"]
 LINE = [*PAGE, "line_no"]
@@ -69,7 +69,7 @@ def _classified(spark, sf):
 
 @case("scan_pdf_files", "f7", "select doc_id, path from f7 where regexp_matches(path, '\\.pdf$', 'i')")
 def _(spark, sf):
-    return files_src.only_pdf(I.files(spark, sf))
+    return files_src.only_pdf(I.files(spark, sf)).select("doc_id", "path")
 
 
 @case(
@@ -120,17 +120,26 @@ def _(spark, sf):
     )
 
 
-@case(
-    "scan_hocr_words",
-    "f2",
-    """select doc_id, page_no, row_number() over (partition by doc_id, page_no order by ord) - 1 as ord, text, confidence,
-    x as x0, y as y0, x + 8 * length(text) as x1, y + 12 as y1 from f2""",
-)
+HOCR_WORDS = """select doc_id, page_no, row_number() over (partition by doc_id, page_no order by ord) - 1 as ord, text, confidence,
+x as x0, y as y0, x + 8 * length(text) as x1, y + 12 as y1 from f2"""
+
+
+@case("scan_hocr_words", "f2", HOCR_WORDS)
 def _(spark, sf):
-    words = words_src.parse_hocr(I.hocr_pages(spark, sf))
+    return _hocr_words(words_src.parse_hocr(words_src.hocr_sheets(I.hocr_documents(spark, sf))))
+
+
+@case("scan_hocr_files", "f2", HOCR_WORDS)
+def _(spark, sf):
+    path = shared_folder(spark)
+    I.write_hocr(spark, sf, path)
+    return _hocr_words(words_src.scan_hocr_words(spark, path, "*.txt"))
+
+
+def _hocr_words(words):
     b = F.col("bbox")
     return words.select(
-        *PAGE, "ord", "text", "confidence",
+        F.col("doc_id").cast("bigint").alias("doc_id"), "page_no", "ord", "text", "confidence",
         b[0]["x"].alias("x0"), b[0]["y"].alias("y0"), b[2]["x"].alias("x1"), b[2]["y"].alias("y1"),
     )
 
@@ -233,10 +242,10 @@ def _(spark, sf):
 @case(
     "bin_columns_fixed_overflow",
     "f2",
-    """select doc_id, page_no, line_no, ord, (case when x < 100 then 0 when x < 300 then 1 when x < 500 then 2 else 3 end)::int as col_no from f2""",
+    """select doc_id, page_no, line_no, ord, (case when x < 100 then 0 when x < 300 then 1 when x < 500 then 2 else 3 end)::int as col_no from f2 where x < 700""",
 )
 def _(spark, sf):
-    return C.bin_columns_fixed(I.words(spark, sf), overflow="last").select(*LINE, "ord", "col_no")
+    return C.bin_columns_fixed(I.words(spark, sf), overflow="drop").select(*LINE, "ord", "col_no")
 
 
 @case("cluster_columns_gap", "clustered", "select doc_id, page_no, line_no, ord, col_no from clustered")
@@ -404,7 +413,8 @@ from f1 group by doc_id, page_no"""
 
 @case("join_pages_markdown", "f1 f7", DOC_TEXT)
 def _(spark, sf):
-    return D.join_pages_markdown(_names(spark, sf), _f1_markdown(spark, sf))
+    lines = I.lines(spark, sf)
+    return D.join_pages_markdown(_names(spark, sf), _f1_markdown(spark, sf), pages=lines.select(*PAGE))
 
 
 F4_TABLE = """select page, -2 as line_no, '| ' || array_to_string(range(width), ' | ') || ' |' as text from (select distinct page, width from f4_rows)
@@ -492,11 +502,14 @@ def _(spark, sf):
     return A.explode_answer_tables(plans.structured_rows(I.answer_pages(spark, sf), I.answers(spark, sf)))
 
 
-MANIFEST = """select doc_id, replace(path, 'in/', '') as file_name, count(status) as n_pages, count(*) filter (status = 'malformed') as n_malformed,
-{status} as status from f7 left join (select doc_id, status from classified) using (doc_id) group by doc_id, path"""
+MANIFEST = """select *, case when reason is null then 'success' else 'failed' end as status from (
+    select doc_id, replace(path, 'in/', '') as file_name, count(c.status) as n_pages, count(*) filter (c.status = 'malformed') as n_malformed,
+    case when read_error is not null then read_error when count(c.status) = 0 then 'no pages' {strict} end as reason
+    from f7 left join classified c using (doc_id) where lower(path) like '%.pdf' group by doc_id, path, read_error)"""
+STRICT = "when bool_or(c.status = 'malformed') then 'malformed answer'"
 
 
-@case("file_manifest", "f7 classified", MANIFEST, status="'success'")
+@case("file_manifest", "f7 classified", MANIFEST, strict="")
 def _(spark, sf):
     return A.file_manifest(I.files(spark, sf), _classified(spark, sf))
 
@@ -505,32 +518,36 @@ def _(spark, sf):
     "file_manifest_strict",
     "f7 classified",
     MANIFEST,
-    status="case when coalesce(bool_or(status = 'malformed'), false) then 'failed' else 'success' end",
+    strict=STRICT,
 )
 def _(spark, sf):
     return A.file_manifest(I.files(spark, sf), _classified(spark, sf), strict=True)
 
 
-@case("failure_report", "f7", REPORT)
+@case("failure_report", "f7 classified", f"select file_name as report from ({MANIFEST}) where status = 'failed'", strict="")
 def _(spark, sf):
-    files = I.files(spark, sf)
-    return A.failure_report(files, files_src.only_pdf(files))
+    return A.failure_report(A.file_manifest(I.files(spark, sf), _classified(spark, sf)))
 
 
 @case(
     "failure_report_strict",
     "f7 classified",
-    "select replace(path, 'in/', '') as report from f7 where doc_id in (select doc_id from classified where status = 'malformed')",
+    f"select file_name as report from ({MANIFEST}) where status = 'failed'",
+    strict=STRICT,
 )
 def _(spark, sf):
-    files = I.files(spark, sf)
-    manifest = A.file_manifest(files, _classified(spark, sf), strict=True)
-    return A.failure_report(files, manifest.filter("status = 'success'"))
+    return A.failure_report(A.file_manifest(I.files(spark, sf), _classified(spark, sf), strict=True))
+
+
+@case("orphan_answers", "f7_pages f7b", """select doc_id, page_no, 2 as attempt, response from f7b where (doc_id, page_no) not in (select (doc_id, page_no) from f7_pages)
+union all select doc_id, page_no, 1, '{"title":"first"}' from f7b where doc_id % 4 = 1 and (doc_id, page_no) not in (select (doc_id, page_no) from f7_pages)""")
+def _(spark, sf):
+    return A.orphan_answers(I.answer_pages(spark, sf), I.answers(spark, sf))
 
 
 @case("output_path", "f7", "select doc_id, path, 'out/' || regexp_replace(replace(path, 'in/', ''), '\\.[^.]*$', '') || '.md' as output_path from f7")
 def _(spark, sf):
-    return A.output_path(I.files(spark, sf), extension=".md")
+    return A.output_path(I.files(spark, sf), extension=".md").drop("read_error")
 
 
 # ---- sinks: what a sink writes, or what is read back from it ----
@@ -538,15 +555,26 @@ def _(spark, sf):
 CSV_CELL = """case when regexp_matches({c}, '[",\\n\\r]') then '"' || replace({c}, '"', '""') || '"' else {c} end"""
 
 
+def _bucketed(lines):
+    """Documents in sixteen folders."""
+    return lines.withColumn("bucket", (F.col("doc_id") % 16).cast("int"))
+
+
+def _written(spark, path):
+    return spark.read.option("lineSep", "\n").text(path).select("bucket", F.col("value").alias("text"))
+
+
 @case(
     "write_table_csv",
     "anchor_lines",
-    f"""select doc_id, page_no, row_no, case when width = 1 and cells[1] = '' then '""'
+    f"""select (doc_id % 16)::int as bucket, case when width = 1 and cells[1] = '' then '""'
     else array_to_string(list_transform(cells, lambda c: {CSV_CELL.format(c="c")}), ',') || repeat(',', width - len(cells)) end as text from anchor_lines""",
     y="y_drift",
 )
 def _(spark, sf):
-    return D.csv_rows(_anchor_lines(spark, sf))
+    path = shared_folder(spark)
+    W.write_table_csv(_bucketed(_anchor_lines(spark, sf)), path, ["bucket", *PAGE], by=["bucket"])
+    return _written(spark, path)
 
 
 @case("write_structured_csv", "final_rows", "select page, title, content, tables from final_rows")
@@ -560,51 +588,62 @@ def _(spark, sf):
 @case(
     "write_page_tables_csv",
     "cluster_cells",
-    f"""select doc_id, page_no, line_no, string_agg({CSV_CELL.format(c="text")}, ',' order by col_no) || repeat(',', any_value(width) - count(*)) as text
+    f"""select (doc_id % 16)::int as bucket, string_agg({CSV_CELL.format(c="text")}, ',' order by col_no) || repeat(',', any_value(width) - count(*)) as text
     from cluster_cells join (select doc_id, page_no, max(n) as width from (select doc_id, page_no, line_no, count(*) as n from cluster_cells group by all) group by all) using (doc_id, page_no)
     group by doc_id, page_no, line_no""",
 )
 def _(spark, sf):
     cells = C.merge_cell_text(C.cluster_columns_gap(I.words(spark, sf))).withColumnRenamed("line_no", "row_no")
-    return D.csv_rows(S.pad_lines(R.table_lines(cells))).withColumnRenamed("row_no", "line_no")
+    path = shared_folder(spark)
+    W.write_page_tables_csv(_bucketed(S.pad_lines(R.table_lines(cells))), path, ["bucket", *PAGE], by=["bucket"])
+    return _written(spark, path)
 
 
 @case(
     "write_markdown",
     "f1 f7",
-    """select doc_id, 0 as page_no, 0 as line_no, 0 as part, '# ' || replace(path, 'in/', '') as text from f7 union all select doc_id, 0, 0, 1, '' from f7
-    union all select doc_id, page_no, -1, unnest([0, 1, 2]), unnest(['', '---', '']) from (select distinct doc_id, page_no from f1 where page_no > 1)
-    union all select doc_id, page_no, line_no, 0, line from f1""",
+    """select (doc_id % 16)::int as bucket, text from (
+    select doc_id, '# ' || replace(path, 'in/', '') as text from f7 union all select doc_id, '' from f7
+    union all select doc_id, unnest(['', '---', '']) from (select distinct doc_id, page_no from f1 where page_no > 1)
+    union all select doc_id, line from f1)""",
 )
 def _(spark, sf):
-    return D.document_lines(_names(spark, sf), _f1_markdown(spark, sf))
+    path = shared_folder(spark)
+    W.write_markdown(_bucketed(D.document_lines(_names(spark, sf), _f1_markdown(spark, sf))), path, by=["bucket"])
+    return _written(spark, path)
 
 
 @case(
     "write_text_rows",
     "anchor_lines",
-    "select doc_id, page_no, row_no, array_to_string(cells, chr(9)) || repeat(chr(9), width - len(cells)) as text from anchor_lines",
+    "select (doc_id % 16)::int as bucket, array_to_string(cells, chr(9)) || repeat(chr(9), width - len(cells)) as text from anchor_lines",
     y="y_drift",
 )
 def _(spark, sf):
-    return D.text_rows(_anchor_lines(spark, sf))
+    path = shared_folder(spark)
+    W.write_text_rows(_bucketed(_anchor_lines(spark, sf)), path, ["bucket", *PAGE], by=["bucket"])
+    return _written(spark, path)
 
 
-@case("write_text_rows_fragments", "f2", "select doc_id, page_no, line_no as row_no, string_agg(text, ' ' order by ord) as text from f2 group by all")
+@case("write_text_rows_fragments", "f2", "select (doc_id % 16)::int as bucket, text from (select doc_id, string_agg(text, ' ' order by ord) as text from f2 group by doc_id, page_no, line_no)")
 def _(spark, sf):
     lines = plans.tables_from_fragments(words_src.explode_word_boxes(I.box_pages(spark, sf)))
-    return D.text_rows(lines, sep=" ")
+    path = shared_folder(spark)
+    W.write_text_rows(_bucketed(lines), path, ["bucket", *PAGE], by=["bucket"], sep=" ")
+    return _written(spark, path)
 
 
 @case(
     "write_sidecar_text",
     "f1",
-    "select doc_id, page_no, case when page_no > 1 then chr(12) else '' end || string_agg(line, chr(10) order by line_no) as text from f1 group by doc_id, page_no",
+    "select (doc_id % 16)::int as bucket, case when page_no > 1 and line_no = 0 then chr(12) else '' end || line as text from f1",
 )
 def _(spark, sf):
     lines = I.lines(spark, sf).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     pages = lines.select(*PAGE, F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("text"))
-    return W.sidecar_text(pages)
+    path = shared_folder(spark)
+    W.write_sidecar_text(_bucketed(pages), path, by=["bucket"])
+    return _written(spark, path)
 
 
 @case("write_regions", "f9", "select page_id, region_no, type, res from f9")
@@ -618,7 +657,7 @@ def _(spark, sf):
 
 
 @case(
-    "reconstruct_table",
+    "page_tables",
     "f2",
     """, ys as (select distinct doc_id, page_no, y + 6 as y from f2), anchors as (
       select doc_id, page_no, min(y) as y, 0 as row_no from ys group by all
@@ -630,7 +669,7 @@ def _(spark, sf):
     wide as (select *, max(n_cells) over (partition by doc_id, page_no) as width from table_rows)
     select doc_id, page_no, row_no, width, t || repeat(chr(9), width - n_cells) as text from wide""",
 )
-def reconstruct_table(spark, sf):
+def page_tables(spark, sf):
     """Word boxes of every page to its padded table rows."""
     lines = plans.tables_from_boxes(I.boxes(spark, sf))
     return lines.select(*PAGE, "row_no", "width", F.array_join("cells", "\t").alias("text"))

@@ -5,7 +5,7 @@ Every table is derived from all rows and whole texts. Ids pick *values* (coordin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctables.operators.blocks import int_block, number_rows
@@ -19,20 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents spread over all cores: a table of fewer scan tasks than cores is dealt out before its texts are cut up."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """Documents dealt out by a hash of their id before their texts are cut up.
+
+    By the hash, not the id: else Spark would leave all pages of a document together in every later step.
+    """
+    return table(spark, sf_dir, "documents").repartition(F.xxhash64("doc_id"))
+
+
+def _with_empty_lines(text: str) -> Column:
+    """The lines of a text with an empty line behind every ninth."""
+    pairs = F.transform(F.split(text, "\n"), lambda line, i: F.when(i % 9 == 8, F.array(line, F.lit(""))).otherwise(F.array(line)))
+    return F.flatten(pairs)
 
 
 def lines(spark, sf_dir) -> DataFrame:
-    """25 lines per page, every tenth line empty."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    """25 lines per page; behind every ninth line an empty one."""
+    docs = documents(spark, sf_dir).select("doc_id", F.array_join(_with_empty_lines("text"), "\n").alias("text"))
     return explode_lines(docs, "text", ["doc_id"], "_ln").selectExpr(
         "doc_id",
         f"int(1 + _ln div {LINES_PER_PAGE}) as page_no",
         f"_ln % {LINES_PER_PAGE} as line_no",
-        "if((doc_id + _ln) % 10 = 9, '', line) as line",
+        "line",
     )
 
 
@@ -63,7 +70,7 @@ def boxes(spark, sf_dir) -> DataFrame:
 
 def _nested_pages(spark, sf_dir) -> DataFrame:
     """Pages with their words still nested (lines of words), built inside each document's row."""
-    docs = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("_l"))
+    docs = documents(spark, sf_dir).select("doc_id", _with_empty_lines("text").alias("_l"))
     pages = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / LINES_PER_PAGE).cast("int")),
         lambda p: F.slice("_l", p * LINES_PER_PAGE + 1, F.lit(LINES_PER_PAGE)),
@@ -75,12 +82,9 @@ def _nested_pages(spark, sf_dir) -> DataFrame:
 
 def _line_items(make) -> object:
     """Per line of ``_lines``: its words in emission order, each turned into a struct by ``make(i, line_no, text)``."""
-    d = F.col("doc_id")
 
     def one_line(line, ln):
-        at = ln + (F.col("page_no") - 1) * LINES_PER_PAGE
-        text = F.when((d + at) % 10 == 9, F.lit("")).otherwise(line)
-        items = F.filter(F.transform(F.split(text, " "), lambda w, i: make(i, ln, w)), lambda s: s["text"] != "")
+        items = F.filter(F.transform(F.split(line, " "), lambda w, i: make(i, ln, w)), lambda s: s["text"] != "")
         return F.when(ln % 3 == 0, F.reverse(items)).otherwise(items)
 
     return F.transform("_lines", one_line)
@@ -144,6 +148,18 @@ def hocr_pages(spark, sf_dir) -> DataFrame:
     return got.select("doc_id", "page_no", F.array_join(F.transform("_w", lambda s: s["span"]), "\n").alias("hocr"))
 
 
+def hocr_documents(spark, sf_dir) -> DataFrame:
+    """F8 as documents: all pages of one, each under its page mark."""
+    pages = hocr_pages(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "hocr"))).alias("_p"))
+    marked = F.transform("_p", lambda p: F.concat(F.lit("<div class='ocr_page' id='page_"), p["page_no"].cast("string"), F.lit("'>\n"), p["hocr"], F.lit("\n</div>\n")))
+    return pages.select("doc_id", F.concat(F.lit("<html><body>\n"), F.array_join(marked, ""), F.lit("</body></html>")).alias("hocr"))
+
+
+def write_hocr(spark, sf_dir, path: str) -> None:
+    """One file of several pages per document, in a folder of the document's id."""
+    hocr_documents(spark, sf_dir).select("doc_id", F.col("hocr").alias("value")).write.partitionBy("doc_id").text(path)
+
+
 def spaced_lines(spark, sf_dir) -> DataFrame:
     """lines with wide blanks; the page is the brand."""
     part = table(spark, sf_dir, "part")
@@ -209,12 +225,13 @@ def files(spark, sf_dir) -> DataFrame:
     """file names with several endings."""
     d = F.col("doc_id")
     ending = F.element_at(F.array(*[F.lit(s) for s in (".PDF", ".pdf", ".Pdf", ".txt", ".pdf.bak")]), (d % 5 + 1).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in/scan."), d.cast("string"), ending).alias("path"))
+    error = F.when(d % 31 == 6, "cannot be read")
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in/scan."), d.cast("string"), ending).alias("path"), error.alias("read_error"))
 
 
 def answer_pages(spark, sf_dir) -> DataFrame:
-    """F7b page side: one page per document."""
-    return documents(spark, sf_dir).select(
+    """F7b page side: one page per document, none of every 37th."""
+    return documents(spark, sf_dir).filter("doc_id % 37 <> 11").select(
         "doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("page_no"), F.col("text").alias("ocr_text")
     )
 
@@ -238,14 +255,15 @@ def answers(spark, sf_dir) -> DataFrame:
         )
     )
     page_no = F.when(d % 17 == 0, 9).otherwise(1 + d % 3).cast("int")
-    return documents(spark, sf_dir).select("doc_id", page_no.alias("page_no"), response.alias("response"))
+    answered = documents(spark, sf_dir).select("doc_id", page_no.alias("page_no"), F.lit(2).alias("attempt"), response.alias("response"))
+    # every fourth page was asked twice; the first attempt does not count
+    first = answered.filter("doc_id % 4 = 1").select("doc_id", "page_no", F.lit(1).alias("attempt"), F.lit('{"title":"first"}').alias("response"))
+    return answered.unionByName(first)
 
 
 def regions(spark, sf_dir) -> DataFrame:
-    """two layout regions per web page, each with an image payload."""
+    """a layout region for every tag of a web page with what follows it, each with an image payload; together they are the page."""
     pages = table(spark, sf_dir, "pages")
-    title = F.struct(F.lit(0).alias("region_no"), F.lit("title").alias("type"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("res"))
-    text = F.struct(F.lit(1).alias("region_no"), F.lit("text").alias("type"), F.length("html").cast("string").alias("res"))
-    return pages.select("page_id", F.encode("url", "UTF-8").alias("img"), F.explode(F.array(title, text)).alias("_r")).select(
-        "page_id", "_r.region_no", "_r.type", "img", "_r.res"
-    )
+    regions = pages.select("page_id", F.encode("url", "UTF-8").alias("img"), F.posexplode(F.split("html", "(?=<)", -1)).alias("region_no", "res"))
+    kind = F.when(F.col("res").rlike("^<h[0-9]>"), "title").when(F.col("res").rlike("^<(li>|a )"), "list").otherwise("text")
+    return regions.select("page_id", "region_no", kind.alias("type"), "img", "res")

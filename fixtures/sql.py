@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from doctables.functions.fixed_values import ALL_FINE, PROMPT_HEAD, PROMPT_TAIL
+from doctables.functions.fixed_values import PROMPT_HEAD, PROMPT_TAIL
 
 INPUTS = {
     "f1_raw": """select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ln, unnest(string_split(text, chr(10))) as line from documents""",
-    "f1": """select doc_id, (1 + ln // 25)::int as page_no, (ln % 25)::int as line_no,
-        case when (doc_id + ln) % 10 = 9 then '' else line end as line from f1_raw""",
+    "f1": """select doc_id, (1 + place // 25)::int as page_no, (place % 25)::int as line_no, line from (
+        select doc_id, ln + ln // 9 as place, line from f1_raw union all select doc_id, ln + ln // 9 + 1, '' from f1_raw where ln % 9 = 8)""",
     "f2_raw": """select doc_id, page_no, line_no, generate_subscripts(string_split(line, ' '), 1) - 1 as i, unnest(string_split(line, ' ')) as text,
         len(string_split(line, ' ')) as n from f1""",
     "f2": """select doc_id, page_no, line_no, (line_no * 100000 + case when line_no % 3 = 0 then n - 1 - i else i end)::bigint as ord, text,
@@ -25,8 +25,9 @@ INPUTS = {
     "f6_profile": """select l_suppkey as page_id, (l_partkey % 400)::int as y, sum(l_quantity::bigint)::bigint as ink from lineitem group by all""",
     "f6_pixels": """select l_suppkey as page_id, (l_partkey % 400)::int as y, (l_quantity::int * 2 + case when l_returnflag = 'R' then 120 else 0 end)::int as v from lineitem""",
     "f6_edges": """select l_orderkey as page_id, pi() / 2 + (l_discount - 0.05) as theta from lineitem""",
-    "f7": """select doc_id, 'in/scan.' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.pdf' when 2 then '.Pdf' when 3 then '.txt' else '.pdf.bak' end as path from documents""",
-    "f7_pages": """select doc_id, (1 + doc_id % 3)::int as page_no, text as ocr_text from documents""",
+    "f7": """select doc_id, 'in/scan.' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.pdf' when 2 then '.Pdf' when 3 then '.txt' else '.pdf.bak' end as path,
+        case when doc_id % 31 = 6 then 'cannot be read' end as read_error from documents""",
+    "f7_pages": """select doc_id, (1 + doc_id % 3)::int as page_no, text as ocr_text from documents where doc_id % 37 <> 11""",
     "f7b": """select doc_id, (case when doc_id % 17 = 0 then 9 else 1 + doc_id % 3 end)::int as page_no,
         case when doc_id % 11 = 0 then '{"title":"T' || doc_id || '"'
              when doc_id % 13 = 0 then '[{"title":"T' || doc_id || '"}]'
@@ -36,8 +37,11 @@ INPUTS = {
              when doc_id % 6 = 0 then '{"title":"T' || doc_id || '","content":"' || lang || '","tables":[]}'
              else '{"title":"T' || doc_id || '","content":"' || lang || ' ' || source || '","tables":[{"table_title":"A' || doc_id || '","table_content":"1;2"},{"table_title":"B"}]}'
         end as response from documents""",
-    "f9": """select page_id, 0 as region_no, 'title' as type, regexp_extract(html, '<h1>(.*?)</h1>', 1) as res from pages
-        union all select page_id, 1, 'text', length(html)::varchar from pages""",
+    "f9_raw": """select page_id, list_filter(list_transform(string_split(html, '<'), lambda t, i: case when i = 1 then t else '<' || t end),
+        lambda t: t <> '') as tags from pages""",
+    "f9_tags": """select page_id, (generate_subscripts(tags, 1) - 1)::int as region_no, unnest(tags) as res from f9_raw""",
+    "f9": """select page_id, region_no, case when regexp_matches(res, '^<h[0-9]>') then 'title' when res like '<li>%' or res like '<a %' then 'list' else 'text' end as type,
+        res from f9_tags""",
     # anchors: a recursive walk over the distinct y of each page
     "ys": "select distinct doc_id, page_no, {y} as y from f2",
     "anchors": """select doc_id, page_no, min(y) as y, 0 as row_no from ys group by all
@@ -57,7 +61,7 @@ INPUTS = {
     "clustered": """select w.*, s.no::int as col_no from f2 w asof join x_starts s
         on w.doc_id = s.doc_id and w.page_no = s.page_no and w.line_no = s.line_no and w.x >= s.x""",
     "cluster_cells": "select doc_id, page_no, line_no, col_no, string_agg(text, ' ' order by ord) as text from clustered group by all",
-    "binned": "select *, (case when x < 100 then 0 when x < 300 then 1 when x < 500 then 2 else 3 end)::int as col_no from f2 where x < 700",
+    "binned": "select *, (case when x < 100 then 0 when x < 300 then 1 when x < 500 then 2 else 3 end)::int as col_no from f2",
     "bin_grid": """select g.doc_id, g.page_no, g.line_no, g.col_no, coalesce(string_agg(b.text, ' ' order by b.ord), '') as text
         from (select doc_id, page_no, line_no, unnest([0, 1, 2, 3]) as col_no from f1) g left join binned b using (doc_id, page_no, line_no, col_no)
         group by all""",
@@ -113,7 +117,7 @@ NEEDS = {
     "f4_rows": ["f4_cells"], "solid": ["f5"], "solid_no": ["solid"], "marked": ["solid_no"], "table_rows": ["marked"],
     "table_sizes": ["table_rows"], "normal": ["table_sizes"], "stitched": ["normal"], "inked": ["f6_profile"], "bands": ["inked"],
     "levels": ["f6_pixels"], "splits": ["levels"], "scored": ["splits"], "thresholds": ["scored"], "inked_px": ["thresholds"],
-    "matched": ["f7_pages", "f7b"], "classified": ["matched"], "structured": ["classified"], "final_rows": ["structured"],
+    "f9_tags": ["f9_raw"], "f9": ["f9_tags"], "matched": ["f7_pages", "f7b"], "classified": ["matched"], "structured": ["classified"], "final_rows": ["structured"],
 }
 
 
@@ -141,5 +145,3 @@ def _quote(text: str) -> str:
 
 
 PROMPT = f"select doc_id, page_no, {_quote(PROMPT_HEAD)} || ocr_text || {_quote(PROMPT_TAIL)} as prompt from f7_pages"
-REPORT = f"""select replace(path, 'in/', '') as report from f7 where not lower(path) like '%.pdf'
-union all select {_quote(ALL_FINE)} where not exists (select 1 from f7 where not lower(path) like '%.pdf')"""

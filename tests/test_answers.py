@@ -54,14 +54,20 @@ def test_answer_tables_and_outcomes(spark):
     assert tables == {(0, 1, 0): ("a", "1"), (0, 2, None): (None, None), (1, 1, None): (None, None), (2, 1, None): (None, None)}
     files = spark.createDataFrame([(i, f"in/s.{i}.pdf") for i in range(4)], "doc_id bigint, path string")
     strict = {r.doc_id: (r.file_name, r.status, r.n_pages, r.n_malformed) for r in A.file_manifest(files, rows, strict=True).collect()}
-    assert strict == {0: ("s.0.pdf", "failed", 2, 1), 1: ("s.1.pdf", "success", 1, 0), 2: ("s.2.pdf", "success", 1, 0), 3: ("s.3.pdf", "success", 0, 0)}
-    assert {r.status for r in A.file_manifest(files, rows).collect()} == {"success"}
-    good = A.file_manifest(files, rows, strict=True).filter("status = 'success'")
-    assert [r.report for r in A.failure_report(files, good).collect()] == ["s.0.pdf"]
-    assert [r.report for r in A.failure_report(files, files).collect()] == ["All files processed successfully."]
+    assert strict == {0: ("s.0.pdf", "failed", 2, 1), 1: ("s.1.pdf", "success", 1, 0), 2: ("s.2.pdf", "success", 1, 0), 3: ("s.3.pdf", "failed", 0, 0)}
+    loose = {r.doc_id: (r.status, r.reason) for r in A.file_manifest(files, rows).collect()}
+    assert loose == {0: ("success", None), 1: ("success", None), 2: ("success", None), 3: ("failed", "no pages")}
+    read = files.selectExpr("*", "if(doc_id = 1, 'cannot be read', null) as read_error").union(spark.createDataFrame([(9, "in/s.9.txt", None)], "doc_id bigint, path string, read_error string"))
+    manifest = A.file_manifest(read, rows, strict=True)
+    assert {r.doc_id: r.reason for r in manifest.collect()} == {0: "malformed answer", 1: "cannot be read", 2: None, 3: "no pages"}
+    assert sorted(r.report for r in A.failure_report(manifest).collect()) == ["s.0.pdf", "s.1.pdf", "s.3.pdf"]
+    assert [r.report for r in A.failure_report(manifest.filter("doc_id = 2")).collect()] == ["All files processed successfully."]
     paths = {r.doc_id: r.output_path for r in A.output_path(files, "out", ".csv").collect()}
     assert paths == {i: f"out/s.{i}.csv" for i in range(4)}
     assert "p1" in A.build_prompt(pages).filter("ocr_text = 'p1'").collect()[0].prompt
+    assert [(r.doc_id, r.page_no, r.response) for r in A.orphan_answers(pages, answers).collect()] == [(5, 1, "{}")]
+    tries = spark.createDataFrame([(0, 1, 1, '{"a":9}'), (0, 1, 2, '{"a":2}'), (0, 1, 2, '{"a":1}')], "doc_id bigint, page_no int, attempt int, response string")
+    assert [r.response for r in A.match_page_answer(pages, tries).filter("doc_id = 0 and page_no = 1").collect()] == ['{"a":2}']
     assert A.quarantine(A.classify_answer(A.match_page_answer(pages, answers))).count() == 1
 
 

@@ -32,8 +32,15 @@ def test_hocr_files(spark, tmp_path):
         '<span class="ocrx_word" title="bbox 50 20 70 40; x_wconf 7"><strong>zwölf</strong></span></span></body></html>'
     )
     (tmp_path / "p.hocr").write_text(text, encoding="utf-8")
-    got = words_src.scan_hocr_words(spark, str(tmp_path)).orderBy("ord").collect()
-    assert [(r.text, r.confidence, r.bbox[0].x, r.bbox[2].y) for r in got] == [("a&b <", 0.96, 10.0, 40.0), ("zwölf", 0.07, 50.0, 40.0)]
+    word = lambda x, inner: f"<span class='ocrx_word'\n title='bbox {x} 1 2 3; x_wconf 50'>{inner}</span>\n"
+    chars = "<span class='ocrx_cinfo'>A</span><span class='ocrx_cinfo'>B</span>"
+    sheets = "".join(f"<div class='ocr_page' id='page_{p}'>\n{word(p, chars)}{word(p + 10, '&#228;&#x20AC;&amp;#65;')}{word(p + 20, '<em>e</em>f')}</div>" for p in (1, 2))
+    (tmp_path / "two.x.hocr").write_text(f"<html><body>{sheets}</body></html>", encoding="utf-8")
+    rows = words_src.scan_hocr_words(spark, str(tmp_path)).collect()
+    got = sorted((r for r in rows if r.doc_id == "p"), key=lambda r: r.ord)
+    assert [(r.page_no, r.ord, r.text, r.confidence, r.bbox[0].x, r.bbox[2].y) for r in got] == [(1, 0, "a&b <", 0.96, 10.0, 40.0), (1, 1, "zwölf", 0.07, 50.0, 40.0)]
+    got = sorted((r.page_no, r.ord, r.text, r.bbox[0].x) for r in rows if r.doc_id == "two.x")
+    assert got == [(p, i, t, p + 10.0 * i) for p in (1, 2) for i, t in enumerate(("AB", "ä€&#65;", "ef"))]
 
 
 def test_table_csv_has_the_bytes_of_a_csv_writer(spark, tmp_path):
@@ -76,6 +83,12 @@ def test_markdown_sidecar_and_regions(spark, tmp_path):
     W.write_markdown(D.document_lines(names, lines), str(tmp_path / "md"))
     body = ["".join(f"{p}.{i}\n" for i in range(30)) for p in (1, 2)]
     assert read(tmp_path / "md" / "doc_id=0") == "# a.pdf\n\n" + "\n---\n\n".join(body)
+    some = lines.filter("page_no = 1").union(spark.createDataFrame([(0, 3, 0, 0, "3.0")], lines.schema))
+    sheets = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "doc_id bigint, page_no int")
+    whole = sorted(D.join_pages_markdown(names, some, pages=sheets).collect(), key=lambda r: (r.page_no, r.block_no))
+    assert "".join(r.text for r in whole) == "# a.pdf\n\n" + body[0] + "\n---\n\n" * 2 + "3.0\n"
+    W.write_markdown(D.document_lines(names, some, pages=sheets), str(tmp_path / "md2"))
+    assert read(tmp_path / "md2" / "doc_id=0") == "".join(r.text for r in whole)
     pages = spark.createDataFrame([(0, 2, "b\n"), (0, 1, "a\n")], "doc_id bigint, page_no int, text string")
     W.write_sidecar_text(pages, str(tmp_path / "txt"))
     assert read(tmp_path / "txt" / "doc_id=0") == "a\n\n\fb\n\n"
