@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from doctables.sinks.stored import shared_folder
+
 SLICE_BYTES = 1 << 20
 
 
@@ -88,10 +93,32 @@ def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark) -> None:
+    """Give this library to the session's Python workers, whose path may not hold it: once, as an archive in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    top, archive = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, str(file.relative_to(top.parent)))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}.zip")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(target)
+    stream.write(bytearray(archive.getvalue()))
+    stream.close()
+    context.addPyFile(system.makeQualified(target).toString())
+    _SENT.add(context.applicationId)
+
+
 def renamed(table, columns: dict[str, str]):
     """Only the named columns, under the names the operator uses: columns beside them cannot clash."""
     from pyspark.sql import functions as F
 
+    send_package(table.sparkSession)
     return table.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 

@@ -2,8 +2,9 @@
 
 Texts are stored once in blocks. Each string of 50 bytes belongs to the least of its hashed 20-byte windows; neighbouring strings with the
 same least window form one segment, so equal strings always stand in segments of equal windows. Blocks first tell which windows they
-have, in a few bytes each; a window of one document only needs no further look. Of the others each block sends its distinct segments with
-the smallest document that has them. A bucket of segments is sorted into a Burrows-Wheeler transform; from it, breadth-first backward
+have, in a few bytes each; a window of one document only needs no further look. Of the others each block sends the hashes of its distinct
+segments with the smallest document that has them; where all segments of a window are equal, that settles them. Only windows with
+different segments need their texts. A bucket of those is sorted into a Burrows-Wheeler transform; from it, breadth-first backward
 extension of intervals finds common prefixes by increasing length and stops at 50, which leaves runs of equal strings. The smallest
 document of each run goes back to the blocks, which mark their bytes. A window that very many blocks have is cut into its single
 strings, which are dealt out by their own hash, so that no bucket gathers all contexts of one passage.
@@ -30,6 +31,7 @@ WINDOW = 20
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
 HOT_BLOCKS = 64
+OPEN = np.iinfo(np.int64).min
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -223,7 +225,7 @@ class Block:
 
 def _windows(block: Block, segments: Segments, buckets: int):
     """The block's distinct windows by bucket and short key: bucket, short key, whether two of its documents have it; per segment its place."""
-    bucket, short = (segments.key % np.uint64(buckets)).astype(np.int64), (segments.key // np.uint64(buckets)).astype(np.uint32)
+    bucket, short = (segments.key % np.uint64(buckets)).astype(np.int64), (segments.key >> np.uint64(32)).astype(np.uint32)
     both, place = np.unique(bucket << 32 | short.astype(np.int64), return_inverse=True)
     low, high = np.full(len(both), NO_ID), np.full(len(both), np.iinfo(np.int64).min)
     ids = block.ids[segments.doc]
@@ -233,7 +235,7 @@ def _windows(block: Block, segments: Segments, buckets: int):
 
 
 def _distinct(block: Block, segments: Segments, buckets: int):
-    """The block's distinct segments ordered by bucket and hash: per distinct one its first place, bucket and smallest document; per segment its number."""
+    """The block's distinct segments ordered by bucket and window: first place, bucket, text's hash, smallest document; per segment its number."""
     end = segments.start + segments.strings + segments.length - 1
     text = segments.hasher(segments.start, end)
     bucket = (segments.key % np.uint64(buckets)).astype(np.int64)
@@ -248,7 +250,7 @@ def _distinct(block: Block, segments: Segments, buckets: int):
     first = order[np.flatnonzero(new)]
     low = np.full(len(first), NO_ID)
     np.minimum.at(low, number, block.ids[segments.doc])
-    return first, bucket[first], low, number
+    return first, bucket[first], text[first], low, number
 
 
 def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -265,10 +267,10 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_b
     spark = docs.sparkSession
     table = renamed(docs, {"doc_id": id_column, "text": text_column}).select(F.col("doc_id").cast("long"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, folder = f"blocks_{uuid4().hex}", shared_folder(spark)
+    title, folder = f"blocks_{uuid4().hex}", shared_folder(spark)
     # bucketed, so that what is joined to the blocks moves and the texts do not
-    blocked(table, block_bytes).write.bucketBy(parts, "block").option("path", folder).saveAsTable(name)
-    blocks = spark.table(name)
+    blocked(table, block_bytes).write.bucketBy(parts, "block").option("path", folder).saveAsTable(title)
+    blocks = spark.table(title)
     total = blocks.select(F.sum(F.octet_length("sizes")), F.sum(F.octet_length("raw"))).first()
     buckets = max(1, 2 * int(total[1] or 0) // bucket_bytes)
 
@@ -293,15 +295,33 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_b
         segments.only(((state > 0) | own)[place], (state == 2)[place])
         return segments
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, states in _read(batches, "states"):
             segments = shared_segments(block, states)
-            first, bucket, low, _ = _distinct(block, segments, buckets)
+            first, bucket, text, low, _ = _distinct(block, segments, buckets)
+            short, cut = (segments.key[first] >> np.uint64(32)).astype(np.uint32), list(_pieces(bucket))
+            packed = [_pack(np.diff(short[a:b], prepend=np.uint32(0)), text[a:b], low[a:b]) for _, a, b in cut]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "block", "names"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _gathered(batches, ("block", "names")):
+            opened = [_unpack(x, "<u4", "<u8", "<i8") for x in rows["names"]]
+            short = np.concatenate([np.cumsum(o[0], dtype=np.uint32) for o in opened])
+            least = _agreed(short, np.concatenate([o[1] for o in opened]), np.concatenate([o[2] for o in opened]))
+            cut = np.cumsum([len(o[0]) for o in opened])[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int64()), pa.array([bucket] * len(opened), pa.int32()), pa.array([_pack(x) for x in np.split(least, cut)], pa.binary())], names=["block", "bucket", "value"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block, states, settled in _read(batches, "states", "settled"):
+            segments = shared_segments(block, states)
+            first, bucket, _, low, _ = _distinct(block, segments, buckets)
+            still = np.flatnonzero(_settled(settled) == OPEN)
+            first, bucket, low = first[still], bucket[still], low[still]
             raw, start, size = block.data.tobytes(), segments.start[first], segments.strings[first] + length - 1
             out: list[list] = [[], [], []]
             for b, x, y in _pieces(bucket):
                 joined = b"".join([raw[s : s + n] for s, n in zip(start[x:y].tolist(), size[x:y].tolist())])
-                for column, value in zip(out, (b, number, _pack(np.frombuffer(joined, np.uint8), size[x:y].astype("<u4"), segments.key[first[x:y]], low[x:y]))):
+                for column, value in zip(out, (b, number, _pack(np.frombuffer(joined, np.uint8), size[x:y].astype("<u4"), low[x:y]))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["bucket", "block", "segments"])
 
@@ -310,15 +330,18 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_b
             yield _answers(bucket, rows, length)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block, states, answers in _read(batches, "states", "answers"):
-            yield _marked(block, shared_segments(block, states), sorted(answers or [], key=lambda x: x["bucket"]), buckets, length)
+        for _, block, states, settled, answers in _read(batches, "states", "settled", "answers"):
+            yield _marked(block, shared_segments(block, states), _settled(settled), sorted(answers or [], key=lambda x: x["bucket"]), buckets, length)
 
     told = blocks.mapInArrow(tell, "bucket int, block long, keys binary").repartition("bucket").sortWithinPartitions("bucket", "block")
     states = told.mapInArrow(compare, "block long, bucket int, value binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "value")).alias("states"))
     states = stored(states)  # two bits for each window of a block
-    sent = blocks.join(states, "block").mapInArrow(send, "bucket int, block long, segments binary").repartition("bucket").sortWithinPartitions("bucket", "block")
+    named = blocks.join(states, "block").mapInArrow(name, "bucket int, block long, names binary").repartition("bucket").sortWithinPartitions("bucket", "block")
+    settled = named.mapInArrow(agree, "block long, bucket int, value binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "value")).alias("settled"))
+    settled = stored(settled)  # a document id for each shared segment of a block
+    sent = blocks.join(states, "block").join(settled, "block").mapInArrow(send, "bucket int, block long, segments binary").repartition("bucket").sortWithinPartitions("bucket", "block")
     answers = sent.mapInArrow(expand, "block long, bucket int, value binary").groupBy("block").agg(F.collect_list(F.struct("bucket", "value")).alias("answers"))
-    marked = blocks.join(states, "block", "left").join(answers, "block", "left").mapInArrow(mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    marked = blocks.join(states, "block", "left").join(settled, "block", "left").join(answers, "block", "left").mapInArrow(mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
     return marked
 
 
@@ -347,10 +370,29 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]):
         yield last, held
 
 
+def _agreed(short: np.ndarray, text: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Per segment the smallest document of its window if all the window's segments are equal, else OPEN."""
+    order = np.lexsort((text, short))
+    s, t = short[order], text[order]
+    window = np.concatenate(([True], s[1:] != s[:-1]))
+    start, group = np.flatnonzero(window), np.cumsum(window) - 1
+    differs = np.concatenate(([False], (t[1:] != t[:-1]) & ~window[1:]))
+    least = np.where(np.logical_or.reduceat(differs, start), OPEN, np.minimum.reduceat(low[order], start))
+    out = np.empty(len(short), np.int64)
+    out[order] = least[group]
+    return out
+
+
+def _settled(rows: list | None) -> np.ndarray:
+    """A block's answers of all buckets in order."""
+    found = [_unpack(x["value"], "<i8")[0] for x in sorted(rows or [], key=lambda x: x["bucket"])]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def _answers(bucket: int, rows: dict, length: int) -> pa.RecordBatch:
     """For each block's segments of a bucket the smallest documents of their strings, as runs: number of runs, their lengths, documents."""
-    opened = [_unpack(x, "u1", "<u4", "<u8", "<i8") for x in rows["segments"]]
-    text, size, key, low = (np.concatenate([o[k] for o in opened]) for k in range(4))
+    opened = [_unpack(x, "u1", "<u4", "<i8") for x in rows["segments"]]
+    text, size, low = (np.concatenate([o[k] for o in opened]) for k in range(3))
     raw, end = text.tobytes(), np.cumsum(size, dtype=np.int64)
     segments = [raw[b - n : b] for b, n in zip(end.tolist(), size.tolist())]
     known: dict[bytes, int] = {}
@@ -371,14 +413,16 @@ def _answers(bucket: int, rows: dict, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "value"])
 
 
-def _marked(block: Block, segments: Segments, answers: list, buckets: int, length: int) -> pa.RecordBatch:
+def _marked(block: Block, segments: Segments, settled: np.ndarray, answers: list, buckets: int, length: int) -> pa.RecordBatch:
     """The block's documents with what is removed from each."""
     gone = np.zeros(len(block.data) + 1, np.int64)
     if len(segments.start):
-        first, _, _, number = _distinct(block, segments, buckets)
-        runs = [_unpack(x["value"], "u1", "<i8") for x in answers]
-        least = np.repeat(np.concatenate([r[1] for r in runs]), np.concatenate([r[0] for r in runs]))
+        first, _, _, _, number = _distinct(block, segments, buckets)
         n = segments.strings[first]
+        least = np.repeat(settled, n)
+        runs = [_unpack(x["value"], "u1", "<i8") for x in answers]
+        if runs:
+            least[least == OPEN] = np.repeat(np.concatenate([r[1] for r in runs]), np.concatenate([r[0] for r in runs]))
         begin = (np.cumsum(n) - n)[number]
         strings = segments.strings
         inner = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
