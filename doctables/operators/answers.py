@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import ALL_FINE, PROMPT_HEAD, PROMPT_TAIL
@@ -45,24 +48,45 @@ def _wrapped(response: Column) -> tuple[Column, Column]:
     return in_list, in_object
 
 
+@contextmanager
+def _last_key_counts(spark: SparkSession) -> Iterator[None]:
+    """JSON parsed in a plan made here takes the last of repeated keys; the session's setting stays as it was."""
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def classify_answer(matched: DataFrame, response: str = "response") -> DataFrame:
-    """``status``: structured (JSON object), fallback (other valid JSON), malformed, or missing."""
+    """``status``: structured (JSON object), fallback (other valid JSON), malformed, or missing. Keys may repeat."""
     r = F.col(response)
     in_list, in_object = _wrapped(r)
-    kind = F.schema_of_variant(F.try_variant_get(in_object, "$.r", "variant"))
-    return matched.withColumn(
+    with _last_key_counts(matched.sparkSession):
+        parsed = matched.withColumns({"_list": in_list, "_object": in_object})
+    kind = F.schema_of_variant(F.try_variant_get("_object", "$.r", "variant"))
+    return parsed.withColumn(
         "status",
         F.when(r.isNull(), "missing")
-        .when(in_list.isNull() | in_object.isNull(), "malformed")
+        .when(F.col("_list").isNull() | F.col("_object").isNull(), "malformed")
         .when(kind.like("OBJECT%"), "structured")
         .otherwise("fallback"),
-    )
+    ).drop("_list", "_object")
 
 
 def parse_structured_json(classified: DataFrame, response: str = "response") -> DataFrame:
-    """Fields of structured answers: absent title and content are empty, absent tables are ``[]``; tables stay JSON text."""
-    r = F.when(F.col("status") == "structured", F.col(response))
-    tables = F.try_variant_get(F.try_parse_json(r), "$.tables", "variant")
+    """Fields of structured answers: absent title and content are empty, absent tables are ``[]``; tables stay JSON text.
+
+    Of repeated keys the last counts.
+    """
+    given = F.when(F.col("status") == "structured", F.col(response))
+    with _last_key_counts(classified.sparkSession):
+        parsed = classified.withColumn("_last", F.try_parse_json(given))
+    classified = parsed.withColumn("_json", F.when(F.try_parse_json(given).isNull(), F.to_json("_last")).otherwise(given))
+    r = F.col("_json")
+    tables = F.try_variant_get("_last", "$.tables", "variant")
     as_text = F.when(F.schema_of_variant(tables) == "STRING", F.to_json(tables)).otherwise(F.get_json_object(r, "$.tables"))
     field = lambda name: F.coalesce(F.get_json_object(r, f"$.{name}"), F.lit(""))
     return classified.withColumns(
@@ -71,7 +95,7 @@ def parse_structured_json(classified: DataFrame, response: str = "response") ->
             "content": F.when(r.isNotNull(), field("content")),
             "tables": F.when(r.isNotNull(), F.coalesce(as_text, F.lit("[]"))),
         }
-    )
+    ).drop("_last", "_json")
 
 
 def fallback_to_ocr(parsed: DataFrame, text: str = "ocr_text", keys: list[str] = PAGE) -> DataFrame:

@@ -8,6 +8,7 @@ from doctables.plans import documents as plans
 
 RESPONSES = [
     '{"title":"t","content":"c","tables":[{"table_title":"a","table_content":"1"}]}',
+    '{"title":"a","title":"b","content":"c","content":"d","tables":[1],"tables":[{"table_title":"z"}]}', '{"a":{"k":1,"k":2}}',
     '{"title":"t"}', "{}", '{"tables":"x"}', '{"tables":[]}', ' {"title":"t"} \n', '{"title":null}',
     '{"title":"t"} x', '{"a":1} {"b":2}', '{"a":1},{"b":2}', "{}] [{}", '{}} {"b":{}', '{"title":"t', "[1,2]", "[]", "null", "1", '"s"', "true",
     "", " ", "x", "[", "]", "}", '{"a":1}]', '{"a":[1,2}', "{'a':1}", '{"a":1,}', "[1],[2]", '1,"b":2', '{"title":"ä|\\n\\"q\\""}',
