@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
 from collections.abc import Iterator
@@ -19,14 +20,25 @@ SLICE_BYTES = 1 << 20
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a slice hold about ``most`` bytes (one longer text is a slice of its own)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(size) - size) // most
-        cuts = np.flatnonzero(np.diff(group)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(size) - size) // most
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                yield batch.slice(a, b - a)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, beside others on the same executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +106,17 @@ def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SENT: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
+def prepare(spark) -> None:
+    """Give this library to the session's Python workers, whose path may not hold it: once, as an archive in the shared folder.
 
-def send_package(spark) -> None:
-    """Give this library to the session's Python workers, whose path may not hold it: once, as an archive in the shared folder."""
+    Rows are whole texts, so a batch of the usual 10,000 rows would hold tens of megabytes on either side: unless the session says
+    otherwise, batches have 1,000.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     context = spark.sparkContext
     if context.applicationId in _SENT:
         return
@@ -118,7 +137,7 @@ def renamed(table, columns: dict[str, str]):
     """Only the named columns, under the names the operator uses: columns beside them cannot clash."""
     from pyspark.sql import functions as F
 
-    send_package(table.sparkSession)
+    prepare(table.sparkSession)
     return table.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
