@@ -1,9 +1,9 @@
 """Quality rules: word statistics of each document, and lines that too many documents of a host share.
 
-A line is normalised (A-Z to a-z, digits to 0, white space to single spaces), hashed with its host, and counted. Documents are counted
-by what stands beside the line: a document is known by the smallest hash among its other lines, so copies count as one. A line is above
-the limit if so many different neighbours were counted and they are half at least of the distinct documents, which near copies are not. Lines above it are removed; a document of which too little is left
-is rejected.
+A line is normalised (A-Z to a-z, digits to 0, white space to single spaces), hashed with its host, and its distinct documents are
+counted. Documents of equal lines count as one. Near copies count as one too: the documents that hold a line of too many documents are
+compared by op4's rule on their whole texts, and each component is one document. Lines above the limit are removed; a document of which
+too little is left is rejected.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doctables.llm import hamming
 from doctables.llm.common import renamed, slices
 from doctables.sinks.stored import stored
 
@@ -69,7 +70,6 @@ def measures(text: str, host: str | None) -> dict:
         twice += line in seen
         seen.add(line)
         lines[h] = lines.get(h, 0) + len(line.encode().split())
-    low = sorted(lines)[:2]
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, BLANKS)),
@@ -79,13 +79,11 @@ def measures(text: str, host: str | None) -> dict:
         "hashes": list(lines),
         "words": list(lines.values()),
         "content": int.from_bytes(hashlib.md5(repr(sorted(lines)).encode()).digest()[:8], "big", signed=True),
-        "first": low[0] if low else 0,
-        "second": low[1] if len(low) > 1 else 0,
     }
 
 
-PROFILE = "doc_id long, tie long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, words array<int>, content long, first long, second long"
-SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("content", pa.int64()), ("first", pa.int64()), ("second", pa.int64())])
+PROFILE = "doc_id long, tie long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, words array<int>, content long"
+SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("content", pa.int64())])
 
 
 def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,20 +98,34 @@ def keyed(docs: DataFrame, id_column: str, text_column: str, host_column: str) -
     return table.select(F.col("doc_id").cast("long"), "text", "host", F.xxhash64("text", "host").alias("tie"))
 
 
+def one_of_near_copies(table: DataFrame, profile: DataFrame, contents: DataFrame) -> DataFrame:
+    """content, component: the same for contents whose texts are near copies of each other. One text stands for all of its content."""
+    holder = F.coalesce(F.col("doc_id"), F.lit(1 << 62))
+    stands = profile.join(contents, "content").groupBy("content").agg(F.min(F.struct(holder.alias("_holder"), F.col("tie").alias("_tie"))).alias("one")).select("content", "one.*")
+    texts = table.join(stands, (holder == F.col("_holder")) & (F.col("tie") == F.col("_tie"))).select("content", "text")
+    near = hamming.near_duplicates(stored(texts.dropDuplicates(["content"])), id_column="content")
+    return near.select(F.col("doc_id").alias("content"), F.col("component_id").alias("component"))
+
+
 def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """Per document: doc_id, tie, the statistics, base_failed, n_removed_words, removed (hashes of its removed lines), kept.
 
     A missing text has no word and no line, and fails. Missing hosts are one host. Repeated rows are judged alike and all stay.
     """
-    profile = stored(keyed(docs, id_column, text_column, host_column).mapInArrow(profiled, PROFILE).withColumn("row", F.monotonically_increasing_id()))
-    lines = profile.select("row", "content", "first", "second", F.explode(F.arrays_zip("hashes", "words")).alias("line")).selectExpr("row", "content", "first", "second", "line.hashes as hash", "line.words as words")
-    # a line of few documents has few neighbours; only the others are looked at again
+    table = keyed(docs, id_column, text_column, host_column)
+    profile = stored(table.mapInArrow(profiled, PROFILE).withColumn("row", F.monotonically_increasing_id()))
+    lines = profile.select("row", "content", F.explode(F.arrays_zip("hashes", "words")).alias("line")).selectExpr("row", "content", "line.hashes as hash", "line.words as words")
+    # a line of few rows is of few documents; only the others are looked at again
     often = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
-    often = lines.join(often, "hash").selectExpr("hash", "row", "words", "content", "if(hash = first, second, first) as beside")
-    beside = often.select("hash", "beside", "content").distinct().groupBy("hash", "beside").agg(F.count(F.lit(1)).alias("n"))
-    above = beside.groupBy("hash").agg(F.count(F.lit(1)).alias("n_beside"), F.sum("n").alias("n")).filter((F.col("n_beside") > max_docs) & (2 * F.col("n_beside") >= F.col("n"))).select("hash")
+    often = lines.join(often, "hash")
+    held = often.select("hash", "content").distinct()
+    many = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
+    held = stored(held.join(many, "hash"))
+    named = one_of_near_copies(table, profile, held.select("content").distinct())
+    distinct = held.join(named, "content").select("hash", "component").distinct()
+    above = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
     hits = often.join(above, "hash").groupBy("row").agg(F.sum("words").alias("_words"), F.collect_list("hash").alias("_hashes"))  # a document's own lines
-    judged = profile.drop("hashes", "words", "content", "first", "second").join(hits, "row", "left")
+    judged = profile.drop("hashes", "words", "content").join(hits, "row", "left")
     removed = F.coalesce("_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = judged.withColumns({"n_removed_words": removed, "removed": F.coalesce("_hashes", F.array().cast("array<long>")), "base_failed": failed})

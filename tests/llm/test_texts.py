@@ -55,6 +55,19 @@ def test_lines_of_many_documents(spark):
     assert clean[3] == prose(3) and clean[200].endswith(licence) and clean[300] == data[12][1]
 
 
+@pytest.mark.parametrize(("shared", "own"), [(10, 1), (10, 2), (30, 3), (2, 5)])
+def test_shared_lines_do_not_shield_each_other(spark, shared, own):
+    spelled = lambda *n: " ".join(f"{chr(97 + j)}{''.join(chr(97 + int(c)) for c in '-'.join(map(str, n)) if c != '-')}" for j in range(9))
+    menu = [f"menu {spelled(k)}" for k in range(shared)]
+    texts = ["\n".join([*menu, *(f"own{'x' * j} {spelled(1000 * (j + 1) + k)}" for j in range(own))]) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "s0", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {line_rules.line_hash("s0", x) for x in menu}
+    assert all(set(r.removed) == want for r in line_rules.verdicts(docs).collect())
+    # exact copies count once: twenty distinct documents, however often each is repeated, are not above twenty
+    few = docs.filter("doc_id < 20").crossJoin(spark.range(3).select()).repartition(3)
+    assert all(not r.removed for r in line_rules.verdicts(few).collect())
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
