@@ -2,7 +2,7 @@
 
 A seed is a fixed mask laid over consecutive words; only the words under its ones are hashed, so a word replaced under a zero changes
 nothing. Hashes of the benchmark's seeds meet those of the corpus in a join; before it, a bit map of fixed size drops almost all corpus
-seeds that no benchmark item has. Around each hit, text and item are laid over each other and the best stretch with few substitutions
+seeds that no benchmark item has. Around each hit, text and item are laid over each other and any stretch with few substitutions
 decides.
 """
 
@@ -89,8 +89,29 @@ def overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     return a + start, a + end, int(same[start:end].sum())
 
 
+def qualifying(text: np.ndarray, item: np.ndarray, diagonal: int, min_matched: int, min_percent: int) -> tuple[int, int, int] | None:
+    """Of the stretches of a diagonal that meet both limits, the shortest of those in which most words agree; None if none does."""
+    a, b = max(0, diagonal), min(len(text), diagonal + len(item))
+    if b - a < max(1, min_matched):
+        return None
+    same = text[a:b] == item[a - diagonal : b - diagonal]
+    agree = np.concatenate(([0], np.cumsum(same)))
+    score = 100 * agree - min_percent * np.arange(len(agree))  # a stretch has the share if its score is not negative
+    ahead = np.maximum.accumulate(score[::-1])  # the highest score at a place or after it, from the end
+    last = len(score) - 1 - np.searchsorted(ahead, score)  # the last end that goes with each start
+    n = agree[last] - agree
+    most = int(n.max())
+    if most < max(1, min_matched):
+        return None
+    at, starts = np.flatnonzero(same), np.flatnonzero(n == most)
+    first = at[agree[starts]]  # without the words at either end that do not agree
+    end = at[agree[last[starts]] - 1] + 1
+    k = int((end - first).argmin())
+    return a + int(first[k]), a + int(end[k]), most
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED, min_percent: int = MIN_PERCENT, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item that overlap: doc_id, tie, item_id, start, end (words), n_matched; the best stretch of each pair.
+    """One row per document and item that overlap: doc_id, tie, item_id, start, end (words), n_matched; the best stretch of each pair that counts.
 
     A stretch counts if ``min_matched`` words agree and they are ``min_percent`` of it. Missing and empty texts overlap with nothing, nor do
     items of fewer words. Repeated documents are reported once by id and text; repeated items each.
@@ -126,8 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_M
             (word, first), (other, start) = word_hashes(batch.column("text")), word_hashes(batch.column("item_words"))
             for k, (doc, tie, item, diagonals) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "item_id", "diagonals")))):
                 text, words = word[first[k] : first[k + 1]], other[start[k] : start[k + 1]]
-                a, b, n = max((overlap(text, words, d) for d in diagonals), key=lambda x: x[2])
-                if n >= min_matched and 100 * n >= min_percent * (b - a):
+                met = [x for d in sorted(diagonals) if (x := qualifying(text, words, d, min_matched, min_percent))]
+                if met:
+                    a, b, n = max(met, key=lambda x: (x[2], x[0] - x[1]))
                     for column, value in zip(out, (doc, tie, item, a, b, n)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "tie", "item_id", "start", "end", "n_matched"])

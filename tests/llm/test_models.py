@@ -49,6 +49,28 @@ def test_overlap_is_the_best_stretch():
         assert value(a, b) == best and n == sum(text[p] == item[p - d] for p in range(a, b))
 
 
+def test_any_stretch_that_qualifies_is_found(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text, item, d = (rng.random(40) < 0.2).astype(int), (rng.random(25) < 0.2).astype(int), int(rng.integers(-24, 40))
+        least, percent = int(rng.integers(1, 12)), int(rng.choice([50, 80, 90, 100]))
+        inside = range(max(0, d), min(len(text), d + len(item)) + 1)
+        agree = lambda x, y: int((text[x:y] == item[x - d : y - d]).sum())
+        good = [(agree(x, y), x - y) for x in inside for y in inside if x < y and agree(x, y) >= least and 100 * agree(x, y) >= percent * (y - x)]
+        got = spaced_seeds.qualifying(text, item, d, least, percent)
+        assert (got is None) == (not good)
+        if got:
+            assert (got[2], got[0] - got[1]) == max(good) and got[2] == agree(got[0], got[1])
+    item = [f"item{k}" for k in range(60)]
+    other = lambda a, b: [f"other{k}" for k in range(a, b)]
+    runs = item[:13] + other(0, 6) + item[19:32] + other(6, 12) + item[38:51]  # 39 of 51, but each run is whole
+    short = item[:10] + other(0, 4) + item[14:24] + other(4, 8) + item[28:38] + other(8, 12) + item[42:52]
+    moved = item[:20] + other(0, 9) + item[29:49] + other(9, 30) + item[:30]  # two diagonals
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((runs, short, moved, item[:9] + other(0, 20)))], "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.end, r.n_matched) for r in spaced_seeds.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2} and got[0][2] >= 13 and got[1][2] >= 10 and got[2][2] >= 30
+
+
 def distance(a, b):
     """Edits between two words, an exchange of neighbours being one."""
     d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
