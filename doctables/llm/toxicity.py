@@ -41,11 +41,15 @@ def terms_of(word: str) -> set[str]:
 
 
 class Lexicon:
-    """A trie of terms, searched with at most one edit."""
+    """A trie of terms, searched with at most one edit; with ``any_first`` also where the first letter was replaced or dropped.
 
-    def __init__(self, terms: list[str], fuzzy: set[str] | None = None):
+    Terms of fewer than LEAST_FUZZY letters are met exactly only.
+    """
+
+    def __init__(self, terms: list[str], fuzzy: set[str] | None = None, any_first: bool = False):
         self.terms = terms
         self.fuzzy = set(terms) if fuzzy is None else fuzzy
+        self.any_first = any_first
         self.root: dict = {}
         self.memo: dict[str, tuple[str | None, bool]] = {}
         for term in terms:
@@ -77,12 +81,27 @@ class Lexicon:
             return None
         first = list(range(len(word) + 1))
         for letter, node in self.root.items():
-            if letter in word[:2]:  # an edit leaves the first letter, or its neighbour, in place
+            found = None
+            if letter in word[:2]:
                 found = self._walk(node, letter, "", word, first, None)
-                if found:
-                    return found, False
+            elif self.any_first:  # the term's first letter is the edit: it was replaced or dropped, and the rest is met exactly
+                found = self._rest(node, word[1:]) or self._rest(node, word)
+            if found:
+                return found, False
         return None
 
+    def _rest(self, node: dict, rest: str) -> str | None:
+        """A fuzzy term whose letters from a node on are those of the rest."""
+        met = []
+        for letter in rest:
+            met.append(node.get("*"))
+            node = node.get(letter)
+            if node is None:
+                break
+        else:
+            met += [node.get(""), node.get("*")]
+        return next((t for t in met if t in self.fuzzy and len(t.rstrip("*")) >= LEAST_FUZZY), None)
+
     def _walk(self, node: dict, letter: str, before: str, word: str, row: list[int], above: list[int] | None) -> str | None:
         new = [row[0] + 1]
         for k in range(1, len(word) + 1):
@@ -181,7 +200,7 @@ def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lex
     strong = seen.filter((F.col("term") != "") & (F.col("toxic") >= least) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("other"))))
     strong = strong.orderBy((F.col("toxic") / (F.col("other") + 1)).desc(), "term").limit(8 * MAX_TERMS).collect()
     kept = chosen_terms({r.term: r.toxic for r in strong})
-    lexicon = Lexicon(kept)
+    lexicon = Lexicon(kept, any_first=True)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -196,7 +215,7 @@ def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lex
         (bad if toxic else good).update({t for t, exact, _ in own if not exact})
     # a term that clean texts come near by chance is only met exactly
     fuzzy = {t for t in kept if good[t] == 0 or bad[t] >= 3 * good[t]}
-    lexicon = Lexicon(kept, fuzzy)
+    lexicon = Lexicon(kept, fuzzy, any_first=True)
     own = [(toxic, [h for h in found_ if h[1] or h[0] in fuzzy]) for toxic, found_ in sample]
     weights = fit(np.array([counts(h) for _, h in own]), np.array([float(t) for t, _ in own]))
     # where no labelled text was misspelled, an edited term counts as four fifths of a term

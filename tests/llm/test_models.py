@@ -95,6 +95,21 @@ def test_automaton_finds_what_is_one_edit_away():
     assert toxicity.Lexicon(["abcde*"]).find("abdcefgh") == ("abcde*", False)
 
 
+def test_any_letter_may_be_edited():
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choices("abc", k=rng.randint(5, 7))) for _ in range(12)})
+    lexicon = toxicity.Lexicon(terms, any_first=True)
+    for _ in range(3000):
+        word = "".join(rng.choices("abcd", k=rng.randint(4, 8)))
+        near = [t for t in terms if distance(word, t) <= 1]
+        term, exact = lexicon.find(word)
+        assert (term in near and exact == (term == word)) if near else term is None, (word, near, term)
+    assert [toxicity.Lexicon(["grumpox"], any_first=True).find(w) for w in ("brumpox", "rumpox", "xgrumpox")] == [("grumpox", False)] * 3
+    assert [toxicity.Lexicon(["grump*"], any_first=True).find(w) for w in ("brumpox", "rumpox")] == [("grump*", False)] * 2
+    assert toxicity.hits("4sshole", toxicity.Lexicon(["asshole"], any_first=True)) == [("asshole", False, False)]
+    assert toxicity.Lexicon(["grumpox"], set(), True).find("brumpox") == (None, False)
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     data, labels = [], []
