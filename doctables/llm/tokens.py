@@ -1,7 +1,7 @@
 """Token ids of whole texts from a public tokenizer file, by the tokenizers library.
 
 The library's model encodes each piece (see ``pretokens``) without regard to its neighbours, so the pieces of a slice of texts are
-looked up, by a 64-bit hash, in a memo of fixed size, and only those that it lacks go to the library. Texts with a special string, and
+looked up in a memo of fixed size, and only those that it lacks go to the library. Texts with a special string, and
 characters that the library's normalizer may change, go through the library whole. Ids are little-endian unsigned 16-bit.
 """
 
@@ -13,11 +13,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from doctables.llm.common import SpanHasher, text_bytes
+from doctables.llm.common import numbered, text_bytes
 from doctables.llm.pretokens import cuts
 
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 POOL = 1 << 22
+#: Longer pieces are computed anew in every slice.
+LONGEST = 64
 #: Fixed value: the first bytes of UTF-8 characters from U+0100, which normalizing may change.
 WIDE_LEAD = 0xC4
 
@@ -31,17 +33,17 @@ def byte_letters() -> list[str]:
 
 
 class Pieces:
-    """A memo of fixed size: from a piece's hash to its values, held end to end in one pool."""
+    """A memo of fixed size: from a piece's bytes to its values, held end to end in one pool. Equal pieces of a slice are found by their bytes."""
 
     def __init__(self, compute, kind):
         self.compute, self.kind = compute, kind
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.known: dict[bytes, int] = {}  # place in the pool, shifted, and size
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _add(self, values: np.ndarray) -> np.ndarray:
+    def _add(self, values: np.ndarray) -> None:
         need = self.used + len(values)
         if need > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(need, len(self.pool)), self.kind)))
@@ -49,27 +51,23 @@ class Pieces:
         self.used = need
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per piece: where its values begin in the pool, and how many there are."""
-        if self.used > POOL:
+        """Per piece: where its values begin in the pool, and how many there are. Pieces hold at least a byte and do not overlap."""
+        if self.used > POOL or len(self.known) > SLOTS:
             self.clear()
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        hashes = SpanHasher(data)(starts, ends) | np.uint64(1)
-        slot = (hashes >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
-        known = self.keys[slot] == hashes
-        at, size = self.at[slot], self.size[slot]
-        lacking = np.flatnonzero(~known)
-        if len(lacking):
-            _, where, back = np.unique(hashes[lacking], return_index=True, return_inverse=True)
-            new = lacking[where]
-            raw = data.tobytes()
-            found = [self.compute(raw[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            sizes = np.array([len(x) for x in found], np.int32)
-            places = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-            self._add(np.array([x for values in found for x in values], self.kind))
-            self.keys[slot[new]], self.at[slot[new]], self.size[slot[new]] = hashes[new], places, sizes
-            at[lacking], size[lacking] = places[back], sizes[back]
-        return at, size
+        number, pieces = numbered(data, starts, ends)
+        places, fresh = [self.known.get(p, -1) for p in pieces], self.used
+        new = [k for k, place in enumerate(places) if place < 0]
+        found = [self.compute(pieces[k]) for k in new]
+        for k, values in zip(new, found):
+            places[k] = fresh << 32 | len(values)
+            fresh += len(values)
+            if len(pieces[k]) <= LONGEST:
+                self.known[pieces[k]] = places[k]
+        self._add(np.array([x for values in found for x in values], self.kind))
+        place = np.array(places, np.int64)[number]
+        return place >> 32, (place & 0xFFFFFFFF).astype(np.int32)
 
     def gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The values of these pieces end to end."""
