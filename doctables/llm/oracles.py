@@ -50,3 +50,46 @@ b as (select w.doc_id, len(w.w)::bigint as n_words, list_sum(list_transform(w.w,
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
 select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed,
     not base_failed and 100 * (n_words - n_removed_words) >= 30 * n_words as kept from j"""
+
+
+def _centroids(rounds: int = 3, k: int = 16, width: int = 64) -> str:
+    """Every distance of every vector to every centroid, round by round."""
+    steps = [f"""v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+    where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {width}),
+c0 as materialized (select row_number() over (order by h, v) - 1 as c, v as w from (select *, sha256('1:' || vec_id) as h from v where vec_id is not null order by h, v limit {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select r, min((d, c)) as best from (
+    select v.r, c, list_sum(list_transform(range(1, {width + 1}), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::bigint as d from v cross join c{r}) group by r)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} as materialized (select c, coalesce(m, w) as w from c{r} left join (
+    select c, list((s - ((s % n) + n) % n) // n order by i) as m from (
+        select best[2] as c, i, sum(v[i])::bigint as s, count(*) as n from (select *, unnest(range(1, {width + 1})) as i from v join a{r} using (r)) group by all) group by c) using (c))""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, best[2]::int as cluster, best[1] as distance, sum(best[1]) over (partition by best[2])::bigint as cluster_inertia, sum(best[1]) over ()::bigint as inertia,
+    sha256(array_to_string(w, ',')) as centroid_sha256 from v join a{rounds} using (r) join c{rounds} on c = best[2]"""
+
+
+CENTROIDS = _centroids()
+
+#: Every order of the filters over the patterns of failures, first failure found by position.
+FILTER_AUDIT = r"""with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+lab as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 50 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 65 * len(w) then 'B' else '' end
+    || case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end as fails
+    from w left join lab using (doc_id)),
+pat as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (select a.l || b.l || c.l || d.l || e.l as o from x a, x b, x c, x d, x e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+hit as (select part, fails, n, good, toxic, o, list_min(list_transform(string_split(fails, ''), lambda c: strpos(o, c))) as place from pat, orders where fails <> ''
+    union all select part, fails, n, good, toxic, o, 99 as place from pat, orders where fails = ''),
+total as (select part, sum(n) as n from pat group by part),
+steps as (select part, o, i as step, o[i] as l from total, orders, (select unnest([1, 2, 3, 4, 5]) as i)),
+done as (select s.part, s.o, s.step, s.l, coalesce(sum(n) filter (place > step), 0) as kept, coalesce(sum(n) filter (place = step), 0) as removed,
+    coalesce(sum(n) filter (contains(fails, l) and place < step), 0) as redundant, coalesce(sum(n) filter (fails = l), 0) as unique_fails,
+    coalesce(sum(good) filter (place = step), 0) as good_lost, coalesce(sum(toxic) filter (place = step), 0) as toxic_lost
+    from steps s join hit on hit.part = s.part and hit.o = s.o group by all)
+select part, o as filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+    good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, l)::bigint as shapley from done"""
