@@ -99,8 +99,8 @@ class SpanHasher:
         return mixed(value + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each span (in order, not empty, no two overlap) and the bytes of each number: equal numbers are equal bytes."""
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """A number for each span (in order, not empty, no two overlap) and the bytes of each number, as they first occur: equal numbers are equal bytes."""
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts] += 1
     edge[ends] -= 1
@@ -109,7 +109,7 @@ def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     offsets = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
     spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held))])
     coded = spans.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

