@@ -18,6 +18,10 @@ PAGE_BREAK = "\n---\n\n"
 STRUCTURED_FIELDS = ("page", "title", "content", "tables")
 ALL_FINE = "All files processed successfully."
 
+# --- fixed values: entities of HTML text ---
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+NAMED_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
 # --- fixed values: the request text around a page's recognised text ---
 PROMPT_HEAD = """Analysiere das folgende Bild und den OCR-Text. Das Bild ist ein eingescanntes Dokument, das Text, Tabellen und andere strukturierte Informationen enthalten kann. Der OCR-Text wird unten bereitgestellt. Deine Aufgaben sind:
 

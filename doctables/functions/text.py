@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doctables.functions.fixed_values import OUTER_BLANK, SEPARATOR_RUN, TABLE_SEPARATOR, WIDE_BLANK
+from doctables.functions.fixed_values import ENTITY, NAMED_ENTITIES, OUTER_BLANK, SEPARATOR_RUN, TABLE_SEPARATOR, WIDE_BLANK
 
 
 def strip_blank(text: Column) -> Column:
@@ -58,25 +58,24 @@ def markdown_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(escaped, " | "), F.lit(" |"))
 
 
-NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-
-
-def _character(number: Column) -> Column:
-    """The character of a numeric entity, given as decimal digits or as x and hexadecimal ones."""
-    hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
-    digits = F.when(hexadecimal, F.upper(F.substring(number, 2, 6))).otherwise(F.conv(number, 10, 16))
-    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+def _character(entity: Column) -> Column:
+    """The character of an entity, given without ``&`` and ``;``. A number that is no character gives U+FFFD."""
+    hexadecimal = F.lower(F.substring(entity, 2, 1)) == "x"
+    number = F.when(hexadecimal, F.conv(F.substring(entity, 3, 6), 16, 10)).otherwise(F.substring(entity, 2, 7)).cast("bigint")
+    usable = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    numeric = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    found = F.when(entity.startswith("#"), numeric)
+    for name, character in NAMED_ENTITIES.items():
+        found = found.when(entity == name, character)
+    return found
 
 
 def unescape_html(text: Column) -> Column:
-    """Numeric entities and the five predefined ones; ``&amp;`` last, so that nothing is decoded twice."""
-    between = F.split(text, NUMERIC_ENTITY, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(1)), _character)
+    """Numeric entities and the five predefined ones, all found in one pass, so that nothing is decoded twice."""
+    between = F.split(text, ENTITY, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), _character)
     joined = F.array_join(F.zip_with(between, found, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
-    text = F.when(text.contains("&#"), joined).otherwise(text)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def base_name(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import ALL_FINE, PROMPT_HEAD, PROMPT_TAIL
@@ -37,17 +37,6 @@ def orphan_answers(pages: DataFrame, answers: DataFrame, keys: list[str] = PAGE)
     return answers.join(pages.select(*keys).distinct(), keys, "left_anti")
 
 
-def _wrapped(response: Column) -> tuple[Column, Column]:
-    """The response inside an array and inside an object.
-
-    JSON parsers stop after the first value, so trailing text would go unnoticed. Text that closes one wrapper early cannot
-    close the other one, so a response is valid JSON exactly if both parse.
-    """
-    in_list = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"r":'), response, F.lit("}")))
-    return in_list, in_object
-
-
 @contextmanager
 def _last_key_counts(spark: SparkSession) -> Iterator[None]:
     """JSON parsed in a plan made here takes the last of repeated keys; the session's setting stays as it was."""
@@ -61,41 +50,33 @@ def _last_key_counts(spark: SparkSession) -> Iterator[None]:
 
 
 def classify_answer(matched: DataFrame, response: str = "response") -> DataFrame:
-    """``status``: structured (JSON object), fallback (other valid JSON), malformed, or missing. Keys may repeat."""
-    r = F.col(response)
-    in_list, in_object = _wrapped(r)
+    """``status``: structured (JSON object), fallback (other valid JSON), malformed, or missing; ``answer``: the parsed value.
+
+    Parsers stop behind the first value, so trailing text would go unnoticed. The response is therefore parsed once, as the first of two
+    elements; the second is its own checksum. Whatever closes the list early or adds elements leaves no checksum in second place.
+    Of repeated keys the last counts.
+    """
+    r, sum_of = F.col(response), F.md5(F.col(response))
     with _last_key_counts(matched.sparkSession):
-        parsed = matched.withColumns({"_list": in_list, "_object": in_object})
-    kind = F.schema_of_variant(F.try_variant_get("_object", "$.r", "variant"))
-    return parsed.withColumn(
-        "status",
-        F.when(r.isNull(), "missing")
-        .when(F.col("_list").isNull() | F.col("_object").isNull(), "malformed")
-        .when(kind.like("OBJECT%"), "structured")
-        .otherwise("fallback"),
-    ).drop("_list", "_object")
+        parsed = matched.withColumn("answer", F.try_parse_json(F.concat(F.lit("["), r, F.lit(',"'), sum_of, F.lit('"]'))))
+    valid = F.coalesce(F.try_variant_get("answer", "$[1]", "string") == sum_of, F.lit(False))
+    status = F.when(r.isNull(), "missing").when(~valid, "malformed").when(r.rlike("^[ \\t\\r\\n]*\\{"), "structured").otherwise("fallback")
+    return parsed.withColumn("status", status)
 
 
-def parse_structured_json(classified: DataFrame, response: str = "response") -> DataFrame:
-    """Fields of structured answers: absent title and content are empty, absent tables are ``[]``; tables stay JSON text.
+def parse_structured_json(classified: DataFrame) -> DataFrame:
+    """Fields of structured answers: absent or null title and content are empty, absent or null tables are ``[]``; tables stay JSON text.
 
-    Of repeated keys the last counts.
+    All are taken from the value that ``classify_answer`` parsed. Tables of titles and contents are written in that order; other values
+    with their keys sorted.
     """
-    given = F.when(F.col("status") == "structured", F.col(response))
-    with _last_key_counts(classified.sparkSession):
-        parsed = classified.withColumn("_last", F.try_parse_json(given))
-    classified = parsed.withColumn("_json", F.when(F.try_parse_json(given).isNull(), F.to_json("_last")).otherwise(given))
-    r = F.col("_json")
-    tables = F.try_variant_get("_last", "$.tables", "variant")
-    as_text = F.when(F.schema_of_variant(tables) == "STRING", F.to_json(tables)).otherwise(F.get_json_object(r, "$.tables"))
-    field = lambda name: F.coalesce(F.get_json_object(r, f"$.{name}"), F.lit(""))
-    return classified.withColumns(
-        {
-            "title": F.when(r.isNotNull(), field("title")),
-            "content": F.when(r.isNotNull(), field("content")),
-            "tables": F.when(r.isNotNull(), F.coalesce(as_text, F.lit("[]"))),
-        }
-    ).drop("_last", "_json")
+    good = F.col("status") == "structured"
+    field = lambda name: F.when(good, F.coalesce(F.try_variant_get("answer", f"$[0].{name}", "string"), F.lit("")))
+    given = F.try_variant_get("answer", "$[0].tables", "variant")
+    text, ordered = F.to_json(given), F.to_json(F.try_variant_get("answer", "$[0].tables", ANSWER_TABLES))
+    same = F.length(text) == F.length(ordered)  # else a table holds something beside them
+    tables = F.when(given.isNull() | F.is_variant_null(given), "[]").when(same, ordered).otherwise(text)
+    return classified.withColumns({"title": field("title"), "content": field("content"), "tables": F.when(good, tables)}).drop("answer")
 
 
 def fallback_to_ocr(parsed: DataFrame, text: str = "ocr_text", keys: list[str] = PAGE) -> DataFrame:
@@ -113,7 +94,7 @@ def fallback_to_ocr(parsed: DataFrame, text: str = "ocr_text", keys: list[str] =
 
 def quarantine(classified: DataFrame) -> DataFrame:
     """Malformed answers, kept aside for inspection."""
-    return classified.filter(F.col("status") == "malformed")
+    return classified.filter(F.col("status") == "malformed").drop("answer")
 
 
 def explode_answer_tables(parsed: DataFrame, keys: list[str] = PAGE) -> DataFrame:

@@ -1,30 +1,29 @@
 """Ordered work on groups of any size.
 
-A window over a whole page is one task, however large the page is. The helpers here cut a group into *blocks* along its
-order, work inside a block with an ordinary window, and carry a small summary row per block across the group. Ordinary
-pages have a single block, so they pay for one extra small aggregate; a page that holds a large part of all words is
-spread over as many tasks as it has blocks.
+A window over a whole page is one task, however large the page is. The helpers here cut a large group into *parts* along its order, work
+inside a part with an ordinary window, and carry one small row per part across the group. Ordinary groups have a single part, so they
+cost one window; a group that holds a large share of all rows is spread over as many tasks as it has parts.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of a dense integer position (line number, scanline) per block.
 LINES_PER_BLOCK = 65536
-# A block with more rows than this is split further.
-CROWDED = 1 << 22
 # Table rows per block.
 ROWS_PER_BLOCK = 4096
-# Words of one emission range; a dense spot on a page is spread by it.
-WORDS_PER_SALT = 1 << 22
-# A block of coordinates spans this many tolerances; it bounds the marks (row or cluster starts) of a block.
-TOLERANCES_PER_BLOCK = 256
-# Block 0 starts this part of a block width below zero.
-BLOCK_LEAD = 32
-# Blocks per super-block in chains of blocks.
-BLOCKS_PER_SUPER = 1024
+# Rows of a part, about.
+ROWS_PER_PART = 1 << 20
+# Parts are larger where all groups together would have more than so many; it bounds every small table of parts.
+MOST_PARTS = 4096
+# Rows looked at to find where a part ends.
+SAMPLES = 64
+# Cuts that are compared one by one; cuts are found in two steps.
+CUTS_AT_ONCE = 64
 
 
 def int_block(position: Column, size: int = LINES_PER_BLOCK) -> Column:
@@ -38,68 +37,82 @@ def int_block(position: Column, size: int = LINES_PER_BLOCK) -> Column:
     return F.shiftright(position.cast("bigint"), size.bit_length() - 1)
 
 
-def value_block(value: Column, width: float) -> Column:
-    """Blocks of coordinates. Block 0 starts a little below zero, so that the usual first values lie well inside it."""
-    return F.floor((value + F.lit(width / BLOCK_LEAD)) * F.lit(1.0 / width)).cast("bigint")
-
+class Parted(NamedTuple):
+    """Rows with their ``_part``, and the keys of the groups with more than one part (None: there are none)."""
 
-def block_top(block: Column, width: float) -> Column:
-    """A value that no value of the block lies below (give or take a rounding error)."""
-    return block * F.lit(float(width)) - F.lit(width / BLOCK_LEAD)
+    rows: DataFrame
+    large: DataFrame | None
 
 
-def running_sum(counts: DataFrame, keys: list[str], path: list[str], n: str, before: str, total: str | None = None) -> DataFrame:
-    """Sum of ``n`` over the rows that precede each row of its group in the order of ``path`` (and over all of them).
+def parted(rows: DataFrame, keys: list[str], order: list[str], part_rows: int = ROWS_PER_PART) -> Parted:
+    """Cut groups of more than about ``part_rows`` rows into parts along ``order``: no row of a part precedes one of an earlier part.
 
-    ``counts`` has one row per ``keys + path``. The first path column is a coarse block: the sum runs inside the block, and
-    the blocks' sums run over the group.
+    The sizes of the groups are counted first. Where a large group is cut follows from rows picked by a hash of their place, so it depends
+    on the data alone and a task that runs again cuts alike. Fewer than ``MOST_PARTS`` groups can be large, since a part grows with the
+    number of all rows. Rows of one place stay together; a unique last column of ``order`` lets crowded places be cut too.
     """
-    top = path[0]
-    blocks = counts.groupBy(*keys, top).agg(F.sum(n).alias("_block_n"))
-    over = Window.partitionBy(*keys)
-    ahead = over.orderBy(top).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn(before, F.coalesce(F.sum("_block_n").over(ahead), F.lit(0)))
-    if total:
-        blocks = blocks.withColumn(total, F.sum("_block_n").over(over))
-    if len(path) == 1:
-        return blocks.drop("_block_n")
-    inside = Window.partitionBy(*keys, top).orderBy(*path[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(blocks.drop("_block_n"), [*keys, top])
-        .withColumn(before, F.col(before) + F.col("_inside"))
-        .drop("_inside")
-    )
-
-
-def number_rows(df: DataFrame, keys: list[str], block: Column, order: list[str], out: str, finer: list[Column] = [], crowded: int = CROWDED) -> DataFrame:
-    """0-based position of each row in its group, following ``order``.
-
-    ``block`` splits a group along the order: every row of an earlier block precedes every row of a later one. A block of more
-    than ``crowded`` rows (many rows at one position, or copies) is split further along ``finer``, in the same sense. There
-    are at most (rows / ``crowded``) such blocks, so their list is small and is broadcast.
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (most or 0) <= part_rows:
+        return Parted(rows.withColumn("_part", F.lit(0)), None)
+    size = max(part_rows, -(-total // MOST_PARTS))
+    step = max(size // SAMPLES, 1)
+    large = F.broadcast(sizes.filter(F.col("_n") > size).select(*keys))
+    place = F.struct(*order)
+    picked = rows.join(large, keys).select(*keys, place.alias("_at")).filter(F.pmod(F.xxhash64("_at"), F.lit(step)) == 0)
+    every = lambda cuts, n: F.filter(cuts, lambda c, i: i % n == n - 1)
+    cuts = picked.distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
+    cuts = cuts.select(*keys, every("_cuts", size // step).alias("_cuts")).select("*", every("_cuts", CUTS_AT_ONCE).alias("_wide"))
+    before = lambda some: F.size(F.filter(some, lambda c: c <= place))
+    found = rows.join(F.broadcast(cuts), keys, "left").withColumn("_wide", before("_wide") * CUTS_AT_ONCE)
+    part = F.col("_wide") + before(F.slice("_cuts", F.col("_wide") + 1, F.lit(CUTS_AT_ONCE)))
+    return Parted(found.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts", "_wide"), large)
+
+
+def in_large(rows: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """The rows of the groups with more than one part."""
+    return rows.join(large, keys)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], n: Column, out: str, part_rows: int = ROWS_PER_PART) -> DataFrame:
+    """Sum of ``n`` over the rows that precede each row of its group in ``order`` (a strict order of the group)."""
+    rows, large = parted(df, keys, order, part_rows)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn(out, F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    if large is not None:
+        ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = in_large(rows, keys, large).groupBy(*keys, "_part").agg(F.sum(n).alias("_n"))
+        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+        summed = summed.join(F.broadcast(parts), [*keys, "_part"], "left").withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before")
+    return summed.drop("_part")
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, part_rows: int = ROWS_PER_PART) -> DataFrame:
+    """0-based position of each row in its group, following ``order`` (rows of one place in any order)."""
+    return running_sum(df, keys, order, F.lit(1), out, part_rows).withColumn(out, F.col(out).cast("int"))
+
+
+def gap_numbers(df: DataFrame, keys: list[str], value: str, gap: float, ord_col: str | None, out: str, part_rows: int = ROWS_PER_PART) -> DataFrame:
+    """Number the runs of a value column: a run starts where a value is more than ``gap`` above the next lower one. -1 without a value.
+
+    Inside a part, neighbours are compared; a part's first run starts anew if its lowest value is far enough above the highest one before.
     """
-    rows = df.withColumn("_p0", block)
-    counts = rows.groupBy(*keys, "_p0").agg(F.count(F.lit(1)).alias("_n"))
-    path = ["_p0"]
-    if finer:
-        full = F.broadcast(counts.filter(F.col("_n") > crowded).select(*keys, "_p0", F.lit(True).alias("_full")))
-        names = [f"_p{i}" for i in range(1, len(finer) + 1)]
-        kinds = [f.dataType.simpleString() for f in df.select(*finer).schema]
-        zeros = [F.lit("" if kind == "string" else 0).cast(kind) for kind in kinds]
-        rows = rows.join(full, [*keys, "_p0"], "left")
-        rows = rows.withColumns({n: F.when(F.col("_full"), c).otherwise(zero) for n, c, zero in zip(names, finer, zeros)})
-        split = rows.filter("_full").groupBy(*keys, "_p0", *names).agg(F.count(F.lit(1)).alias("_n"))
-        whole = counts.filter(F.col("_n") <= crowded).withColumns(dict(zip(names, zeros)))
-        counts, rows, path = whole.unionByName(split), rows.drop("_full"), ["_p0", *names]
-    starts = running_sum(counts, keys, path, "_n", "_before").select(*keys, *path, "_before")
-    inside = Window.partitionBy(*keys, *path).orderBy(*order)
-    return (
-        rows.withColumn("_inside", F.row_number().over(inside))
-        .join(starts, [*keys, *path], "left")
-        .withColumn(out, (F.coalesce("_before", F.lit(0)) + F.col("_inside") - 1).cast("int"))
-        .drop("_before", "_inside", *path)
-    )
+    at = F.col("_at")
+    rows, large = parted(df.withColumn("_at", F.col(value).cast("double")), keys, ["_at", ord_col] if ord_col else ["_at"], part_rows)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at")
+    rows = rows.withColumn("_fresh", F.coalesce(at - F.lag(at).over(inside) > gap, F.lit(False)).cast("int"))
+    number = F.sum("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    if large is not None:
+        page = Window.partitionBy(*keys).orderBy("_part")
+        ahead = page.rowsBetween(Window.unboundedPreceding, -1)
+        edges = in_large(rows, keys, large).groupBy(*keys, "_part").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.sum("_fresh").alias("_n"))
+        apart = F.col("_lo") - F.last("_hi", ignorenulls=True).over(ahead) > gap
+        edges = edges.withColumn("_first", F.when(F.col("_lo").isNull(), 0).otherwise(F.coalesce(apart, F.lit(True)).cast("int")))
+        base = F.coalesce(F.sum(F.col("_n") + F.col("_first")).over(ahead), F.lit(0)) + F.col("_first") - 1
+        edges = edges.select(*keys, "_part", base.alias("_base"))
+        rows = rows.join(F.broadcast(edges), [*keys, "_part"], "left")
+        number = number + F.coalesce("_base", F.lit(0))
+    return rows.withColumn(out, F.when(at.isNull(), -1).otherwise(number).cast("int")).drop("_at", "_fresh", "_part", "_base")
 
 
 def with_group_max(df: DataFrame, keys: list[str], block: Column, values: dict[str, Column]) -> DataFrame:
@@ -116,79 +129,3 @@ def lookup_by_block(rows: DataFrame, table: DataFrame, keys: list[str], block: C
     rows = rows.withColumn("_block", block)
     placed = rows.select(*keys, "_block").distinct().join(table, keys, "left")
     return rows.join(placed, [*keys, "_block"], "left").drop("_block")
-
-
-def assign_marks(rows: DataFrame, blocks: DataFrame, keys: list[str], value: str, width: float, ord_col: str | None, out: str) -> DataFrame:
-    """Give each row the number of the last mark at or below its value; -1 for a row without a value.
-
-    ``blocks`` has one row per ``keys`` and ``_vb`` (value block) with ``_salts`` (array of emission blocks met in it),
-    ``_marks`` (array of struct(v, no)) and ``_carry`` (the number in force when the block starts). Marks are merged into the
-    rows' sort order, so the rows move once and no row is compared with more than its neighbour.
-    """
-    salt = int_block(F.col(ord_col), WORDS_PER_SALT) if ord_col else F.lit(0).cast("bigint")
-    rows = rows.withColumns({"_vb": value_block(F.col(value), width), "_salt": salt, "_v": F.col(value).cast("double"), "_kind": F.lit(1)})
-    opening = F.struct(F.lit(float("-inf")).alias("v"), F.col("_carry").cast("bigint").alias("no"))
-    marks = (
-        blocks.select(*keys, "_vb", F.explode("_salts").alias("_salt"), F.concat(F.array(opening), "_marks").alias("_m"))
-        .select(*keys, "_vb", "_salt", F.explode("_m").alias("_m"))
-        .select(*keys, "_vb", "_salt", F.col("_m.v").alias("_v"), F.col("_m.no").alias("_no"), F.lit(0).alias("_kind"))
-    )
-    order = Window.partitionBy(*keys, "_vb", "_salt").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.unionByName(marks, allowMissingColumns=True)
-        .withColumn(out, F.coalesce(F.last("_no", ignorenulls=True).over(order), F.lit(-1)).cast("int"))
-        .filter(F.col("_kind") == 1)
-        .drop("_vb", "_salt", "_v", "_no", "_kind")
-    )
-
-
-def value_sets(rows: DataFrame, keys: list[str], value: str, width: float, ord_col: str | None, per_super: int = BLOCKS_PER_SUPER) -> DataFrame:
-    """Distinct values per block (sorted) and the emission blocks met in it; copies collapse before the shuffle.
-
-    Blocks are also numbered into super-blocks. The callers read this table more than once; its null filter and the filter
-    on ``_salts`` (always true) make every reading the same plan up to the shuffle, so that Spark runs it once.
-    """
-    salt = int_block(F.col(ord_col), WORDS_PER_SALT) if ord_col else F.lit(0).cast("bigint")
-    blocks = (
-        rows.select(*keys, F.col(value).cast("double").alias("_v"), salt.alias("_salt"))
-        .withColumn("_vb", value_block(F.col("_v"), width))
-        .withColumn("_sb", int_block(F.col("_vb"), per_super))
-    )
-    for name in [*keys, "_vb", "_sb"]:
-        blocks = blocks.filter(F.col(name).isNotNull())
-    return (
-        blocks.groupBy(*keys, "_sb", "_vb")
-        .agg(F.sort_array(F.collect_set("_v")).alias("_vs"), F.collect_set("_salt").alias("_salts"))
-        .filter(F.size("_salts") > 0)
-    )
-
-
-def gap_marks(rows: DataFrame, keys: list[str], value: str, gap: float, ord_col: str | None, span: int = TOLERANCES_PER_BLOCK) -> tuple[DataFrame, float]:
-    """Group starts of a value column: a value starts a group when it is more than ``gap`` above the next lower value.
-
-    Returns the block table for ``assign_marks`` and its block width.
-    """
-    width = float(gap) * span
-    sets = value_sets(rows, keys, value, width, ord_col)
-    inner = F.filter(F.col("_vs"), lambda v, i: (i > 0) & (v - F.get("_vs", i - 1) > gap))
-    sets = sets.select(
-        *keys, "_sb", "_vb", "_salts", inner.alias("_inner"), F.get("_vs", F.lit(0)).alias("_lo"), F.element_at("_vs", -1).alias("_hi")
-    )
-    over = Window.partitionBy(*keys).orderBy("_vb")
-    edges = (
-        sets.select(*keys, "_sb", "_vb", "_lo", "_hi", F.size("_inner").alias("_n"))
-        .withColumn("_up", F.lag("_hi").over(over))
-        .withColumn("_fresh", F.col("_up").isNull() | (F.col("_lo") - F.col("_up") > gap))
-        .withColumn("_n", F.col("_n") + F.col("_fresh").cast("int"))
-        .withColumn("_base", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(*keys, "_sb", "_vb", "_fresh", "_base")
-    )
-    starts = F.when(F.col("_fresh"), F.concat(F.array("_lo"), F.col("_inner"))).otherwise(F.col("_inner"))
-    blocks = sets.join(edges, [*keys, "_sb", "_vb"]).select(
-        *keys,
-        "_vb",
-        "_salts",
-        (F.col("_base") - 1).alias("_carry"),
-        F.transform(starts, lambda v, i: F.struct(v.alias("v"), (F.col("_base") + i).cast("bigint").alias("no"))).alias("_marks"),
-    )
-    return blocks, width

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import CLUSTER_EPS, COLUMN_BOUNDARIES
-from doctables.operators.blocks import TOLERANCES_PER_BLOCK, WORDS_PER_SALT, assign_marks, gap_marks, int_block, number_rows
+from doctables.operators.blocks import ROWS_PER_PART, gap_numbers, number_rows
 
 LINE = ["doc_id", "page_no", "line_no"]
 
@@ -27,15 +27,14 @@ def bin_columns_fixed(words: DataFrame, boundaries=COLUMN_BOUNDARIES, x: str = "
     return words.filter(at < boundaries[-1]).withColumn(out, column)
 
 
-def cluster_columns_gap(words: DataFrame, keys: list[str] = LINE, x: str = "x", eps: float = CLUSTER_EPS, scale: float = 1.0, ord_col: str | None = "ord", out: str = "col_no", span: int = TOLERANCES_PER_BLOCK) -> DataFrame:
+def cluster_columns_gap(words: DataFrame, keys: list[str] = LINE, x: str = "x", eps: float = CLUSTER_EPS, scale: float = 1.0, ord_col: str | None = "ord", out: str = "col_no", part_rows: int = ROWS_PER_PART) -> DataFrame:
     """Cluster words along x: a gap of more than ``eps`` starts a new column (0-based, left to right).
 
     This is density clustering with a minimum of one point in one dimension, where clusters are the runs without a larger
     gap. ``keys`` is the line; with the page as key the columns are shared by all lines of the page.
     """
     scaled = words.withColumn("_x", F.col(x) * F.lit(float(scale)))
-    blocks, width = gap_marks(scaled, keys, "_x", eps, ord_col, span)
-    return assign_marks(scaled, blocks, keys, "_x", width, ord_col, out).drop("_x")
+    return gap_numbers(scaled, keys, "_x", eps, ord_col, out, part_rows).drop("_x")
 
 
 def order_clusters(words: DataFrame, keys: list[str] = LINE, column_order: str = "x", cluster: str = "col_no", ord_col: str = "ord") -> DataFrame:
@@ -44,16 +43,9 @@ def order_clusters(words: DataFrame, keys: list[str] = LINE, column_order: str =
         return words
     if column_order != "first_seen":
         raise ValueError(f"column_order is 'x' or 'first_seen', not {column_order!r}")
-    salted = words.withColumn("_salt", int_block(F.col(ord_col), WORDS_PER_SALT))
-    per_salt = salted.groupBy(*keys, cluster, "_salt").agg(F.min(ord_col).alias("_first"))
-    firsts = per_salt.groupBy(*keys, cluster).agg(F.min("_first").alias("_first"))
-    ranked = number_rows(firsts, keys, int_block(F.col("_first"), WORDS_PER_SALT), ["_first"], "_rank")
-    placed = per_salt.drop("_first").join(ranked.drop("_first"), [*keys, cluster])
-    return (
-        salted.join(placed, [*keys, cluster, "_salt"])
-        .withColumn(cluster, F.col("_rank"))
-        .drop("_rank", "_salt")
-    )
+    firsts = words.groupBy(*keys, cluster).agg(F.min(ord_col).alias("_first"))
+    ranked = number_rows(firsts, keys, ["_first"], "_rank").drop("_first")
+    return words.join(ranked, [*keys, cluster]).withColumn(cluster, F.col("_rank")).drop("_rank")
 
 
 def merge_cell_text(words: DataFrame, keys: list[str] = [*LINE, "col_no"], ord_col: str = "ord", sep: str = " ") -> DataFrame:

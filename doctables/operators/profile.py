@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctables.operators.blocks import TOLERANCES_PER_BLOCK, assign_marks, gap_marks, int_block, lookup_by_block, running_sum, value_block
+from doctables.operators.blocks import ROWS_PER_PART, gap_numbers, int_block, lookup_by_block, running_sum
 
 PAGE_ID = ["page_id"]
 LINES_PER_CROP = 1024
-# Radians per block of angles.
-ANGLE_BLOCK = 1 / 4096
 
 
 def otsu_threshold(pixels: DataFrame, keys: list[str] = PAGE_ID, v: str = "v") -> DataFrame:
@@ -42,15 +40,10 @@ def ink_profile(binary: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", ink:
     return binary.groupBy(*keys, y).agg(F.sum(F.col(ink).cast("bigint")).alias("ink"))
 
 
-def _banded(profile: DataFrame, keys: list[str], y: str, span: int) -> DataFrame:
-    inked = profile.filter(F.col("ink") > 0)
-    blocks, width = gap_marks(inked, keys, y, 1, None, span)
-    return assign_marks(inked, blocks, keys, y, width, None, "band_no")
-
-
-def segment_bands(profile: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", span: int = 16 * TOLERANCES_PER_BLOCK) -> DataFrame:
+def segment_bands(profile: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", part_rows: int = ROWS_PER_PART) -> DataFrame:
     """Runs of consecutive scanlines with ink, both ends inclusive, numbered from the top. Pages without ink have none."""
-    return _banded(profile, keys, y, span).groupBy(*keys, "band_no").agg(F.min(y).alias("y_start"), F.max(y).alias("y_end"))
+    banded = gap_numbers(profile.filter(F.col("ink") > 0), keys, y, 1, None, "band_no", part_rows)
+    return banded.groupBy(*keys, "band_no").agg(F.min(y).alias("y_start"), F.max(y).alias("y_end"))
 
 
 def crop_bands(rows: DataFrame, bands: DataFrame, keys: list[str] = PAGE_ID, y: str = "y", exclusive_end: bool = False) -> DataFrame:
@@ -71,13 +64,16 @@ def band_heights(bands: DataFrame, exclusive_end: bool = False) -> DataFrame:
     return bands.withColumn("height", F.col("y_end") - F.col("y_start") + F.lit(0 if exclusive_end else 1))
 
 
-def page_skew_angle(pages: DataFrame, edges: DataFrame, keys: list[str] = PAGE_ID, theta: str = "theta") -> DataFrame:
+def page_skew_angle(pages: DataFrame, edges: DataFrame, keys: list[str] = PAGE_ID, theta: str = "theta", part_rows: int = ROWS_PER_PART) -> DataFrame:
     """Exact median of ``degrees(theta) - 90`` over the lines of a page; 0 for a page without lines.
 
-    Equal angles collapse into counts first; the middle one or two are picked by running counts, so no page is collected.
+    Equal angles collapse into counts first, and the counts before each angle tell the middle one or two. Many angles of one page are cut
+    into parts of ``part_rows``, so none is collected and no window runs over all of them.
     """
-    counts = edges.groupBy(*keys, value_block(F.col(theta), ANGLE_BLOCK).alias("_b"), F.col(theta).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(counts, keys, ["_b", "_t"], "_n", "_before", "_total")
+    counts = edges.filter(F.col(theta).isNotNull()).groupBy(*keys, F.col(theta).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranked = running_sum(counts, keys, ["_t"], F.col("_n"), "_before", part_rows)
+    ranked = lookup_by_block(ranked, totals, keys, int_block(F.col("_before"), 1 << 20))
     low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     after = F.col("_before") + F.col("_n")
     has_low = (F.col("_before") <= low) & (low < after)

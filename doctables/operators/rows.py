@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import ROW_TOLERANCE
-from doctables.operators.blocks import (
-    BLOCKS_PER_SUPER,
-    CROWDED,
-    TOLERANCES_PER_BLOCK,
-    WORDS_PER_SALT,
-    assign_marks,
-    block_top,
-    int_block,
-    number_rows,
-    value_block,
-    value_sets,
-)
+from doctables.operators.anchors import NONE_ABOVE, entries, starts
+from doctables.operators.blocks import ROWS_PER_PART, in_large, number_rows, parted
 
 PAGE = ["doc_id", "page_no"]
 
@@ -35,110 +25,42 @@ def word_left_x(words: DataFrame, bbox: str = "bbox", out: str = "x") -> DataFra
     return words.withColumn(out, F.col(bbox)[0]["x"])
 
 
-def sort_by_y(words: DataFrame, keys: list[str] = PAGE, y: str = "y", ord_col: str = "ord", band: float = 4096.0, out: str = "y_rank", crowded: int = CROWDED) -> DataFrame:
-    """Position of each word on its page by y; ties keep emission order.
+def sort_by_y(words: DataFrame, keys: list[str] = PAGE, y: str = "y", ord_col: str = "ord", out: str = "y_rank", part_rows: int = ROWS_PER_PART) -> DataFrame:
+    """Position of each word on its page by y; ties keep emission order."""
+    return number_rows(words, keys, [y, ord_col], out, part_rows)
 
-    Where more than ``crowded`` words lie in one ``band``, they are split by their y and emission block.
-    """
-    finer = [F.col(y), int_block(F.col(ord_col), WORDS_PER_SALT)]
-    return number_rows(words, keys, value_block(F.col(y), band), [y, ord_col], out, finer, crowded)
-
-
-def _step(state: str, move: str) -> tuple[str, str]:
-    """Last anchor and number of anchors after a block, entered in ``state``.
-
-    ``move`` picks the block's first start that lies more than the tolerance below the last anchor; a block without one
-    leaves the state as it is.
-    """
-    return f"coalesce({move}.last, {state}.last)", f"{state}.n + coalesce({move}.n, 0)"
 
-
-def anchor_marks(words: DataFrame, keys: list[str], y: str, tol: float, ord_col: str | None, span: int = TOLERANCES_PER_BLOCK, per_super: int = BLOCKS_PER_SUPER) -> tuple[DataFrame, float]:
-    """Block table of row anchors: going down the page, a row starts at the first y more than ``tol`` below its predecessor's start.
-
-    The rule is sequential: where a block's first row starts depends on the last anchor above it. Since that anchor lies
-    above the block, the first row can only start at a y within ``tol`` of the block's top, or at the first y beyond. For
-    each of these few starts the block tells where its last row starts and how many rows it has (a *move*); chaining the
-    moves down the page, in two levels so that no list grows with the page, gives each block its true entry.
-    """
-    if span < 4:
-        raise ValueError(f"a block spans at least 4 tolerances, not {span}")
-    width, tol = float(tol) * span, float(tol)
-    sets = value_sets(words, keys, y, width, ord_col, per_super)
-    inf = "double('infinity')"
-    hit = "get(filter({moves}, m -> m.first - {state}.last > " + repr(tol) + "d), 0)"
-
-    # twice the tolerance leaves room for the rounding of the block's top; a start too many does no harm
-    near = F.filter("_vs", lambda v: v - block_top(F.col("_vb"), width) <= 2 * tol)
-    walk = f"""transform(slice(_vs, 1, size(_near) + 1), c -> aggregate(_vs, named_struct('first', c, 'last', c, 'n', 1),
-        (s, v) -> if(v - s.last > {tol!r}d, named_struct('first', s.first, 'last', v, 'n', s.n + 1), s)))"""
-    moves = sets.withColumn("_near", near).selectExpr(*keys, "_sb", f"named_struct('at', _vb, 'moves', {walk}) as _item")
-    supers = moves.groupBy(*keys, "_sb").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-
-    # Moves of a super-block: those of its first block, prolonged through the others. A start that leaves the first block
-    # untouched (first = infinity) can only be followed by blocks that do not depend on it.
-    last, n = _step("s", hit.format(moves="b.moves", state="s"))
-    through = f"""transform(
-        concat(_items[0].moves, if(size(_items) > 1, array(named_struct('first', {inf}, 'last', -{inf}, 'n', 0)), array())),
-        m -> aggregate(slice(_items, 2, size(_items)), m, (s, b) -> named_struct('first', s.first, 'last', {last}, 'n', {n})))"""
-
-    # State in force when each block of an ordered list is entered, given the state before the list.
-    last, n = _step("s", hit.format(moves="b.moves", state="s"))
-    entered = f"""explode(aggregate(_items,
-        named_struct('last', _last, 'n', _n, 'seen', cast(array() as array<struct<at:bigint,last:double,n:int>>)),
-        (s, b) -> named_struct('last', {last}, 'n', {n}, 'seen', array_append(s.seen, named_struct('at', b.at, 'last', s.last, 'n', s.n))),
-        s -> s.seen)) as _e"""
-    over_page = (
-        supers.selectExpr(*keys, f"named_struct('at', _sb, 'moves', {through}) as _item")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        .selectExpr(*keys, "_items", f"-{inf} as _last", "0 as _n")
-        .selectExpr(*keys, entered)
-        .selectExpr(*keys, "_e.at as _sb", "_e.last as _last", "_e.n as _n")
-    )
-    entries = (
-        supers.join(over_page, [*keys, "_sb"])
-        .selectExpr(*keys, "_sb", entered)
-        .selectExpr(*keys, "_sb", "_e.at as _vb", "_e.last as _last", "_e.n as _n")
-    )
-    anchors = f"""aggregate(_vs, cast(array() as array<double>),
-        (a, v) -> if(v - coalesce(get(a, size(a) - 1), _last) > {tol!r}d, array_append(a, v), a))"""
-    blocks = (
-        sets.join(entries, [*keys, "_sb", "_vb"])
-        .selectExpr(*keys, "_vb", "_salts", "_n", f"{anchors} as _anchors")
-        .selectExpr(
-            *keys, "_vb", "_salts", "_n - 1 as _carry", "transform(_anchors, (v, i) -> struct(v as v, bigint(_n + i) as no)) as _marks"
-        )
-    )
-    return blocks, width
-
-
-def group_rows_by_anchor(words: DataFrame, keys: list[str] = PAGE, y: str = "y", tol: float = ROW_TOLERANCE, ord_col: str | None = "ord", out: str = "row_no", span: int = TOLERANCES_PER_BLOCK, per_super: int = BLOCKS_PER_SUPER) -> DataFrame:
+def group_rows_by_anchor(words: DataFrame, keys: list[str] = PAGE, y: str = "y", tol: float = ROW_TOLERANCE, ord_col: str | None = "ord", out: str = "row_no", part_rows: int = ROWS_PER_PART) -> DataFrame:
     """Row number of each word (0-based): a word belongs to the row of the last anchor at or above it.
 
-    Exactly ``tol`` away from the anchor is still the same row. Pages without words give no rows. ``span`` (at least 4) is
-    the height of a block in tolerances, ``per_super`` the number of blocks in a super-block; neither changes the result.
-    """
-    blocks, width = anchor_marks(words, keys, y, tol, ord_col, span, per_super)
-    return assign_marks(words, blocks, keys, y, width, ord_col, out)
-
-
-def order_cells_in_row(words: DataFrame, keys: list[str] = PAGE, cell_order: str = "x", band: float = 4096.0, out: str = "col_no", crowded: int = CROWDED) -> DataFrame:
-    """Column number of each word in its row: by ``x`` (then emission order), or by ``text`` (then x, then emission order).
-
-    More than ``crowded`` words close to one x, or of one text, are split further by x and emission block.
+    Exactly ``tol`` away from the anchor is still the same row. Pages without words give no rows; a word without a y has row -1.
+    ``part_rows`` bounds what a task works on at once and does not change the result. The row starts are merged into the words' sort
+    order, so no word is compared with a list.
     """
-    row, salt = [*keys, "row_no"], int_block(F.col("ord"), WORDS_PER_SALT)
-    if cell_order == "x":
-        return number_rows(words, row, value_block(F.col("x"), band), ["x", "ord"], out, [F.col("x"), salt], crowded)
-    if cell_order == "text":
-        return number_rows(words, row, F.substring("text", 1, 1), ["text", "x", "ord"], out, [F.col("text"), F.col("x"), salt], crowded)
-    raise ValueError(f"cell_order is 'x' or 'text', not {cell_order!r}")
+    placed, large = parted(words.withColumn("_v", F.col(y).cast("double")), keys, ["_v", ord_col] if ord_col else ["_v"], part_rows)
+    if large is None:
+        placed = placed.withColumns({"_above": F.lit(NONE_ABOVE), "_rows": F.lit(0).cast("long")})
+    else:  # one row per part of a large page
+        above = entries(in_large(placed, keys, large), keys, "_v", float(tol))
+        placed = placed.join(F.broadcast(above), [*keys, "_part"], "left")
+        placed = placed.withColumns({"_above": F.coalesce("_above", F.lit(NONE_ABOVE)), "_rows": F.coalesce("_rows", F.lit(0).cast("long"))})
+    marks = starts(placed, keys, "_v", float(tol)).withColumn("_kind", F.lit(0))
+    order = Window.partitionBy(*keys, "_part").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    row = F.coalesce(F.last("_no", ignorenulls=True).over(order), F.col("_rows") - 1)
+    merged = placed.drop("_above").withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    return merged.withColumn(out, F.when(F.col("_v").isNull(), -1).otherwise(row).cast("int")).filter("_kind = 1").drop("_v", "_no", "_kind", "_part", "_rows")
+
+
+def order_cells_in_row(words: DataFrame, keys: list[str] = PAGE, cell_order: str = "x", out: str = "col_no", part_rows: int = ROWS_PER_PART) -> DataFrame:
+    """Column number of each word in its row: by ``x`` (then emission order), or by ``text`` (then x, then emission order)."""
+    if cell_order not in ("x", "text"):
+        raise ValueError(f"cell_order is 'x' or 'text', not {cell_order!r}")
+    return number_rows(words, [*keys, "row_no"], ["x", "ord"] if cell_order == "x" else ["text", "x", "ord"], out, part_rows)
 
 
 def fragment_rows(words: DataFrame, keys: list[str], ord_col: str = "ord", out: str = "col_no") -> DataFrame:
     """One row per recogniser group: the column number of a word is its place in the group's emission order."""
-    return number_rows(words, keys, int_block(F.col(ord_col)), [ord_col], out)
+    return number_rows(words, keys, [ord_col], out)
 
 
 def table_lines(cells: DataFrame, keys: list[str] = PAGE, order: list[str] = ["col_no"], row: str = "row_no") -> DataFrame:

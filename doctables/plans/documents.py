@@ -27,11 +27,11 @@ def tables_from_boxes(words: DataFrame, tol: float = ROW_TOLERANCE, cell_order:
 def padded_cells(placed: DataFrame, cell_order: str = "x", keys: list[str] = PAGE) -> DataFrame:
     """Words with their ``row_no`` to padded cells in long form, for pages and rows of any size.
 
-    Numbering and padding read their input several times, so the words and the numbered cells are stored on the way.
+    Numbering and padding read their input several times, so the words are stored on the way; they also tell how long the rows are.
     """
     words = stored(placed.select(*keys, "row_no", "x", "ord", "text"))
     cells = R.order_cells_in_row(words, keys, cell_order).select(*keys, "row_no", "col_no", "text")
-    return S.pad_rectangular(stored(cells), keys)
+    return S.pad_rectangular(cells, keys, counted=words)
 
 
 def cells_from_boxes(words: DataFrame, tol: float = ROW_TOLERANCE, cell_order: str = "x", keys: list[str] = PAGE) -> DataFrame:

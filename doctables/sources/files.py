@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import PDF_GLOB, PDF_SUFFIX
 
+#: One row per page; a document without pages is one row without page number.
+PAGE_FILE = "doc_id bigint, page_no int, ocr_text string"
+
 
 def scan_pdf_files(spark: SparkSession, directory: str) -> DataFrame:
     """PDF files of one directory (not below it), any case of the ending; contents are not read."""
@@ -14,6 +17,34 @@ def scan_pdf_files(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
 
 
+def list_files(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """Files below a folder: path, file_name, length; contents are not read.
+
+    ``file_name`` is the name of the file, or that of its folder if folders are named ``file_name=...``, as Spark's writers lay them out.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
+    name = F.col("file_name") if "file_name" in found.columns else F.col("_metadata.file_name")
+    return found.select(F.col("_metadata.file_path").alias("path"), name.alias("file_name"), "length")
+
+
+def read_page_files(spark: SparkSession, path: str, schema: str = PAGE_FILE, files: str = "*") -> DataFrame:
+    """The rows of all Parquet page files that can be read, with ``path`` and ``file_name`` as ``list_files`` has them.
+
+    A file that is damaged, of another format or gone by now is passed over; ``read_outcomes`` tells which.
+    """
+    tolerant = spark.read.schema(schema).options(ignoreCorruptFiles=True, ignoreMissingFiles=True, pathGlobFilter=files)
+    rows = tolerant.parquet(path)
+    name = F.col("file_name") if "file_name" in rows.columns else F.col("_metadata.file_name")
+    return rows.withColumns({"path": F.col("_metadata.file_path"), "file_name": name})
+
+
+def read_outcomes(listing: DataFrame, rows: DataFrame) -> DataFrame:
+    """file_name, read_error of the listed files: why nothing came out of one (or out of one of its parts), null if all were read."""
+    read = rows.select("path").distinct().withColumn("_read", F.lit(True))
+    why = F.when(F.col("_read"), None).when(F.col("length") == 0, "empty file").otherwise("cannot be read")
+    return listing.join(read, "path", "left").groupBy("file_name").agg(F.max(why).alias("read_error"))
+
+
 def only_pdf(files: DataFrame, path: str = "path") -> DataFrame:
     """The same choice on a table of file names."""
     return files.filter(F.endswith(F.lower(F.col(path)), F.lit(PDF_SUFFIX)))

@@ -60,32 +60,57 @@ def flatten_word_tree(pages: DataFrame, blocks: str = "blocks", keys: list[str]
     )
 
 
-# --- fixed values: hOCR word markup ---
-HOCR_PAGE = r"""(?=<div[^>]*class=['"]ocr_page['"])"""
-# a word's span with what it holds, spans of single characters included
-HOCR_WORD = r"""<span[^>]*class=['"]ocrx_word['"][^>]*>(?:[^<]|<(?!/?span\b)[^>]*>|<span\b[^>]*>(?:[^<]|<(?!/?span\b)[^>]*>)*+</span>)*+</span>"""
+# --- fixed values: hOCR markup: the places before a page's and before a word's start mark ---
+HOCR_PAGE = r"""(?=<div\b[^>]*class=['"][^'"]*\bocr_page\b)"""
+HOCR_WORD = r"""(?=<span\b[^>]*class=['"][^'"]*\bocrx_word\b)"""
 HOCR_BOX = r"bbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)"
-HOCR_CONFIDENCE = r"x_wconf (\d+)"
+HOCR_CONFIDENCE = r"x_wconf (\d+(?:\.\d+)?)"
+SPAN_MARK = r"(?=</?span\b)"
+
+
+def _from_marks(text: Column, mark: str) -> Column:
+    """The text cut before every mark, without what stands before the first one."""
+    pieces = F.split(text, mark, -1)
+    return F.when(text.rlike(f"^{mark}"), pieces).otherwise(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+
+
+def _span_content(after_mark: Column) -> Column:
+    """What a span holds, given what follows its start mark, with spans at any depth inside; all of it if the span is never closed.
+
+    Most words hold no span; for the others the open spans are counted from mark to mark.
+    """
+    closing = F.locate("</span", after_mark)
+    plain = F.when(closing > 0, F.left(after_mark, closing - 1)).otherwise(after_mark)
+    state = F.struct(F.lit(1).alias("depth"), F.lit("").alias("held"))
+
+    def step(s, piece):
+        depth = s["depth"] + F.when(piece.startswith("</span"), -1).when(piece.startswith("<span"), 1).otherwise(0)
+        done = (s["depth"] == 0) | (depth == 0)
+        return F.struct(F.when(done, 0).otherwise(depth).alias("depth"), F.when(done, s["held"]).otherwise(F.concat(s["held"], piece)).alias("held"))
+
+    nested = F.aggregate(F.split(after_mark, SPAN_MARK, -1), state, step, lambda s: s["held"])
+    return F.when(plain.contains("<span"), nested).otherwise(plain)
 
 
 def parse_hocr(pages: DataFrame, hocr: str = "hocr", keys: list[str] = PAGE) -> DataFrame:
-    """Words of hOCR texts: content, box and confidence (0..1)."""
-    spans = F.regexp_extract_all(F.col(hocr), F.lit(HOCR_WORD), F.lit(0))
-    tag = F.regexp_extract("_s", "^<[^>]*>", 0)
-    side = [F.regexp_extract(tag, HOCR_BOX, i).cast("double") for i in range(1, 5)]
-    return pages.select(*keys, F.posexplode(spans).alias("ord", "_s")).select(
+    """Words of hOCR texts: content, box and confidence (0..1), numbered by their start marks. A word without box or confidence has nulls."""
+    words = pages.select(*keys, F.posexplode(_from_marks(F.col(hocr), HOCR_WORD)).alias("ord", "_s"))
+    words = words.withColumn("_tag", F.regexp_extract("_s", "^<[^>]*>", 0))
+    side = [F.regexp_extract("_tag", HOCR_BOX, i).try_cast("double") for i in range(1, 5)]
+    content = _span_content(F.substring("_s", F.length("_tag") + 1, F.length("_s")))
+    return words.select(
         *keys,
         F.col("ord").cast("bigint").alias("ord"),
-        unescape_html(F.regexp_replace("_s", "<[^>]*>", "")).alias("text"),
-        (F.regexp_extract(tag, HOCR_CONFIDENCE, 1).cast("double") / 100).alias("confidence"),
+        unescape_html(F.regexp_replace(content, "<[^>]*>", "")).alias("text"),
+        (F.regexp_extract("_tag", HOCR_CONFIDENCE, 1).try_cast("double") / 100).alias("confidence"),
         four_corners(*side).alias("bbox"),
     )
 
 
 def hocr_sheets(documents: DataFrame, hocr: str = "hocr", keys: list[str] = ["doc_id"]) -> DataFrame:
     """Pages of hOCR documents, numbered from 1; a document without page marks is one page."""
-    parts = F.filter(F.split(hocr, HOCR_PAGE, -1), lambda p: p.rlike(HOCR_PAGE))
-    whole = F.when(F.size(parts) > 0, parts).otherwise(F.array(hocr))
+    sheets = _from_marks(F.col(hocr), HOCR_PAGE)
+    whole = F.when(F.size(sheets) > 0, sheets).otherwise(F.array(hocr))
     return documents.select(*keys, F.posexplode(whole).alias("_p", "hocr")).select(*keys, (F.col("_p") + 1).alias("page_no"), "hocr")
 
 

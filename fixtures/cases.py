@@ -14,6 +14,7 @@ from doctables.operators import profile as P
 from doctables.operators import render as D
 from doctables.operators import rows as R
 from doctables.operators import shape as S
+from doctables.operators.blocks import number_rows
 from doctables.plans import documents as plans
 from doctables.sinks import writers as W
 from doctables.sinks.stored import shared_folder, stored
@@ -402,16 +403,16 @@ def _f1_markdown(spark, sf):
 
 
 def _names(spark, sf):
-    return I.files(spark, sf).select("doc_id", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    return I.document_files(spark, sf).select("doc_id", F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
-DOC_TEXT = """select doc_id, 0 as page_no, 0 as block_no, '# ' || replace(path, 'in/', '') || chr(10) || chr(10) as text from f7
+DOC_TEXT = """select doc_id, 0 as page_no, 0 as block_no, '# ' || replace(path, 'in/', '') || chr(10) || chr(10) as text from f7_docs
 union all
 select doc_id, page_no, 0, case when page_no > 1 then chr(10) || '---' || chr(10) || chr(10) else '' end || string_agg(line || chr(10), '' order by line_no) as text
 from f1 group by doc_id, page_no"""
 
 
-@case("join_pages_markdown", "f1 f7", DOC_TEXT)
+@case("join_pages_markdown", "f1 f7_docs", DOC_TEXT)
 def _(spark, sf):
     lines = I.lines(spark, sf)
     return D.join_pages_markdown(_names(spark, sf), _f1_markdown(spark, sf), pages=lines.select(*PAGE))
@@ -509,34 +510,35 @@ MANIFEST = """select *, case when reason is null then 'success' else 'failed' en
 STRICT = "when bool_or(c.status = 'malformed') then 'malformed answer'"
 
 
+def _manifest(spark, sf, strict=False):
+    """The outcome of files that are written, listed and read: pages come from the files, and so do the reasons of those that fail."""
+    path = shared_folder(spark)
+    I.write_page_files(spark, sf, path)
+    listing, rows = files_src.list_files(spark, path, "part-*"), files_src.read_page_files(spark, path, files="part-*")
+    pages = rows.filter("page_no is not null").select("doc_id", "page_no", "ocr_text")
+    outcomes = files_src.read_outcomes(listing, rows)
+    known = I.files(spark, sf).withColumn("file_name", F.element_at(F.split("path", "/"), -1)).join(outcomes, "file_name").drop("file_name")
+    return A.file_manifest(known, A.classify_answer(A.match_page_answer(pages, I.answers(spark, sf))), strict)
+
+
 @case("file_manifest", "f7 classified", MANIFEST, strict="")
 def _(spark, sf):
-    return A.file_manifest(I.files(spark, sf), _classified(spark, sf))
+    return _manifest(spark, sf)
 
 
-@case(
-    "file_manifest_strict",
-    "f7 classified",
-    MANIFEST,
-    strict=STRICT,
-)
+@case("file_manifest_strict", "f7 classified", MANIFEST, strict=STRICT)
 def _(spark, sf):
-    return A.file_manifest(I.files(spark, sf), _classified(spark, sf), strict=True)
+    return _manifest(spark, sf, strict=True)
 
 
 @case("failure_report", "f7 classified", f"select file_name as report from ({MANIFEST}) where status = 'failed'", strict="")
 def _(spark, sf):
-    return A.failure_report(A.file_manifest(I.files(spark, sf), _classified(spark, sf)))
+    return A.failure_report(stored(_manifest(spark, sf)))
 
 
-@case(
-    "failure_report_strict",
-    "f7 classified",
-    f"select file_name as report from ({MANIFEST}) where status = 'failed'",
-    strict=STRICT,
-)
+@case("failure_report_strict", "f7 classified", f"select file_name as report from ({MANIFEST}) where status = 'failed'", strict=STRICT)
 def _(spark, sf):
-    return A.failure_report(A.file_manifest(I.files(spark, sf), _classified(spark, sf), strict=True))
+    return A.failure_report(stored(_manifest(spark, sf, strict=True)))
 
 
 @case("orphan_answers", "f7_pages f7b", """select doc_id, page_no, 2 as attempt, response from f7b where (doc_id, page_no) not in (select (doc_id, page_no) from f7_pages)
@@ -547,7 +549,7 @@ def _(spark, sf):
 
 @case("output_path", "f7", "select doc_id, path, 'out/' || regexp_replace(replace(path, 'in/', ''), '\\.[^.]*$', '') || '.md' as output_path from f7")
 def _(spark, sf):
-    return A.output_path(I.files(spark, sf), extension=".md").drop("read_error")
+    return A.output_path(I.files(spark, sf), extension=".md")
 
 
 # ---- sinks: what a sink writes, or what is read back from it ----
@@ -561,14 +563,24 @@ def _bucketed(lines):
 
 
 def _written(spark, path):
-    return spark.read.option("lineSep", "\n").text(path).select("bucket", F.col("value").alias("text"))
+    """What a sink wrote, each line with its place in its folder: files by name, lines as they stand in them."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select("bucket", F.col("value").alias("text"), "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_i"))
+    return number_rows(lines, ["bucket"], ["file_name", "file_block_start", "_i"], "place").select("bucket", "place", "text")
+
+
+#: Lines with the place that their order gives them in their folder.
+PLACED = "select (doc_id % 16)::int as bucket, (row_number() over (partition by doc_id % 16 order by {order}) - 1)::int as place, text from ({lines})"
 
 
 @case(
     "write_table_csv",
     "anchor_lines",
-    f"""select (doc_id % 16)::int as bucket, case when width = 1 and cells[1] = '' then '""'
-    else array_to_string(list_transform(cells, lambda c: {CSV_CELL.format(c="c")}), ',') || repeat(',', width - len(cells)) end as text from anchor_lines""",
+    PLACED.format(
+        order="doc_id, page_no, row_no",
+        lines=f"""select doc_id, page_no, row_no, case when width = 1 and cells[1] = '' then '""'
+        else array_to_string(list_transform(cells, lambda c: {CSV_CELL.format(c="c")}), ',') || repeat(',', width - len(cells)) end as text from anchor_lines""",
+    ),
     y="y_drift",
 )
 def _(spark, sf):
@@ -588,9 +600,12 @@ def _(spark, sf):
 @case(
     "write_page_tables_csv",
     "cluster_cells",
-    f"""select (doc_id % 16)::int as bucket, string_agg({CSV_CELL.format(c="text")}, ',' order by col_no) || repeat(',', any_value(width) - count(*)) as text
-    from cluster_cells join (select doc_id, page_no, max(n) as width from (select doc_id, page_no, line_no, count(*) as n from cluster_cells group by all) group by all) using (doc_id, page_no)
-    group by doc_id, page_no, line_no""",
+    PLACED.format(
+        order="doc_id, page_no, line_no",
+        lines=f"""select doc_id, page_no, line_no, string_agg({CSV_CELL.format(c="text")}, ',' order by col_no) || repeat(',', any_value(width) - count(*)) as text
+        from cluster_cells join (select doc_id, page_no, max(n) as width from (select doc_id, page_no, line_no, count(*) as n from cluster_cells group by all) group by all) using (doc_id, page_no)
+        group by doc_id, page_no, line_no""",
+    ),
 )
 def _(spark, sf):
     cells = C.merge_cell_text(C.cluster_columns_gap(I.words(spark, sf))).withColumnRenamed("line_no", "row_no")
@@ -601,11 +616,14 @@ def _(spark, sf):
 
 @case(
     "write_markdown",
-    "f1 f7",
-    """select (doc_id % 16)::int as bucket, text from (
-    select doc_id, '# ' || replace(path, 'in/', '') as text from f7 union all select doc_id, '' from f7
-    union all select doc_id, unnest(['', '---', '']) from (select distinct doc_id, page_no from f1 where page_no > 1)
-    union all select doc_id, line from f1)""",
+    "f1 f7_docs",
+    PLACED.format(
+        order="doc_id, page_no, line_no, part",
+        lines="""select doc_id, 0 as page_no, 0 as line_no, 0 as part, '# ' || replace(path, 'in/', '') as text from f7_docs
+        union all select doc_id, 0, 0, 1, '' from f7_docs
+        union all select doc_id, page_no, -1, part, ['', '---', ''][part + 1] from (select distinct doc_id, page_no, unnest([0, 1, 2]) as part from f1 where page_no > 1)
+        union all select doc_id, page_no, line_no, 0, line from f1""",
+    ),
 )
 def _(spark, sf):
     path = shared_folder(spark)
@@ -616,7 +634,7 @@ def _(spark, sf):
 @case(
     "write_text_rows",
     "anchor_lines",
-    "select (doc_id % 16)::int as bucket, array_to_string(cells, chr(9)) || repeat(chr(9), width - len(cells)) as text from anchor_lines",
+    PLACED.format(order="doc_id, page_no, row_no", lines="select doc_id, page_no, row_no, array_to_string(cells, chr(9)) || repeat(chr(9), width - len(cells)) as text from anchor_lines"),
     y="y_drift",
 )
 def _(spark, sf):
@@ -625,7 +643,11 @@ def _(spark, sf):
     return _written(spark, path)
 
 
-@case("write_text_rows_fragments", "f2", "select (doc_id % 16)::int as bucket, text from (select doc_id, string_agg(text, ' ' order by ord) as text from f2 group by doc_id, page_no, line_no)")
+@case(
+    "write_text_rows_fragments",
+    "f2",
+    PLACED.format(order="doc_id, page_no, line_no", lines="select doc_id, page_no, line_no, string_agg(text, ' ' order by ord) as text from f2 group by doc_id, page_no, line_no"),
+)
 def _(spark, sf):
     lines = plans.tables_from_fragments(words_src.explode_word_boxes(I.box_pages(spark, sf)))
     path = shared_folder(spark)
@@ -636,7 +658,7 @@ def _(spark, sf):
 @case(
     "write_sidecar_text",
     "f1",
-    "select (doc_id % 16)::int as bucket, case when page_no > 1 and line_no = 0 then chr(12) else '' end || line as text from f1",
+    PLACED.format(order="doc_id, page_no, line_no", lines="select doc_id, page_no, line_no, case when page_no > 1 and line_no = 0 then chr(12) else '' end || line as text from f1"),
 )
 def _(spark, sf):
     lines = I.lines(spark, sf).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))

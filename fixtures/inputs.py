@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.operators.blocks import int_block, number_rows
+from doctables.operators.blocks import number_rows
 from doctables.sources.pages import explode_lines
 
 LINES_PER_PAGE = 25
@@ -172,7 +172,7 @@ def spaced_lines(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat("p_name", F.lit("  "), "p_type", F.lit("     "), F.col("p_size").cast("string"), F.lit("  ")))
         .alias("line"),
     )
-    return number_rows(rows, ["page"], int_block(k), ["p_partkey"], "line_no").select("page", "line_no", "line")
+    return number_rows(rows, ["page"], ["p_partkey"], "line_no").select("page", "line_no", "line")
 
 
 def marked_lines(spark, sf_dir) -> DataFrame:
@@ -189,7 +189,7 @@ def marked_lines(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat("event_type", F.lit(" | "), text, F.lit(" | 2013-"), (2013 + e % 5).cast("string")))
         .alias("line"),
     )
-    return number_rows(rows, ["page"], int_block(e), ["event_id"], "line_no").select("page", "line_no", "line")
+    return number_rows(rows, ["page"], ["event_id"], "line_no").select("page", "line_no", "line")
 
 
 def profile(spark, sf_dir) -> DataFrame:
@@ -221,19 +221,35 @@ def edge_pages(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"))
 
 
-def files(spark, sf_dir) -> DataFrame:
-    """file names with several endings."""
+def document_files(spark, sf_dir) -> DataFrame:
+    """one file per document, its name with one of several endings."""
     d = F.col("doc_id")
     ending = F.element_at(F.array(*[F.lit(s) for s in (".PDF", ".pdf", ".Pdf", ".txt", ".pdf.bak")]), (d % 5 + 1).cast("int"))
-    error = F.when(d % 31 == 6, "cannot be read")
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in/scan."), d.cast("string"), ending).alias("path"), error.alias("read_error"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("in/scan."), d.cast("string"), ending).alias("path"))
+
+
+def files(spark, sf_dir) -> DataFrame:
+    """F7 with files that no document has: some that cannot be read, some without pages."""
+    d = F.col("doc_id")
+    name = lambda kind: F.concat(F.lit(f"in/{kind}."), d.cast("string"), F.lit(".pdf")).alias("path")
+    docs = documents(spark, sf_dir)
+    broken = docs.filter("doc_id % 31 = 6").select((-2 * d - 1).alias("doc_id"), name("broken"))
+    empty = docs.filter("doc_id % 37 = 11").select((-2 * d - 2).alias("doc_id"), name("empty"))
+    return document_files(spark, sf_dir).unionByName(broken).unionByName(empty)
 
 
 def answer_pages(spark, sf_dir) -> DataFrame:
-    """F7b page side: one page per document, none of every 37th."""
-    return documents(spark, sf_dir).filter("doc_id % 37 <> 11").select(
-        "doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("page_no"), F.col("text").alias("ocr_text")
-    )
+    """F7b page side: one page per document."""
+    return documents(spark, sf_dir).select("doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("page_no"), F.col("text").alias("ocr_text"))
+
+
+def write_page_files(spark, sf_dir, path: str) -> None:
+    """Every file of F7 as a page file: the page of its document, no page, or bytes that are no page file."""
+    named = files(spark, sf_dir).select("doc_id", F.substring_index("path", "/", -1).alias("file_name"), F.col("path").contains("/broken.").alias("_broken"))
+    whole = named.filter("not _broken").drop("_broken").join(answer_pages(spark, sf_dir), "doc_id", "left")
+    whole.write.partitionBy("file_name").parquet(path)
+    broken = named.filter("_broken").select("file_name", F.concat(F.lit("%PDF-1.4 cut off at "), "doc_id").alias("value"))
+    broken.write.mode("append").partitionBy("file_name").text(path)
 
 
 def answers(spark, sf_dir) -> DataFrame:

@@ -25,9 +25,12 @@ INPUTS = {
     "f6_profile": """select l_suppkey as page_id, (l_partkey % 400)::int as y, sum(l_quantity::bigint)::bigint as ink from lineitem group by all""",
     "f6_pixels": """select l_suppkey as page_id, (l_partkey % 400)::int as y, (l_quantity::int * 2 + case when l_returnflag = 'R' then 120 else 0 end)::int as v from lineitem""",
     "f6_edges": """select l_orderkey as page_id, pi() / 2 + (l_discount - 0.05) as theta from lineitem""",
-    "f7": """select doc_id, 'in/scan.' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.pdf' when 2 then '.Pdf' when 3 then '.txt' else '.pdf.bak' end as path,
-        case when doc_id % 31 = 6 then 'cannot be read' end as read_error from documents""",
-    "f7_pages": """select doc_id, (1 + doc_id % 3)::int as page_no, text as ocr_text from documents where doc_id % 37 <> 11""",
+    "f7_docs": """select doc_id, 'in/scan.' || doc_id || case doc_id % 5 when 0 then '.PDF' when 1 then '.pdf' when 2 then '.Pdf' when 3 then '.txt' else '.pdf.bak' end as path
+        from documents""",
+    "f7": """select doc_id, path, null::varchar as read_error from f7_docs
+        union all select -2 * doc_id - 1, 'in/broken.' || doc_id || '.pdf', 'cannot be read' from documents where doc_id % 31 = 6
+        union all select -2 * doc_id - 2, 'in/empty.' || doc_id || '.pdf', null from documents where doc_id % 37 = 11""",
+    "f7_pages": """select doc_id, (1 + doc_id % 3)::int as page_no, text as ocr_text from documents""",
     "f7b": """select doc_id, (case when doc_id % 17 = 0 then 9 else 1 + doc_id % 3 end)::int as page_no,
         case when doc_id % 11 = 0 then '{"title":"T' || doc_id || '"'
              when doc_id % 13 = 0 then '[{"title":"T' || doc_id || '"}]'
@@ -117,7 +120,7 @@ NEEDS = {
     "f4_rows": ["f4_cells"], "solid": ["f5"], "solid_no": ["solid"], "marked": ["solid_no"], "table_rows": ["marked"],
     "table_sizes": ["table_rows"], "normal": ["table_sizes"], "stitched": ["normal"], "inked": ["f6_profile"], "bands": ["inked"],
     "levels": ["f6_pixels"], "splits": ["levels"], "scored": ["splits"], "thresholds": ["scored"], "inked_px": ["thresholds"],
-    "f9_tags": ["f9_raw"], "f9": ["f9_tags"], "matched": ["f7_pages", "f7b"], "classified": ["matched"], "structured": ["classified"], "final_rows": ["structured"],
+    "f7": ["f7_docs"], "f9_tags": ["f9_raw"], "f9": ["f9_tags"], "matched": ["f7_pages", "f7b"], "classified": ["matched"], "structured": ["classified"], "final_rows": ["structured"],
 }
 
 

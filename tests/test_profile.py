@@ -38,7 +38,7 @@ def test_bands_are_runs(spark, span):
         ys = sorted(y for (q, y), v in ink.items() if q == p and v > 0)
         runs = [r for r in np.split(np.array(ys), np.where(np.diff(ys) > 1)[0] + 1) if len(r)]
         want += [(p, i, int(r[0]), int(r[-1])) for i, r in enumerate(runs)]
-    bands = P.segment_bands(profile, span=span)
+    bands = P.segment_bands(profile, part_rows=span)
     assert sorted(tuple(r) for r in bands.select("page_id", "band_no", "y_start", "y_end").collect()) == sorted(want)
     for exclusive in (False, True):
         cropped = P.crop_bands(profile, bands, exclusive_end=exclusive)
