@@ -82,8 +82,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], n: Column, out
     if large is not None:
         ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         parts = in_large(rows, keys, large).groupBy(*keys, "_part").agg(F.sum(n).alias("_n"))
-        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
-        summed = summed.join(F.broadcast(parts), [*keys, "_part"], "left").withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before")
+        parts = parts.withColumn("_parts_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+        summed = summed.join(F.broadcast(parts), [*keys, "_part"], "left").withColumn(out, F.col(out) + F.coalesce("_parts_ahead", F.lit(0))).drop("_parts_ahead")
     return summed.drop("_part")
 
 

@@ -38,11 +38,18 @@ def read_page_files(spark: SparkSession, path: str, schema: str = PAGE_FILE, fil
     return rows.withColumns({"path": F.col("_metadata.file_path"), "file_name": name})
 
 
-def read_outcomes(listing: DataFrame, rows: DataFrame) -> DataFrame:
-    """file_name, read_error of the listed files: why nothing came out of one (or out of one of its parts), null if all were read."""
+def read_outcomes(listing: DataFrame, rows: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """file_name, read_error: why nothing came out of a file (or out of one of its parts), null if all were read.
+
+    Spark's listings leave out files without a byte. With ``expected`` (file_name) those, and files that are not there, are told too.
+    """
     read = rows.select("path").distinct().withColumn("_read", F.lit(True))
-    why = F.when(F.col("_read"), None).when(F.col("length") == 0, "empty file").otherwise("cannot be read")
-    return listing.join(read, "path", "left").groupBy("file_name").agg(F.max(why).alias("read_error"))
+    why = F.when(F.col("_read"), None).otherwise("cannot be read")
+    told = listing.join(read, "path", "left").groupBy("file_name").agg(F.max(why).alias("read_error"))
+    if expected is None:
+        return told
+    found = expected.select("file_name").distinct().join(told.withColumn("_listed", F.lit(True)), "file_name", "left")
+    return found.select("file_name", F.when(F.col("_listed"), F.col("read_error")).otherwise("empty or missing").alias("read_error"))
 
 
 def only_pdf(files: DataFrame, path: str = "path") -> DataFrame:

@@ -73,22 +73,37 @@ def _(spark, sf):
     return files_src.only_pdf(I.files(spark, sf)).select("doc_id", "path")
 
 
-@case(
-    "explode_pages",
-    "",
-    """select doc_id, generate_subscripts(string_split(text, '. '), 1)::int as page_no,
-    unnest(list_transform(string_split(text, '. '), lambda t, i: t || case when i < len(string_split(text, '. ')) then '.' else '' end)) as text from documents""",
-)
+SENTENCE_PAGES = """select doc_id, generate_subscripts(string_split(text, '. '), 1)::int as page_no,
+unnest(list_transform(string_split(text, '. '), lambda t, i: t || case when i < len(string_split(text, '. ')) then '.' else '' end)) as text from documents"""
+
+
+def _sentence_pages(spark, sf):
+    return I.documents(spark, sf).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\f")))
+
+
+@case("explode_pages", "", SENTENCE_PAGES)
+def _(spark, sf):
+    return pages_src.explode_pages(_sentence_pages(spark, sf))
+
+
+@case("explode_long_pages", "", SENTENCE_PAGES)
 def _(spark, sf):
-    docs = I.documents(spark, sf).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\f")))
-    return pages_src.explode_pages(docs)
+    return pages_src.explode_long_pages(_sentence_pages(spark, sf), piece_chars=1000)
+
+
+DOCUMENT_LINES = "select doc_id, 1 as page_no, ln::int as line_no, line from f1_raw"
 
 
-@case("explode_lines", "f1_raw", "select doc_id, 1 as page_no, ln::int as line_no, line from f1_raw")
+@case("explode_lines", "f1_raw", DOCUMENT_LINES)
 def _(spark, sf):
     return pages_src.explode_lines(pages_src.explode_pages(I.documents(spark, sf)))
 
 
+@case("explode_long_lines", "f1_raw", DOCUMENT_LINES)
+def _(spark, sf):
+    return pages_src.explode_long_lines(pages_src.explode_pages(I.documents(spark, sf)), piece_chars=1000)
+
+
 @case(
     "explode_word_boxes",
     "f2",
@@ -516,8 +531,8 @@ def _manifest(spark, sf, strict=False):
     I.write_page_files(spark, sf, path)
     listing, rows = files_src.list_files(spark, path, "part-*"), files_src.read_page_files(spark, path, files="part-*")
     pages = rows.filter("page_no is not null").select("doc_id", "page_no", "ocr_text")
-    outcomes = files_src.read_outcomes(listing, rows)
-    known = I.files(spark, sf).withColumn("file_name", F.element_at(F.split("path", "/"), -1)).join(outcomes, "file_name").drop("file_name")
+    known = I.files(spark, sf).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    known = known.join(files_src.read_outcomes(listing, rows, known), "file_name").drop("file_name")
     return A.file_manifest(known, A.classify_answer(A.match_page_answer(pages, I.answers(spark, sf))), strict)
 
 

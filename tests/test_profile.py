@@ -47,14 +47,15 @@ def test_bands_are_runs(spark, span):
         assert all(r.height == r.y_end - r.y_start + (0 if exclusive else 1) for r in P.band_heights(bands, exclusive).collect())
 
 
-def test_skew_is_the_exact_median(spark):
+@pytest.mark.parametrize("part_rows", [4, 1 << 20])
+def test_skew_is_the_exact_median(spark, part_rows):
     rng = random.Random(4)
     edges = {p: [rng.uniform(-0.5, 3.6) for _ in range(rng.randint(1, 30))] for p in range(20)}
     edges[3] = [1.5, 1.6]
     edges[4] = [1.5] * 7 + [1.9]
     table = spark.createDataFrame([(p, t) for p, ts in edges.items() for t in ts], "page_id bigint, theta double")
     pages = spark.createDataFrame([(p,) for p in range(21)], "page_id bigint")
-    got = {r.page_id: r.angle for r in P.page_skew_angle(pages, table).collect()}
+    got = {r.page_id: r.angle for r in P.page_skew_angle(pages, table, part_rows=part_rows).collect()}
     assert got[20] == 0.0
     for p, ts in edges.items():
         assert got[p] == pytest.approx(np.median([t * 180 / np.pi - 90 for t in ts]), abs=1e-9)

@@ -5,11 +5,13 @@ import io
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from doctables.operators import render as D
 from doctables.operators import shape as S
 from doctables.sinks import writers as W
 from doctables.sources import files as files_src
+from doctables.sources import pages as pages_src
 from doctables.sources import words as words_src
 
 
@@ -17,6 +19,72 @@ def read(folder):
     return "".join(p.read_bytes().decode() for p in sorted(folder.glob("part-*")))
 
 
+def test_long_texts_are_split_by_many_tasks(spark):
+    rng = random.Random(6)
+    texts = ["", "\n", "a", "\n\na\n", None, "x" * 50, *("".join(rng.choice("ab\n\f😀é") for _ in range(rng.randint(1, 90))) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for chars in (1, 3, 40, 1000):
+        got = pages_src.explode_long_lines(docs, keys=["doc_id"], piece_chars=chars).collect()
+        assert {(r.doc_id, r.line_no): r.line for r in got} == {(d, i): x for d, t in enumerate(texts) if t is not None for i, x in enumerate(t.split("\n"))}
+        got = pages_src.explode_long_pages(docs, piece_chars=chars).collect()
+        assert {(r.doc_id, r.page_no): r.text for r in got} == {(d, i + 1): x for d, t in enumerate(texts) if t is not None for i, x in enumerate(t.split("\f"))}
+    one = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(400_000)))], "doc_id bigint, text string")
+    lines = pages_src.explode_long_lines(one, keys=["doc_id"], piece_chars=1 << 16)
+    assert lines.count() == 400_000 and lines.filter("line <> concat('line ', line_no)").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put the few megabytes of this test into one task
+    try:
+        assert lines.select(F.spark_partition_id().alias("task")).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def words_of_hocr(spark, body):
+    table = spark.createDataFrame([(1, f"<html><div class='ocr_page'>{body}</div></html>")], "doc_id bigint, hocr string")
+    return [(r.page_no, r.ord, r.text, r.confidence, r.bbox[0].x) for r in words_src.parse_hocr(words_src.hocr_sheets(table)).orderBy("ord").collect()]
+
+
+def test_hocr_words_hold_spans_at_any_depth(spark):
+    word = lambda inner, conf="; x_wconf 90.5": f"<span class='ocrx_word x' title='bbox 1 2 3 4{conf}'>{inner}</span>"
+    deep = "<span class='a'><span class='b'><span>A</span></span><em>B</em></span><span>C</span>"
+    body = f"head <span class='ocr_line' title='bbox 9 9 9 9'>{word('one')} stray {word(deep)}</span> tail {word('&#38;lt; &#x26;amp; &amp;lt; &#55296; &#1114112; &apos;', '')} after"
+    assert words_of_hocr(spark, body) == [
+        (1, 0, "one", 0.905, 1.0), (1, 1, "ABC", 0.905, 1.0), (1, 2, "&lt; &amp; &lt; \ufffd \ufffd '", None, 1.0)]
+    assert [t for _, _, t, *_ in words_of_hocr(spark, "<span class='ocrx_word'>open <span>x" + word("y"))] == ["open x", "y"]
+    assert words_of_hocr(spark, "no words") == []
+
+
+def test_files_that_cannot_be_read_are_told_by_reading_them(spark, tmp_path):
+    good = spark.createDataFrame([(1, 1, "p1"), (1, 2, "p2"), (2, None, None)], "doc_id bigint, page_no int, ocr_text string")
+    for name, rows in (("good.pdf", good.filter("doc_id = 1")), ("none.pdf", good.filter("doc_id = 2"))):
+        rows.coalesce(1).write.parquet(str(tmp_path / f"file_name={name}"))
+    for name, content in (("broken.pdf", b"%PDF-1.4"), ("zero.pdf", b""), ("cut.pdf", None), ("gone.pdf", b"x")):
+        folder = tmp_path / f"file_name={name}"
+        folder.mkdir()
+        if content is None:
+            content = next((tmp_path / "file_name=good.pdf").glob("part-*")).read_bytes()[:-9]
+        (folder / "part-0.parquet").write_bytes(content)
+    listing = spark.createDataFrame(files_src.list_files(spark, str(tmp_path), "part-*").collect(), "path string, file_name string, length bigint")
+    (tmp_path / "file_name=gone.pdf" / "part-0.parquet").unlink()
+    rows = files_src.read_page_files(spark, str(tmp_path), files="part-*")
+    assert sorted((r.file_name, r.page_no) for r in rows.collect() if r.page_no) == [("good.pdf", 1), ("good.pdf", 2)]
+    want = {"good.pdf": None, "none.pdf": None, "broken.pdf": "cannot be read", "cut.pdf": "cannot be read", "gone.pdf": "cannot be read"}
+    assert {r.file_name: r.read_error for r in files_src.read_outcomes(listing, rows).collect()} == want
+    expected = spark.createDataFrame([(name,) for name in [*want, "zero.pdf", "never.pdf"]], "file_name string")
+    got = {r.file_name: r.read_error for r in files_src.read_outcomes(listing, rows, expected).collect()}
+    assert got == {**want, "zero.pdf": "empty or missing", "never.pdf": "empty or missing"}
+
+
+def test_a_large_folder_continues_in_the_next_file(spark, tmp_path):
+    rows = [(b, d, i, f"{b} {d} {i}") for b, n in ((0, 3), (1, 900), (2, 40)) for d in range(2) for i in range(n)]
+    random.Random(1).shuffle(rows)
+    lines = spark.createDataFrame(rows, "bucket int, doc_id bigint, line_no int, text string")
+    W.write_lines(lines, str(tmp_path / "out"), ["bucket"], ["doc_id", "line_no"])
+    for b in range(3):
+        files = sorted((tmp_path / "out" / f"bucket={b}").glob("part-*"))
+        assert "".join(f.read_text() for f in files) == "".join(t + "\n" for *_, t in sorted(r for r in rows if r[0] == b))
+        assert (len(files) > 1) == (b == 1)
+
+
 def test_pdf_listing_is_flat_and_ignores_case(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("A.PDF", "b.pdf", "c.txt", "d.pdf.bak", "sub/e.pdf"):
