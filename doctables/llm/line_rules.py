@@ -1,9 +1,8 @@
 """Quality rules: word statistics of each document, and lines that too many documents of a host share.
 
 A line is normalised (A-Z to a-z, digits to 0, white space to single spaces), hashed with its host, and its distinct documents are
-counted. Documents of equal lines count as one. Near copies count as one too: the documents that hold a line of too many documents are
-compared by op4's rule on their whole texts, and each component is one document. Lines above the limit are removed; a document of which
-too little is left is rejected.
+counted. Documents of equal lines, such as exact copies, count as one. Lines above the limit are removed; a document of which too little
+is left is rejected.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm import hamming
 from doctables.llm.common import renamed, slices
 from doctables.sinks.stored import stored
 
@@ -98,15 +96,6 @@ def keyed(docs: DataFrame, id_column: str, text_column: str, host_column: str) -
     return table.select(F.col("doc_id").cast("long"), "text", "host", F.xxhash64("text", "host").alias("tie"))
 
 
-def one_of_near_copies(table: DataFrame, profile: DataFrame, contents: DataFrame) -> DataFrame:
-    """content, component: the same for contents whose texts are near copies of each other. One text stands for all of its content."""
-    holder = F.coalesce(F.col("doc_id"), F.lit(1 << 62))
-    stands = profile.join(contents, "content").groupBy("content").agg(F.min(F.struct(holder.alias("_holder"), F.col("tie").alias("_tie"))).alias("one")).select("content", "one.*")
-    texts = table.join(stands, (holder == F.col("_holder")) & (F.col("tie") == F.col("_tie"))).select("content", "text")
-    near = hamming.near_duplicates(stored(texts.dropDuplicates(["content"])), id_column="content")
-    return near.select(F.col("doc_id").alias("content"), F.col("component_id").alias("component"))
-
-
 def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """Per document: doc_id, tie, the statistics, base_failed, n_removed_words, removed (hashes of its removed lines), kept.
 
@@ -118,12 +107,7 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: int =
     # a line of few rows is of few documents; only the others are looked at again
     often = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
     often = lines.join(often, "hash")
-    held = often.select("hash", "content").distinct()
-    many = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
-    held = stored(held.join(many, "hash"))
-    named = one_of_near_copies(table, profile, held.select("content").distinct())
-    distinct = held.join(named, "content").select("hash", "component").distinct()
-    above = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
+    above = often.select("hash", "content").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).select("hash")
     hits = often.join(above, "hash").groupBy("row").agg(F.sum("words").alias("_words"), F.collect_list("hash").alias("_hashes"))  # a document's own lines
     judged = profile.drop("hashes", "words", "content").join(hits, "row", "left")
     removed = F.coalesce("_words", F.lit(0)).cast("long")
@@ -135,9 +119,9 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: int =
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """The documents that are kept, all columns, their texts without the removed lines."""
-    kept = verdicts(docs, max_docs, min_left_percent, id_column, text_column, host_column).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("removed").alias("_removed")).dropDuplicates(["_doc", "_tie"])
-    tie = F.xxhash64(F.col(f"`{text_column}`"), F.col(f"`{host_column}`"))
-    joined = docs.join(kept, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_doc")) & (tie == F.col("_tie")))
+    kept = verdicts(docs, max_docs, min_left_percent, id_column, text_column, host_column).filter("kept").select("doc_id", "tie", "removed").dropDuplicates(["doc_id", "tie"])
+    text, host, removed = F.col(f"d.`{text_column}`"), F.col(f"d.`{host_column}`"), F.col("k.removed")
+    same = F.col(f"d.`{id_column}`").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(text, host) == F.col("k.tie"))
 
     @F.pandas_udf("string")
     def without(texts, hosts, removed):
@@ -146,5 +130,6 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: int = M
         gone = [set(r) for r in removed]
         return pd.Series(["\n".join(x for x in t.split("\n") if line_hash(h, x) not in g) if t is not None and g else t for t, h, g in zip(texts, hosts, gone)], index=texts.index)
 
-    text = F.when(F.size("_removed") > 0, without(F.col(f"`{text_column}`"), F.col(f"`{host_column}`"), F.col("_removed"))).otherwise(F.col(f"`{text_column}`"))
-    return joined.withColumn(text_column, text).drop("_doc", "_tie", "_removed")
+    cut = F.size(removed) > 0  # the other texts do not go to Python
+    left = F.when(cut, without(F.when(cut, text), host, removed)).otherwise(text)
+    return docs.alias("d").join(kept.alias("k"), same).select(*[left.alias(c) if c == text_column else F.col(f"d.`{c}`") for c in docs.columns])

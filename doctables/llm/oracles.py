@@ -26,7 +26,7 @@ kept as (select g.doc_id, string_agg(substr(x, (2 * x0 + 1)::bigint, (2 * (x1 -
 select d.doc_id, d.n as n_bytes, coalesce(s.gone, 0)::bigint as n_removed, coalesce(s.n_spans, 0) as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256
 from d left join (select doc_id, sum(b - a) as gone, count(*) as n_spans from spans group by doc_id) s using (doc_id) left join kept using (doc_id)"""
 
-#: Words and windows by unnesting; lines by their hash, compared by what stands beside them.
+#: Words and windows by unnesting; lines by their hash, counted by distinct lists of lines.
 LINE_RULES = r"""with t as (select doc_id, coalesce(text, '') as text, coalesce(source, 'None') as host from documents),
 w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from t),
 win as (select doc_id, i, array_to_string(w[i : i + 7], ' ') as s from (select *, unnest(range(1, len(w) - 6)) as i from w)),
@@ -38,10 +38,8 @@ lw as (select *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+')
 dup as (select doc_id, count(*) - count(distinct line) as n from lw where n > 0 group by doc_id),
 h as (select doc_id, ('0x' || substr(md5(host || chr(10) || plain), 1, 16))::ubigint::hugeint as u, sum(n) as n from lw where n > 0 group by doc_id, host, plain),
 s as (select doc_id, case when u >= 9223372036854775808 then u - 18446744073709551616 else u end as h, n from h),
-ranked as (select *, row_number() over (partition by doc_id order by h) as r from s),
-low as (select doc_id, max(h) filter (r = 1) as first, coalesce(max(h) filter (r = 2), 0) as second, list(h order by h)::varchar as content from ranked group by doc_id),
-beside as (select distinct s.h, case when s.h = first then second else first end as beside, content from s join low using (doc_id)),
-above as (select h from (select h, beside, count(*) as n from beside group by h, beside) group by h having count(*) > 20 and 2 * count(*) >= sum(n)),
+content as (select doc_id, list(h order by h)::varchar as content from s group by doc_id),
+above as (select h from (select distinct h, content from s join content using (doc_id)) group by h having count(*) > 20),
 gone as (select doc_id, sum(n) as n from s where h in (select h from above) group by doc_id),
 b as (select w.doc_id, len(w.w)::bigint as n_words, list_sum(list_transform(w.w, lambda x: length(x)))::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,

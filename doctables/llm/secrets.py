@@ -119,15 +119,16 @@ def report(findings: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
 
 def redacted(docs: DataFrame, ledger: str, mark: str = "[secret]", text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents, all columns, with every finding replaced by a mark (overlapping ones by one)."""
-    column = F.col(f"`{text}`")
-    findings = scan(docs, ledger, rules, path, text).filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    joined = docs.join(findings, F.sha2(column, 256) == F.col("_blob"), "left")
+    column, spans = F.col(f"d.`{text}`"), F.col("f.spans")
+    findings = scan(docs, ledger, rules, path, text).filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    joined = docs.alias("d").join(findings.alias("f"), F.sha2(column, 256) == F.col("f.blob"), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(state, s):
         piece = F.concat(state["out"], F.substring(column, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], piece).otherwise(state["out"]).alias("out"))
 
-    done = F.aggregate("_spans", start, add)
+    done = F.aggregate(spans, start, add)
     rest = F.concat(done["out"], F.substring(column, done["at"] + 1, F.length(column)))
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), rest).otherwise(column)).drop("_blob", "_spans")
+    safe = F.when(spans.isNotNull(), rest).otherwise(column)
+    return joined.select(*[safe.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])

@@ -159,5 +159,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_M
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents, all columns, that overlap with no item."""
-    bad = contaminated(docs, benchmark, id_column=id_column, text_column=text_column, **options).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).distinct()
-    return docs.join(bad, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(f"`{text_column}`")) == F.col("_tie")), "left_anti")
+    bad = contaminated(docs, benchmark, id_column=id_column, text_column=text_column, **options).select("doc_id", "tie").distinct()
+    same = F.col(f"d.`{id_column}`").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col(f"d.`{text_column}`")) == F.col("b.tie"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

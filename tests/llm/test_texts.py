@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from doctables.llm import line_rules, packing, secrets, transducer, wavelet
+from doctables.llm import line_rules, packing, secrets, spaced_seeds, transducer, wavelet
 from doctables.llm.tokens import Encoder, tokenizer_path
 from doctables.sinks.stored import shared_folder
 from tests.llm.rows import SCHEMA, rows
@@ -45,14 +45,38 @@ def test_lines_of_many_documents(spark):
     data = [(k, f"{prose(k)}\n{licence}", "en", "s0", 0) for k in range(8)]
     data += [(100 + k, licence + f"\nshort {chr(97 + k)}", "en", "s0", 0) for k in range(3)]  # little is left of these
     data += [(200, f"{prose(200)}\n{licence}", "en", "s1", 0)]  # few documents of this host
-    data += [(300 + k, "\n".join(prose(300 + j) for j in range(20)) + f"\nlast {chr(97 + k)}", "en", "s0", 0) for k in range(9)]  # near copies count once
+    data += [(300 + k, "\n".join(prose(300 + j) for j in range(20)) + f"\nlast {chr(97 + k)}", "en", "s0", 0) for k in range(9)]  # little is left of these either: they differ, so each counts
+    data += [(400 + k, "\n".join(prose(400 + j) for j in range(20)), "en", "s0", 0) for k in range(9)]  # exact copies count once
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in line_rules.verdicts(docs, max_docs=5).collect()}
-    assert [i for i in got if not got[i].kept] == [100, 101, 102]
-    assert all(got[k].n_removed_words == 25 for k in range(8)) and got[200].n_removed_words == 0 and got[300].n_removed_words == 0
+    gone = {100, 101, 102, *range(300, 309)}
+    assert {i for i in got if not got[i].kept} == gone
+    assert all(got[k].n_removed_words == 25 for k in range(8)) and got[200].n_removed_words == 0 and got[300].n_removed_words == 480 and got[400].n_removed_words == 0
     clean = {r.doc_id: r.text for r in line_rules.cleaned(docs, max_docs=5).collect()}
-    assert set(clean) == set(got) - {100, 101, 102}
-    assert clean[3] == prose(3) and clean[200].endswith(licence) and clean[300] == data[12][1]
+    assert set(clean) == set(got) - gone
+    assert clean[3] == prose(3) and clean[200].endswith(licence) and clean[400] == data[21][1]
+
+
+def test_menus_of_pages_that_are_alike_are_removed(spark):
+    """Pages whose shared lines make them near copies of each other are different documents all the same."""
+    spelled = lambda *n: " ".join(f"{chr(97 + j)}{''.join(chr(97 + int(c)) for c in '-'.join(map(str, n)) if c != '-')}" for j in range(9))
+    menu = [f"menu {spelled(k)}" for k in range(26)]
+    texts = ["\n".join([*menu, f"own {spelled(1000 + k)}"]) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "s0", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = line_rules.verdicts(docs).collect()
+    assert all(r.n_removed_words == 260 and not r.kept for r in got)
+
+
+def test_columns_of_the_operators_own_names_do_not_clash(spark):
+    data = [(k, f"w{k} password = 'hunter2hunter2' " + " ".join(f"v{k}x{j}" for j in range(30)), "s0", *["own"] * 10) for k in range(4)]
+    names = ["_doc", "_tie", "_removed", "_blob", "_spans", "_gone", "doc", "tie", "removed", "kept"]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    item = spark.createDataFrame([(1, " ".join(f"v2x{j}" for j in range(30)))], "item_id long, text string")
+    lines, seeds, safe = line_rules.cleaned(docs), spaced_seeds.clean(docs, item), secrets.redacted(docs, shared_folder(spark))
+    for out, n in ((lines, 4), (seeds, 3), (safe, 4)):
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) == n and all(r[name] == "own" for r in rows for name in names)
+    assert all("[secret]" in r.text and "hunter2" not in r.text for r in safe.collect())
 
 
 @pytest.mark.parametrize(("shared", "own"), [(10, 1), (10, 2), (30, 3), (2, 5)])
