@@ -28,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays. An id is one document: all rows of that id stay or go."""
-    gone = hamming.near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = hamming.near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("not kept").select("doc_id").distinct()
+    other = F.col("d.doc_id").cast("long") == F.col("g.doc_id")
+    return docs.alias("d").join(gone.alias("g"), other, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
