@@ -715,9 +715,9 @@ def page_tables(spark, sf):
 @case(
     "cluster_tables",
     "cluster_cells",
-    """select g.doc_id, g.page_no, g.line_no, g.col_no::int as col_no, c.text from (
-      select doc_id, page_no, line_no, unnest(range(width)) as col_no from (select distinct doc_id, page_no, line_no, max(col_no) over (partition by doc_id, page_no) + 1 as width from cluster_cells)) g
-    left join cluster_cells c using (doc_id, page_no, line_no, col_no)""",
+    """select doc_id, page_no, line_no, unnest(range(width))::int as col_no, unnest(list_resize(texts, width)) as text from (
+      select *, max(len(texts)) over (partition by doc_id, page_no) as width from (
+        select doc_id, page_no, line_no, list(text order by col_no) as texts from cluster_cells group by all))""",
 )
 def _(spark, sf):
     return plans.tables_from_clusters(I.boxes(spark, sf))
