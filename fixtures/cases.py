@@ -17,6 +17,7 @@ from doctables.operators import shape as S
 from doctables.operators.blocks import number_rows
 from doctables.plans import documents as plans
 from doctables.sinks import writers as W
+from doctables.sinks.cells import write_cell_rows
 from doctables.sinks.stored import shared_folder, stored
 from doctables.sources import files as files_src
 from doctables.sources import pages as pages_src
@@ -658,6 +659,18 @@ def _(spark, sf):
     return _written(spark, path)
 
 
+@case(
+    "write_cell_rows",
+    "anchor_lines",
+    PLACED.format(order="doc_id, page_no, row_no", lines="select doc_id, page_no, row_no, array_to_string(cells, chr(9)) || repeat(chr(9), width - len(cells)) as text from anchor_lines"),
+    y="y_drift",
+)
+def _(spark, sf):
+    path = shared_folder(spark)
+    write_cell_rows(_bucketed(plans.padded_cells(_anchored(spark, sf, "y_drift"))), path, ["bucket", *PAGE], by=["bucket"])
+    return _written(spark, path)
+
+
 @case(
     "write_text_rows_fragments",
     "f2",

@@ -3,13 +3,17 @@
 import csv
 import io
 import random
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from doctables.operators import render as D
 from doctables.operators import shape as S
 from doctables.sinks import writers as W
+from doctables.sinks.cells import CellRowWriter, write_cell_rows
 from doctables.sources import files as files_src
 from doctables.sources import pages as pages_src
 from doctables.sources import words as words_src
@@ -167,3 +171,46 @@ def test_markdown_sidecar_and_regions(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "regions"))
     assert "img" not in back.columns and {(r.type, r.res) for r in back.collect()} == {("title", "r"), ("text", "s")}
     assert (tmp_path / "regions" / "page_id=0" / "type=title").is_dir()
+
+
+def test_cell_rows_are_joined_by_the_writer(spark, tmp_path):
+    rng = random.Random(3)
+    rows = {(b, d, r): [rng.choice(["", None, "x", "ä b", "z" * 9]) for _ in range(rng.choice([1, 2, 900]))] for b in ("a b", "c/d=%", None) for d in range(3) for r in range(4)}
+    flat = [(*key, i, text) for key, cells in rows.items() for i, text in enumerate(cells)]
+    rng.shuffle(flat)
+    cells = spark.createDataFrame(flat, "bucket string, doc_id bigint, row_no int, col_no int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        write_cell_rows(cells, str(tmp_path / "out"), ["bucket", "doc_id"], ["bucket"], sep=" ")
+        write_cell_rows(cells.filter("bucket = 'a b'").drop("bucket"), str(tmp_path / "flat"), ["doc_id"], [])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = lambda bucket, sep: "".join(sep.join(c or "" for c in rows[key]) + "\n" for key in sorted((k for k in rows if k[0] == bucket), key=str))
+    found = {r.bucket for r in spark.read.text(str(tmp_path / "out")).select("bucket").distinct().collect()}
+    assert found == {"a b", "c/d=%", None}
+    for bucket, name in (("a b", "a b"), ("c/d=%", "c%2Fd%3D%25"), (None, "__HIVE_DEFAULT_PARTITION__")):
+        assert read(tmp_path / "out" / f"bucket={name}") == want(bucket, " ")
+    assert read(tmp_path / "flat") == want("a b", "\t")
+    assert not list(tmp_path.glob("*/_temporary*"))
+    with pytest.raises(FileExistsError):
+        write_cell_rows(cells, str(tmp_path / "out"))
+
+
+def test_a_row_of_ten_million_words_needs_the_memory_of_a_batch(tmp_path):
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1] * 10_000), "row_no": pa.array([0] * 10_000), "text": pa.array(["word"] * 10_000)})
+    writer = CellRowWriter({"path": str(tmp_path / "out"), "sep": " ", "by": "[\"doc_id\"]", "row": "[\"row_no\"]", "job": "j"})
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    peak = 0
+
+    def batches():
+        nonlocal peak
+        for _ in range(1000):
+            yield batch
+            peak = max(peak, pa.total_allocated_bytes() - before)
+
+    writer.commit([writer.write(batches())])
+    assert tracemalloc.get_traced_memory()[1] + peak < 4_000_000
+    tracemalloc.stop()
+    [file] = (tmp_path / "out" / "doc_id=1").glob("part-*")
+    assert file.stat().st_size == 5 * 10_000_000
