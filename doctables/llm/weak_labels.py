@@ -7,50 +7,120 @@ combination is good. These probabilities are the labels from which a logistic sc
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.common import renamed, slices
+from doctables.llm.common import BLANK, LOWER, SpanHasher, mixed, numbered, renamed, slices, text_bytes, words_of
 
 GOOD, BAD, SILENT = 2, 1, 0
+N_VOTES = 7
 DIMENSIONS = 1 << 12
 MAX_FITTED = 6000
 MIN_SCORE = 0.3
-MARKS = re.compile(r"[#*$%&|<>{}\\^~=_]")
-LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def votes(text: str) -> tuple[int, ...]:
-    """The heuristics' votes on a text."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return (BAD, *[SILENT] * 6)
-    counts = Counter(words)
-    runs = sum(a == b for a, b in zip(words, words[1:])) / n
-    marks = len(MARKS.findall(text)) / n
-    mean = sum(map(len, words)) / n
-    ends = sum(w[-1] in ".,;:!?" for w in words) / n
-    plain = sum(1 for w in words if LETTERS.fullmatch(w.rstrip(".,;:!?"))) / n
-    lines = [x for x in text.split("\n") if x.strip()]
-    same = 1 - len(set(lines)) / len(lines)
-    vote = lambda good, bad: GOOD if good else BAD if bad else SILENT
-    return (
-        vote(n >= 30, n < 8),
-        vote(runs < 0.02, runs > 0.2),
-        vote(marks < 0.05, marks > 0.3),
-        vote(3 <= mean <= 9, mean < 2 or mean > 14),
-        vote(0.02 <= ends <= 0.4, ends == 0 and n > 40),
-        vote(plain > 0.9, plain < 0.6),
-        vote(max(counts.values()) < 0.12 * n, max(counts.values()) > 0.3 * n and n > 10) if same < 0.3 else BAD,
-    )
+
+
+def _bytes_in(characters: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), list(characters))
+
+
+MARK, ENDING = _bytes_in(b"#*$%&|<>{}\\^~=_"), _bytes_in(b".,;:!?")
+#: Letters; all bytes beyond ASCII belong to some.
+LETTER = _bytes_in(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
+#: What a byte looks like: a letter, a digit, or itself.
+LOOK = np.where(LETTER, 97, np.where(_bytes_in(b"0123456789"), 48, np.arange(256))).astype(np.uint8)
+
+
+class Slice:
+    """The words of a slice of texts as arrays: what the heuristics and the scorer measure."""
+
+    def __init__(self, column: pa.Array):
+        self.data, self.offsets = text_bytes(column)
+        self.starts, self.ends, self.first = words_of(self.data, self.offsets, BLANK)
+        self.n_texts, self.n = len(self.offsets) - 1, np.diff(self.first)
+        self.doc = np.repeat(np.arange(self.n_texts), self.n)
+        self.number = numbered(self.data, self.starts, self.ends)[0].astype(np.int64) if len(self.starts) else np.zeros(0, np.int64)
+        self.again = np.flatnonzero((self.number[1:] == self.number[:-1]) & (self.doc[1:] == self.doc[:-1])) + 1
+
+    def per_text(self, word_value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, word_value, self.n_texts)
+
+    def inside(self, hit: np.ndarray) -> np.ndarray:
+        """Per word, how many of its bytes are hit."""
+        total = np.concatenate(([0], np.cumsum(hit)))
+        return total[self.ends] - total[self.starts]
+
+    def most_frequent(self) -> np.ndarray:
+        """Per text, how often its most frequent word occurs."""
+        cell, count = np.unique(self.doc * (len(self.number) + 1) + self.number, return_counts=True)
+        out = np.zeros(self.n_texts, np.int64)
+        np.maximum.at(out, cell // (len(self.number) + 1), count)
+        return out
+
+    def repeated_lines(self) -> np.ndarray:
+        """Per text, the share of its lines with a word that an earlier line equals."""
+        breaks = np.union1d(np.flatnonzero(self.data == 10), self.offsets)
+        starts, ends = breaks[:-1], breaks[1:]
+        starts = starts + ((starts < len(self.data)) & (self.data[np.minimum(starts, max(len(self.data) - 1, 0))] == 10) if len(self.data) else 0)
+        held = np.searchsorted(self.starts, ends) > np.searchsorted(self.starts, starts)
+        starts, ends = starts[held], ends[held]
+        doc = np.searchsorted(self.offsets, starts, side="right") - 1
+        number = numbered(self.data, starts, ends)[0].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+        different = np.unique(doc * (len(number) + 1) + number) // (len(number) + 1)
+        lines = np.bincount(doc, minlength=self.n_texts)
+        return 1 - np.bincount(different, minlength=self.n_texts) / np.maximum(lines, 1)
+
+    def votes(self) -> np.ndarray:
+        """The heuristics' votes, a row per text: words, repeated words, marks, length, sentence ends, plain words, frequent words and lines."""
+        n = np.maximum(self.n, 1)
+        runs = np.bincount(self.doc[self.again], minlength=self.n_texts) / n
+        marks = self.per_text(self.inside(MARK[self.data])) / n
+        mean = self.per_text(self.inside((self.data & 0xC0) != 0x80)) / n
+        end = ENDING[self.data[self.ends - 1]]
+        ends = self.per_text(end) / n
+        letters, endings, size = self.inside(LETTER[self.data]), self.inside(ENDING[self.data]), self.ends - self.starts
+        # letters, then nothing but sentence ends: as many of these as bytes behind the last letter
+        last = np.maximum.accumulate(np.where(LETTER[self.data], np.arange(1, len(self.data) + 1), 0))[self.ends - 1] if len(self.ends) else size
+        plain = self.per_text((letters > 0) & (letters == last - self.starts) & (letters + endings == size)) / n
+        most, same = self.most_frequent(), self.repeated_lines()
+        vote = lambda good, bad: np.where(good, GOOD, np.where(bad, BAD, SILENT))
+        out = np.stack([
+            vote(self.n >= 30, self.n < 8),
+            vote(runs < 0.02, runs > 0.2),
+            vote(marks < 0.05, marks > 0.3),
+            vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
+            vote((ends >= 0.02) & (ends <= 0.4), (ends == 0) & (self.n > 40)),
+            vote(plain > 0.9, plain < 0.6),
+            np.where(same < 0.3, vote(most < 0.12 * n, (most > 0.3 * n) & (self.n > 10)), BAD),
+        ], axis=1)
+        out[self.n == 0] = [BAD, *[SILENT] * (N_VOTES - 1)]
+        return out
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, slot, value of the hashed words, shapes and repeated words; scaled by the number of words, each text's to length 1."""
+        word = SpanHasher(LOWER[self.data])(self.starts, self.ends) % np.uint64(DIMENSIONS)
+        look = LOOK[self.data]
+        opens = np.concatenate(([True], look[1:] != look[:-1]))[: len(look)]
+        opens[self.starts] = True
+        at = np.flatnonzero(opens)
+        runs = look[at] + np.where(np.diff(np.append(at, len(look))) > 1, 128, 0).astype(np.uint8)  # runs of one look are one, and marked
+        place = np.cumsum(opens) - 1
+        shape = SpanHasher(runs)(place[self.starts], place[self.ends - 1] + 1) if len(self.starts) else word
+        shape = mixed(shape + np.uint64(1)) % np.uint64(DIMENSIONS)
+        slots = [word.astype(np.int64), shape.astype(np.int64), np.ones(4 * len(self.again), np.int64)]
+        texts = [self.doc, self.doc, np.repeat(self.doc[self.again], 4)]
+        cell, count = np.unique(np.concatenate(texts) * DIMENSIONS + np.concatenate(slots), return_counts=True)
+        text, slot = np.divmod(cell, DIMENSIONS)
+        value = np.sqrt(count / self.n[text])
+        return text, slot, value / np.sqrt(np.bincount(text, value**2, self.n_texts))[text]
+
+
+def patterns_of(votes: np.ndarray) -> list[str]:
+    """Each text's votes as digits."""
+    return np.ascontiguousarray(votes + 48, np.uint8).view(f"S{N_VOTES}").ravel().astype(str).tolist()
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
@@ -72,37 +142,16 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return float(share), table, good
 
 
-@lru_cache(maxsize=200_000)
-def _slots(word: str) -> tuple[int, int]:
-    """Hash slots of a word and of its shape."""
-    import xxhash
-
-    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", word)))
-    return xxhash.xxh32_intdigest(word.lower()) % DIMENSIONS, xxhash.xxh32_intdigest("shape " + shape) % DIMENSIONS
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights of a text's words, shapes and repeated words, scaled by the number of words."""
-    words = text.split()
-    if not words:
-        return np.array([0]), np.array([1.0])
-    slots = np.array([s for w in words for s in _slots(w)])
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    total = np.bincount(slots, minlength=DIMENSIONS).astype(float)
-    total[1] += 4 * again
-    at = np.flatnonzero(total)
-    value = np.sqrt(total[at] / len(words))
-    return at, value / np.linalg.norm(value)
+def fit(row: np.ndarray, at: np.ndarray, value: np.ndarray, target: np.ndarray, passes: int = 60, rate: float = 6.0, decay: float = 1e-5) -> np.ndarray:
+    """Weights (the last is the offset) of a logistic scorer for targets between 0 and 1, by gradient steps over all rows.
 
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, passes: int = 60, rate: float = 6.0, decay: float = 1e-5) -> np.ndarray:
-    """Weights (the last is the offset) of a logistic scorer for targets between 0 and 1, by gradient steps over all rows."""
-    at, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    ``row``, ``at``, ``value``: the features of all rows, one after another.
+    """
+    n = max(len(target), 1)
     weights, offset, square = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-6)
     for _ in range(passes):
-        score = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[at] * value, len(rows)) + offset, -40, 40)))
-        miss = (score - target) / len(rows)
+        score = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[at] * value, len(target)) + offset, -40, 40)))
+        miss = (score - target) / n
         gradient = np.bincount(at, miss[row] * value, DIMENSIONS) + decay * weights
         square += gradient**2
         weights -= rate * gradient / np.sqrt(square) / 10
@@ -110,23 +159,38 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, passes: i
     return np.append(weights, offset)
 
 
-def score(text: str, weights: np.ndarray) -> float:
-    at, value = features(text)
-    return float(1 / (1 + np.exp(-np.clip(weights[at] @ value + weights[-1], -40, 40))))
+def scores(words: Slice, weights: np.ndarray) -> np.ndarray:
+    """The scorer's probabilities; 0 for a text without words."""
+    text, slot, value = words.features()
+    raw = np.bincount(text, weights[slot] * value, words.n_texts) + weights[-1]
+    return np.where(words.n > 0, 1 / (1 + np.exp(-np.clip(raw, -40, 40))), 0.0)
+
+
+def fitting_rows(table: DataFrame, n_docs: int, max_fitted: int) -> DataFrame:
+    """At most ``max_fitted`` texts: the first by a hash of id and text. A filter by that hash comes first, so few rows are ordered."""
+    hashed = table.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
+    kept = min(1.0, 2 * max_fitted / n_docs)
+    first = lambda rows: rows.orderBy("h", "doc_id").limit(max_fitted).select("text")
+    if kept < 1:
+        few = hashed.filter(F.pmod("h", F.lit(1 << 20)) < int(kept * (1 << 20)) + 1)
+        if few.agg(F.count(F.lit(1))).first()[0] >= max_fitted:
+            return first(few)
+    return first(hashed)  # small tables, and tables of few different rows
 
 
 def scored(docs: DataFrame, max_fitted: int = MAX_FITTED, min_score: float = MIN_SCORE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, votes (one digit each), weak_label (how likely good by the votes), score (0 to 1), kept.
 
-    Votes and their combinations cover all documents. The scorer is fitted on about ``max_fitted`` of them, chosen by a hash of their id.
-    A missing text counts as empty: it is bad. Repeated rows are scored alike. An empty table gives an empty result.
+    Votes and their combinations cover all documents. The scorer is fitted on at most ``max_fitted`` of them, chosen by a hash of id and
+    text. A missing text counts as empty: it is bad. Repeated rows are scored alike. An empty table gives an empty result.
     """
     table = renamed(docs, {"doc_id": id_column, "text": text_column}).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = Counter("".join(map(str, votes(x))) for x in batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["votes", "n"])
+            found, n = np.unique(Slice(batch.column("text")).votes() @ 3 ** np.arange(N_VOTES)[::-1], return_counts=True)
+            digits = found[:, None] // 3 ** np.arange(N_VOTES)[::-1] % 3
+            yield pa.RecordBatch.from_arrays([pa.array(patterns_of(digits)), pa.array(n)], names=["votes", "n"])
 
     table_of = table.select("text").mapInArrow(voted, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # 3**7 rows at most
     n_docs = sum(r.n for r in table_of)
@@ -134,24 +198,24 @@ def scored(docs: DataFrame, max_fitted: int = MAX_FITTED, min_score: float = MIN
         return docs.sparkSession.createDataFrame([], "doc_id long, votes string, weak_label double, score double, kept boolean")
     _, _, good = expectation_maximisation(np.array([[int(v) for v in r.votes] for r in table_of]), np.array([r.n for r in table_of], float))
     label = {r.votes: float(g) for r, g in zip(table_of, good)}
-    share = min(1.0, max_fitted / n_docs)
-    chosen = table.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            rows = [features(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0].astype(np.int32).tobytes() for r in rows]), pa.array([r[1].astype(np.float32).tobytes() for r in rows]), pa.array(["".join(map(str, votes(x))) for x in texts])], names=["at", "value", "votes"])
+            words = Slice(batch.column("text"))
+            text, slot, value = words.features()
+            bounds = np.searchsorted(text, np.arange(words.n_texts + 1)).tolist()
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(cut(slot.astype(np.int32)), pa.binary()), pa.array(cut(value.astype(np.float32)), pa.binary()), pa.array(patterns_of(words.votes()))], names=["at", "value", "votes"])
 
-    sample = chosen.select("doc_id", "text").sort("doc_id", F.xxhash64("text")).select("text").mapInArrow(featured, "at binary, value binary, votes string").collect()
-    rows = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32).astype(float)) for r in sample]
-    weights = fit(rows, np.array([label[r.votes] for r in sample])) if rows else np.zeros(DIMENSIONS + 1)
+    sample = fitting_rows(table, n_docs, max_fitted).mapInArrow(featured, "at binary, value binary, votes string").collect()
+    at, value = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in sample)]) for name, kind in (("at", np.int32), ("value", np.float32)))
+    row = np.repeat(np.arange(len(sample)), [len(r["at"]) // 4 for r in sample])
+    weights = fit(row, at, value.astype(float), np.array([label[r.votes] for r in sample]))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            given = ["".join(map(str, votes(x))) for x in texts]
-            marks = [score(x, weights) if x.strip() else 0.0 for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(given), pa.array([label[v] for v in given]), pa.array(marks), pa.array([m >= min_score for m in marks])], names=["doc_id", "votes", "weak_label", "score", "kept"])
+            words = Slice(batch.column("text"))
+            given, marks = patterns_of(words.votes()), scores(words, weights)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(given), pa.array([label[v] for v in given]), pa.array(marks), pa.array(marks >= min_score)], names=["doc_id", "votes", "weak_label", "score", "kept"])
 
     return table.mapInArrow(judged, "doc_id long, votes string, weak_label double, score double, kept boolean")

@@ -1,8 +1,10 @@
 """Decontamination, toxicity and weak labels against planted cases."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
 from doctables.llm import spaced_seeds, toxicity, weak_labels
 from tests.llm.rows import SCHEMA, rows
@@ -165,3 +167,42 @@ def test_weak_labels(spark):
     got = {r.doc_id: r for r in weak_labels.scored(spark.createDataFrame(good + bad + odd, SCHEMA).repartition(3)).collect()}
     assert all(got[r[0]].kept for r in good) and not any(got[r[0]].kept for r in bad) and not got[2000].kept and not got[2001].kept and got[None].kept
     assert weak_labels.scored(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_votes(text):
+    words = [w for w in re.split(r"[ \t\n\v\f\r]+", text) if w]
+    n = len(words)
+    if not n:
+        return "1000000"
+    runs, marks = sum(a == b for a, b in zip(words, words[1:])) / n, len(re.findall(r"[#*$%&|<>{}\\^~=_]", text)) / n
+    mean, ends = sum(map(len, words)) / n, sum(w[-1] in ".,;:!?" for w in words) / n
+    plain = sum(1 for w in words if re.fullmatch(r"(?:[a-zA-Z]|[^\x00-\x7f])+", w.rstrip(".,;:!?"))) / n
+    lines = [x for x in text.split("\n") if re.search(r"[^ \t\n\v\f\r]", x)]
+    same, most = 1 - len(set(lines)) / len(lines), max(map(words.count, words))
+    vote = lambda good, bad: "2" if good else "1" if bad else "0"
+    return (
+        vote(n >= 30, n < 8) + vote(runs < 0.02, runs > 0.2) + vote(marks < 0.05, marks > 0.3) + vote(3 <= mean <= 9, mean < 2 or mean > 14)
+        + vote(0.02 <= ends <= 0.4, ends == 0 and n > 40) + vote(plain > 0.9, plain < 0.6) + (vote(most < 0.12 * n, most > 0.3 * n and n > 10) if same < 0.3 else "1")
+    )
+
+
+def test_votes_are_those_of_plain_counts():
+    rng = random.Random(12)
+    texts = [t or "" for _, t, *_ in rows(8, 60)] + ["a. b.\nc d", "..", "a.b c", "x\n x\nx\n\nx", "\n\n a"]
+    for _ in range(300):
+        words = rng.choices(["the", "the", "end.", "wort,", "é", "#", "a1", "x.y", "longlonglonglonglong", "why?!", "_"] + _words(rng, 9), k=rng.randint(0, 60))
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "\t"]) for w in words))
+    words = weak_labels.Slice(pa.array(texts))
+    assert weak_labels.patterns_of(words.votes()) == [plain_votes(t) for t in texts]
+    text, slot, value = words.features()
+    assert np.allclose(np.bincount(text, value**2, len(texts))[words.n > 0], 1) and set(np.unique(text)) == set(np.flatnonzero(words.n))
+    one = [weak_labels.Slice(pa.array([t])).features() for t in texts]  # a text's features do not depend on its neighbours
+    assert np.allclose(np.concatenate([v for *_, v in one]), value) and (np.concatenate([s for _, s, _ in one]) == slot).all()
+
+
+def test_the_number_of_fitted_rows_is_bounded(spark):
+    for data in ([(7, "a b", *[None] * 8)] * 300, [(None, f"w{i}", *[None] * 8) for i in range(300)], [(i, f"w{i}", *[None] * 8) for i in range(300)]):
+        table = spark.createDataFrame(data, SCHEMA).select("doc_id", "text")
+        assert weak_labels.fitting_rows(table, 300, 40).count() == 40
+        assert weak_labels.scored(table, max_fitted=40).count() == 300
+    assert weak_labels.fitting_rows(table, 300, 1000).count() == 300
