@@ -13,11 +13,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from doctables.llm.common import numbered, text_bytes
+from doctables.llm.common import SpanHasher, numbered, text_bytes
 from doctables.llm.pretokens import cuts
 
-SLOTS = 1 << 19
+SLOTS = 1 << 20
 POOL = 1 << 22
+TEXT = 1 << 24
 #: Longer pieces are computed anew in every slice.
 LONGEST = 64
 #: Fixed value: the first bytes of UTF-8 characters from U+0100, which normalizing may change.
@@ -33,42 +34,67 @@ def byte_letters() -> list[str]:
 
 
 class Pieces:
-    """A memo of fixed size: from a piece's bytes to its values, held end to end in one pool. Equal pieces of a slice are found by their bytes."""
+    """A memo of fixed size: from a piece's bytes to its values, held end to end in one pool. Its own bytes stand beside them and are compared."""
 
     def __init__(self, compute, kind):
         self.compute, self.kind = compute, kind
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # place in the pool, shifted, and size
+        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.text_at, self.text_size = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
-
-    def _add(self, values: np.ndarray) -> None:
-        need = self.used + len(values)
-        if need > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(need, len(self.pool)), self.kind)))
-        self.pool[self.used : need] = values
-        self.used = need
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+
+    @staticmethod
+    def _longer(pool: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+        need = used + len(values)
+        if need > len(pool):
+            pool = np.concatenate((pool, np.zeros(max(need, len(pool)), pool.dtype)))
+        pool[used:need] = values
+        return pool
+
+    def _known(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, hashes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether the slot of each piece holds that very piece."""
+        known = (self.keys[slot] == hashes) & (self.text_size[slot] == size)
+        maybe = np.flatnonzero(known)
+        if len(maybe):
+            n = size[maybe].astype(np.int64)
+            first = np.cumsum(n) - n
+            inner = np.arange(n.sum()) - np.repeat(first, n)
+            same = raw[np.repeat(starts[maybe], n) + inner] == self.text[np.repeat(self.text_at[slot[maybe]], n) + inner]
+            known[maybe] = np.logical_and.reduceat(same, first)
+        return known
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per piece: where its values begin in the pool, and how many there are. Pieces hold at least a byte and do not overlap."""
-        if self.used > POOL or len(self.known) > SLOTS:
+        if self.used > POOL or self.text_used > TEXT:
             self.clear()
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         number, pieces = numbered(data, starts, ends)
-        pieces = pieces.to_pylist()
-        places, fresh = [self.known.get(p, -1) for p in pieces], self.used
-        new = [k for k, place in enumerate(places) if place < 0]
-        found = [self.compute(pieces[k]) for k in new]
-        for k, values in zip(new, found):
-            places[k] = fresh << 32 | len(values)
-            fresh += len(values)
-            if len(pieces[k]) <= LONGEST:
-                self.known[pieces[k]] = places[k]
-        self._add(np.array([x for values in found for x in values], self.kind))
-        place = np.array(places, np.int64)[number]
-        return place >> 32, (place & 0xFFFFFFFF).astype(np.int32)
+        offsets, raw = np.frombuffer(pieces.buffers()[1], np.int64, count=len(pieces) + 1), np.frombuffer(pieces.buffers()[2], np.uint8)
+        begin, long = offsets[:-1], np.diff(offsets)
+        hashes = SpanHasher(raw)(begin, offsets[1:]) | np.uint64(1)
+        slot = (hashes >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+        known = self._known(raw, begin, long, hashes, slot)
+        at, size = self.at[slot], self.size[slot]
+        new = np.flatnonzero(~known)
+        if len(new):
+            whole = raw.tobytes()
+            found = [self.compute(whole[a:b]) for a, b in zip(begin[new].tolist(), offsets[1:][new].tolist())]
+            size[new] = [len(x) for x in found]
+            at[new] = self.used + np.cumsum(size[new], dtype=np.int64) - size[new]
+            self.pool = self._longer(self.pool, self.used, np.array([x for values in found for x in values], self.kind))
+            self.used += int(size[new].sum(dtype=np.int64))
+            short = new[long[new] <= LONGEST]
+            n = long[short]
+            first = np.cumsum(n) - n
+            self.text = self._longer(self.text, self.text_used, raw[np.repeat(begin[short] - first, n) + np.arange(n.sum())])
+            self.keys[slot[short]], self.at[slot[short]], self.size[slot[short]] = hashes[short], at[short], size[short]
+            self.text_at[slot[short]], self.text_size[slot[short]] = self.text_used + first, n
+            self.text_used += int(n.sum())
+        return at[number], size[number]
 
     def gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The values of these pieces end to end."""
