@@ -1,4 +1,4 @@
-"""Connected components, and groups that are compared in blocks."""
+"""Connected components, and large groups of which only those are compared in blocks that their first member does not reach."""
 
 from __future__ import annotations
 
@@ -33,11 +33,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
-    """The members with the pairs of blocks (i <= j) that they are compared in. A group of up to about ``size`` members is one block.
+    """The members with the pairs of blocks (i, j) in which the ``far`` ones (a flag) are compared with all members of their group.
 
-    Every two members of a group meet in some pair of blocks; no task holds more than two blocks of about ``size``.
+    A far member asks (``asks``) in every block of its group; every member answers where far ones ask. A group without far members is not
+    compared at all. No task holds more than about ``size`` members that ask and ``size`` that answer, and a group of n members of
+    which f are far is dealt out as about n * ceil(f / size) + f * n / size rows.
     """
-    blocks = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(group, F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
-    own = members.join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least("_own", o).alias("i"), F.greatest("_own", o).alias("j")))
-    return own.withColumn("_pair", F.explode(pairs)).select(*members.columns, "_pair.i", "_pair.j")
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count_if("far").alias("_f")).filter("_f > 0")
+    sizes = sizes.select(group, F.ceil(F.col("_n") / size).cast("int").alias("_all"), F.ceil(F.col("_f") / size).cast("int").alias("_far"))
+    placed = members.join(sizes, group)
+    i, j = (F.pmod(F.xxhash64(F.col(member), F.lit(n)), F.col(n)).cast("int") for n in ("_far", "_all"))
+    answers = F.transform(F.sequence(F.lit(0), F.col("_far") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("_all") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(True).alias("asks")))
+    dealt = placed.withColumn("_at", F.explode(F.concat(answers, F.when(F.col("far"), asks).otherwise(F.slice(asks, 1, 0)))))
+    return dealt.select(*members.columns, "_at.i", "_at.j", "_at.asks")

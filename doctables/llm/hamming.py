@@ -4,7 +4,10 @@ A signature has 60 positions of 16 bits in 12 chunks of 5. Two signatures that d
 with at most one differing position; so a document is filed under every chunk with every one position left out (60 keys), and all pairs
 within the distance meet. At the similarity of 0.85 a pair differs in 9 positions on average (standard deviation 2.8); less than one pair
 in a hundred thousand exceeds 23. Inside a key, documents are joined to candidate groups by the distance alone; then each group's
-whole shingle sets are compared, in blocks, and links that hold are joined to components. Only spanning links are ever written.
+whole shingle sets are compared, and links that hold are joined to components. Only spanning links are ever written.
+
+A key or a group of many documents is first compared with its first document alone. All that it reaches are linked already, whatever else
+holds between them; only the others are compared with all, in blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from doctables.llm.common import BLANK, LOWER, Joined, SpanHasher, groups_in_order, mixed, renamed, slices, text_bytes, words_of
 from doctables.llm.graph import components, in_blocks
+from doctables.operators.blocks import lookup_by_block
 from doctables.sinks.stored import stored
 
 CHUNKS, CHUNK = 12, 5
@@ -26,6 +30,8 @@ DISTANCE = 2 * CHUNKS - 1
 PERCENT = 85
 WORDS = 3
 BLOCK = 256
+#: Rows of a large key or group meet its first document in so many groups.
+SPREAD = 64
 MULTIPLY = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 ADD = mixed(np.arange(101, POSITIONS + 101, dtype=np.uint64))
 
@@ -57,10 +63,13 @@ def shingles(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """16 bits of the minimum of each position's hash, a row per set (no set may be empty)."""
+    """16 bits of the minimum of each position's hash, a row per set (no set may be empty).
+
+    The minimum is mixed first: of a large set it is small, and its high bits would be the same for all large sets.
+    """
     out = np.empty((len(bounds) - 1, POSITIONS), np.uint16)
     for k in range(POSITIONS):
-        out[:, k] = np.minimum.reduceat(values * MULTIPLY[k] + ADD[k], bounds[:-1]) >> np.uint64(48)
+        out[:, k] = mixed(np.minimum.reduceat(values * MULTIPLY[k] + ADD[k], bounds[:-1])) >> np.uint64(48)
     return out
 
 
@@ -109,12 +118,19 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(keys_of(raw).ravel()), pa.array(np.repeat(part.column("row").to_numpy(), POSITIONS))], names=["key", "row"])
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], []))], names=["a", "b"])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the documents of each key (and pair of blocks) that are within the distance."""
+    """Spanning links of the documents of each small key that are within the distance."""
     found: list[tuple[int, int]] = []
-    for group in groups_in_order(batches, ["key", "i", "j"]):
-        rows = group.column("row").to_numpy()
-        raw = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    for group in groups_in_order(batches, ["key"]):
+        rows, raw = group.column("row").to_numpy(), _signatures(group.column("signature"))
         sets = Joined(len(rows))
         for p in range(len(rows) - 1):
             for q in np.flatnonzero((raw[p + 1 :] != raw[p]).sum(axis=1) <= DISTANCE) + p + 1:
@@ -123,39 +139,111 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sets.left == 1:
                 break
         if len(found) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+            yield _links(found)
             found = []
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        yield _links(found)
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of large keys, with ``far``: whether the key's first document is beyond the distance."""
+    for batch in batches:
+        if batch.num_rows:
+            far = (_signatures(batch.column("signature")) != _signatures(batch.column("first_signature"))).sum(axis=1) > DISTANCE
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "row", "first", "signature")), pa.array(far)], names=["key", "row", "first", "signature", "far"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], keys: list[str], reader, reaches) -> Iterator[pa.RecordBatch]:
+    """Spanning links between the members that ask and those that answer; answers that are not far are linked to each other already."""
+    for group in groups_in_order(batches, keys):
+        rows, asks, far = (group.column(c).to_numpy() for c in ("row", "asks", "far"))
+        answers = np.flatnonzero(~asks)
+        held = reader(group)
+        sets, found, near = Joined(len(rows)), [], answers[~far[answers]]
+        for q in near[1:]:
+            sets.join(int(near[0]), int(q))
+        for p in np.flatnonzero(asks):
+            for q in answers[reaches(held, p, answers)]:
+                if rows[p] != rows[q] and sets.join(int(p), int(q)):
+                    found.append((int(rows[p]), int(rows[q])))
+        if found:
+            yield _links(found)
+
+
+def _asked_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _asked(batches, ["key", "i", "j"], lambda group: _signatures(group.column("signature")), lambda raw, p, others: (raw[others] != raw[p]).sum(axis=1) <= DISTANCE)
+
+
+class Sets:
+    """Shingle sets of a few documents, compared by counting what they share."""
+
+    def __init__(self, packed: list[bytes]):
+        sets = [np.frombuffer(x, np.uint64) for x in packed]
+        self.size = np.array([len(x) for x in sets])
+        self.starts = np.cumsum(self.size) - self.size
+        self.number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.mark = np.zeros(int(self.number.max()) + 1, np.int64)
+
+    def common(self, p: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles each of the others (in order) shares with set ``p``."""
+        own = self.number[self.starts[p] : self.starts[p] + self.size[p]]
+        self.mark[own] = 1
+        found = np.add.reduceat(self.mark[self.number], self.starts)[others]
+        self.mark[own] = 0
+        return found
+
+    def alike(self, p: int, others: np.ndarray, percent: int) -> np.ndarray:
+        common = self.common(p, others)
+        return 100 * common >= percent * (self.size[p] + self.size[others] - common)
 
 
 def _linked(percent: int):
-    """Spanning links of the documents of each candidate group (and pair of blocks) whose sets are similar enough."""
+    """Spanning links of the documents of each small candidate group whose sets are similar enough."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_in_order(batches, ["component", "i", "j"]):
+        for group in groups_in_order(batches, ["component"]):
             rows = group.column("row").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            size = np.array([len(x) for x in sets])
-            starts = np.cumsum(size) - size
-            _, number = np.unique(np.concatenate(sets), return_inverse=True)
-            mark, joined, found = np.zeros(int(number.max()) + 1, np.int64), Joined(len(rows)), []
+            sets, joined, found = Sets(group.column("shingles").to_pylist()), Joined(len(rows)), []
             for p in range(len(rows) - 1):
-                own = number[starts[p] : starts[p] + size[p]]
-                mark[own] = 1
-                common = np.add.reduceat(mark[number[starts[p + 1] :]], starts[p + 1 :] - starts[p + 1])
-                mark[own] = 0
-                for q in np.flatnonzero(100 * common >= percent * (size[p] + size[p + 1 :] - common)) + p + 1:
+                others = np.arange(p + 1, len(rows))
+                for q in others[sets.alike(p, others, percent)]:
                     if joined.join(p, int(q)):
                         found.append((int(rows[p]), int(rows[q])))
                 if joined.left == 1:
                     break
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+                yield _links(found)
 
     return linked
 
 
+def _resembling(percent: int):
+    """Documents of large groups, with ``far``: whether the set of the group's first document is not similar enough."""
+
+    def resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for own, first in zip(batch.column("shingles").to_pylist(), batch.column("first_shingles").to_pylist()):
+                a, b = np.frombuffer(own, np.uint64), np.frombuffer(first, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                far.append(100 * common < percent * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "row", "shingles")), pa.array(far, pa.bool_())], names=["component", "row", "shingles", "far"])
+
+    return resembling
+
+
+def _asked_alike(percent: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _asked(batches, ["component", "i", "j"], lambda group: Sets(group.column("shingles").to_pylist()), lambda sets, p, others: sets.alike(p, others, percent))
+
+    return asked
+
+
+def _spread(rows: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """The rows with what ``first`` says of their key; a key of many rows is met in many groups."""
+    return lookup_by_block(rows, first, [key], F.pmod(F.xxhash64("row"), F.lit(SPREAD)))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (its own id is the smallest).
 
@@ -171,10 +259,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     held = profile.filter("n_shingles > 0").select("c1", "c2", F.coalesce("doc_id", F.lit(1 << 62)).alias("_holder"), "tie", "signature")
     signed = stored(held.join(classes.select("c1", "c2", "_holder", "row"), ["c1", "c2", "_holder"]).dropDuplicates(["row"]))
     filed = signed.select("row", "signature").mapInArrow(_filed, "key long, row long")
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = filed.join(shared, "key").join(signed.select("row", "signature"), "row")
-    met = in_blocks(stored(met), "key", "row", 4 * block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    groups = stored(components(met.mapInArrow(_near, "a long, b long")))
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter("n > 1")
+    met = stored(filed.join(shared, "key").join(signed.select("row", "signature"), "row"))
+    few, many = met.filter(F.col("n") <= 4 * block), met.filter(F.col("n") > 4 * block)
+    near = few.repartition("key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long")
+    leads = many.filter("row = first").select("key", F.col("signature").alias("first_signature"))
+    reached = stored(_spread(many, leads, "key").mapInArrow(_reached, "key long, row long, first long, signature binary, far boolean"))
+    asked = in_blocks(reached, "key", "row", 4 * block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_asked_near, "a long, b long")
+    near = near.union(reached.filter("not far").select("row", "first")).union(asked)
+    groups = stored(components(near))
     wanted = groups.withColumnRenamed("vertex", "row").join(signed.select("row", "_holder", "tie"), "row")
     holder = F.coalesce(F.col("doc_id"), F.lit(1 << 62))
     texts = table.join(wanted.withColumnRenamed("tie", "_tie"), (holder == F.col("_holder")) & (F.col("tie") == F.col("_tie"))).select("component", "row", "text")
@@ -186,8 +279,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("row"), packed], names=["component", "row", "shingles"])
 
     compared = stored(texts.mapInArrow(sets, "component long, row long, shingles binary").dropDuplicates(["row"]))
-    compared = in_blocks(compared, "component", "row", block).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    linked = components(compared.mapInArrow(_linked(percent), "a long, b long")).withColumnRenamed("vertex", "row")
+    sizes = compared.groupBy("component").agg(F.count(F.lit(1)).alias("n"))  # a component's name is its first document
+    many = compared.join(sizes.filter(F.col("n") > block).select("component"), "component")
+    few = compared.join(sizes.filter(F.col("n") <= block).select("component"), "component")
+    alike = few.repartition("component").sortWithinPartitions("component").mapInArrow(_linked(percent), "a long, b long")
+    leads = many.filter("row = component").select("component", F.col("shingles").alias("first_shingles"))
+    reached = stored(_spread(many, leads, "component").mapInArrow(_resembling(percent), "component long, row long, shingles binary, far boolean"))
+    asked = in_blocks(reached, "component", "row", block).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    alike = alike.union(reached.filter("not far").select("row", "component")).union(asked.mapInArrow(_asked_alike(percent), "a long, b long"))
+    linked = components(alike).withColumnRenamed("vertex", "row")
     named = classes.select("c1", "c2", "row", "first_id").join(linked, "row", "left").withColumn("component", F.coalesce("component", "row"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("c1", "c2", "component_id")

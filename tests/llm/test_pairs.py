@@ -69,6 +69,25 @@ def test_pigeonhole_keys_meet_within_the_distance():
     assert (hamming.keys_of(a) == hamming.keys_of(b)).any(axis=1).all()
 
 
+def test_signatures_of_large_unrelated_sets_differ():
+    rng = np.random.default_rng(4)
+    for n in (50, 20_000, 400_000):
+        sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2)]
+        a, b = hamming.signature(np.concatenate(sets), np.array([0, n, 2 * n]))
+        assert (a != b).sum() > 50
+
+
+def test_only_far_members_are_dealt_to_many_blocks(spark):
+    members = spark.createDataFrame([(g, i, g == 2 and i % 100 == 0) for g in (1, 2) for i in range(1000)], "g long, row long, far boolean")
+    dealt = graph.in_blocks(members, "g", "row", 50).collect()
+    assert {r.g for r in dealt} == {2} and len(dealt) == 1000 + 10 * 20
+    met = {}
+    for r in dealt:
+        met.setdefault((r.i, r.j), ([], []))[r.asks].append(r.row)
+    pairs = {(a, b) for answers, asks in met.values() for a in asks for b in answers}
+    assert pairs == {(a, b) for a in range(0, 1000, 100) for b in range(1000)}
+
+
 def test_missing_ids_repeated_rows_empty_tables(spark):
     some = [(None, "a b c d", *[None] * 8)] * 2 + [(3, "a b c d", *[None] * 8)] * 2 + [(4, None, *[None] * 8), (5, " ", *[None] * 8), (None, "x", *[None] * 8)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in hamming.near_duplicates(spark.createDataFrame(some, SCHEMA)).collect()), key=str)
