@@ -268,20 +268,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     asked = in_blocks(reached, "key", "row", 4 * block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_asked_near, "a long, b long")
     near = near.union(reached.filter("not far").select("row", "first")).union(asked)
     groups = stored(components(near))
-    wanted = groups.withColumnRenamed("vertex", "row").join(signed.select("row", "_holder", "tie"), "row")
+    # the size of a group is stored beside its members: after a join by group Spark would take them as dealt out already, and might split a large part
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    wanted = groups.join(sizes, "component").withColumnRenamed("vertex", "row").join(signed.select("row", "_holder", "tie"), "row")
     holder = F.coalesce(F.col("doc_id"), F.lit(1 << 62))
-    texts = table.join(wanted.withColumnRenamed("tie", "_tie"), (holder == F.col("_holder")) & (F.col("tie") == F.col("_tie"))).select("component", "row", "text")
+    texts = table.join(wanted.withColumnRenamed("tie", "_tie"), (holder == F.col("_holder")) & (F.col("tie") == F.col("_tie"))).select("component", "row", "n", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             values, bounds = shingles(batch.column("text"), words)
             packed = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(values.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("row"), packed], names=["component", "row", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "row", "n")), packed], names=["component", "row", "n", "shingles"])
 
-    compared = stored(texts.mapInArrow(sets, "component long, row long, shingles binary").dropDuplicates(["row"]))
-    sizes = compared.groupBy("component").agg(F.count(F.lit(1)).alias("n"))  # a component's name is its first document
-    many = compared.join(sizes.filter(F.col("n") > block).select("component"), "component")
-    few = compared.join(sizes.filter(F.col("n") <= block).select("component"), "component")
+    compared = stored(texts.mapInArrow(sets, "component long, row long, n long, shingles binary").dropDuplicates(["row"]))
+    few, many = compared.filter(F.col("n") <= block), compared.filter(F.col("n") > block)
     alike = few.repartition("component").sortWithinPartitions("component").mapInArrow(_linked(percent), "a long, b long")
     leads = many.filter("row = component").select("component", F.col("shingles").alias("first_shingles"))
     reached = stored(_spread(many, leads, "component").mapInArrow(_resembling(percent), "component long, row long, shingles binary, far boolean"))

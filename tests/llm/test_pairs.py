@@ -59,6 +59,20 @@ def test_components_are_those_of_all_pairs(spark):
         assert all(r.kept == (i == want[i][1]) for i, r in got.items())
 
 
+def test_groups_stay_whole_whatever_joins_spark_picks(spark):
+    """Sort-merge joins whose large partitions Spark would split: the members of a group are still compared with each other."""
+    data = [(k, t, "en", "s", 1, "", 1, 1, "", "") for k, t in enumerate(chains(4, 4, 30))]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = {r.doc_id: r.component_id for r in hamming.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert got == {i: low for i, (_, low) in brute(data).items()}
+
+
 def test_pigeonhole_keys_meet_within_the_distance():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 16, (400, hamming.POSITIONS)).astype(np.uint16)
