@@ -2,15 +2,18 @@
 
 The lexicon is learned from labelled rows: words and word beginnings that are far commoner in toxic texts. It is kept as a trie. Each word
 of a text is run through it with a Levenshtein automaton, whose state is the set of edit distances along the trie's path (an exchange of
-neighbouring letters is one edit), so that one walk finds all terms within one edit. A term in quotation marks or after a word of report
-within its window counts apart from one without. A logistic model over these counts, fitted on the same rows, gives the score.
+neighbouring letters is one edit), so that one walk finds all terms within one edit. An edit leaves one half of a term as it is, so words
+that hold no half of any term where it would stand are not walked. Symbols inside words stand for the letters they look like, and a star
+for any letter. A term in quotation marks or after a word of report within its window counts apart from one without. A logistic model over
+these counts, fitted on the same rows, gives the score.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +24,15 @@ from doctables.llm.common import renamed, slices
 from doctables.sinks.stored import stored
 
 MAX_LABELLED = 12_000
-MAX_TERMS = 400
 MIN_DOCS = 5
 MIN_PERCENT = 1
 MIN_SHARE = 0.8
 WINDOW = 8
-LEAST_FUZZY = 5
 MEMO = 200_000
 THRESHOLD = 0.3
-WORD = re.compile(r"[^\W\d_]+(?:['’*$@!0-9][^\W\d_]+)?")
+WORD = re.compile(r"[$@0-9]?[^\W\d_]+(?:['’*$@!0-9]+[^\W\d_]+)*[*$]*")
+#: The letters that symbols look like; marks inside words that stand for nothing.
+LOOKS_LIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "'": None, "’": None})
 #: Marks and words that introduce what somebody else said.
 QUOTES = "\"“”„«»"
 REPORTS = {"said", "says", "wrote", "called", "quoted", "quote", "term", "word", "sagte", "schrieb", "zitat", "wort", "dit", "écrit", "citation", "mot", "dijo", "escribió", "cita", "palabra"}
@@ -41,99 +44,108 @@ def terms_of(word: str) -> set[str]:
 
 
 class Lexicon:
-    """A trie of terms, searched with at most one edit; with ``any_first`` also where the first letter was replaced or dropped.
+    """A trie of terms, searched with at most one edit. Terms outside ``fuzzy`` are met exactly only. A star in a word is any letter."""
 
-    Terms of fewer than LEAST_FUZZY letters are met exactly only.
-    """
-
-    def __init__(self, terms: list[str], fuzzy: set[str] | None = None, any_first: bool = False):
+    def __init__(self, terms: list[str], fuzzy: set[str] | None = None):
         self.terms = terms
         self.fuzzy = set(terms) if fuzzy is None else fuzzy
-        self.any_first = any_first
         self.root: dict = {}
         self.memo: dict[str, tuple[str | None, bool]] = {}
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[tuple[int, int], set[str]] = {}
         for term in terms:
-            node = self.root
-            for letter in term.rstrip("*"):
+            node, letters = self.root, term.rstrip("*")
+            for letter in letters:
                 node = node.setdefault(letter, {})
             node["*" if term.endswith("*") else ""] = term
+            if term in self.fuzzy:
+                half = len(letters) // 2
+                # an exchange across the middle changes both halves, so its first half counts too
+                self.heads.setdefault(half, set()).update({letters[:half], letters[: half - 1] + letters[half : half + 1]})
+                self.tails.setdefault((half, len(letters) - half), set()).add(letters[half:])
 
     def find(self, word: str) -> tuple[str | None, bool]:
         """The nearest term (None: none within one edit), and whether it is met exactly."""
-        if word not in self.memo:
+        found = self.memo.get(word)
+        if found is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[word] = self._exact(word) or self._edited(word) or (None, False)
-        return self.memo[word]
+            found = self.memo[word] = self._exact(word) or self._edited(word) or (None, False)
+        return found
 
     def _exact(self, word: str) -> tuple[str, bool] | None:
         node = self.root
         for letter in word:
-            node = node.get(letter)
+            node = node.get(letter) if letter != "*" else None
             if node is None:
                 return None
             if "*" in node:
                 return node["*"], True
         return (node[""], True) if "" in node else None
 
+    def _possible(self, word: str) -> bool:
+        """Whether the word holds one half of a term within a place of where it stands in the term."""
+        return any(word[:n] in some for n, some in self.heads.items()) or any(
+            word[at : at + n] in some for (half, n), some in self.tails.items() for at in (half, half - 1, half + 1)
+        )
+
     def _edited(self, word: str) -> tuple[str, bool] | None:
-        if len(word) < LEAST_FUZZY - 1:
+        hidden = "*" in word
+        if not hidden and not self._possible(word):
             return None
-        first = list(range(len(word) + 1))
+        first, most = list(range(len(word) + 1)), 0 if hidden else 1
         for letter, node in self.root.items():
-            found = None
-            if letter in word[:2]:
-                found = self._walk(node, letter, "", word, first, None)
-            elif self.any_first:  # the term's first letter is the edit: it was replaced or dropped, and the rest is met exactly
-                found = self._rest(node, word[1:]) or self._rest(node, word)
-            if found:
-                return found, False
+            if letter and letter != "*":
+                found = self._walk(node, letter, "", word, first, None, most)
+                if found:
+                    return found, False
         return None
 
-    def _rest(self, node: dict, rest: str) -> str | None:
-        """A fuzzy term whose letters from a node on are those of the rest."""
-        met = []
-        for letter in rest:
-            met.append(node.get("*"))
-            node = node.get(letter)
-            if node is None:
-                break
-        else:
-            met += [node.get(""), node.get("*")]
-        return next((t for t in met if t in self.fuzzy and len(t.rstrip("*")) >= LEAST_FUZZY), None)
-
-    def _walk(self, node: dict, letter: str, before: str, word: str, row: list[int], above: list[int] | None) -> str | None:
+    def _walk(self, node: dict, letter: str, before: str, word: str, row: list[int], above: list[int] | None, most: int) -> str | None:
         new = [row[0] + 1]
         for k in range(1, len(word) + 1):
-            cost = min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != letter))
+            cost = min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != letter and word[k - 1] != "*"))
             if above is not None and k > 1 and word[k - 1] == before and word[k - 2] == letter:
                 cost = min(cost, above[k - 2] + 1)
             new.append(cost)
         for end, distance in (("", new[-1]), ("*", min(new[2:], default=9))):
             term = node.get(end)
-            if term is not None and distance <= 1 and term in self.fuzzy and len(term.rstrip("*")) >= LEAST_FUZZY:
+            if term is not None and distance <= most and (most == 0 or term in self.fuzzy):
                 return term
-        if min(new) <= 1:
+        if min(new) <= most:
             for following, below in node.items():
                 if following and following != "*":
-                    found = self._walk(below, following, letter, word, new, row)
+                    found = self._walk(below, following, letter, word, new, row, most)
                     if found:
                         return found
         return None
 
+    def meets(self, token: str) -> tuple[str | None, bool]:
+        """The term that a token of a text meets, as it stands, by what its symbols look like, or by its letters alone."""
+        if token.isalpha():
+            return self.find(token)
+        plain = "".join(filter(str.isalpha, token))
+        for word in dict.fromkeys((token.translate(LOOKS_LIKE), token.rstrip("*$").translate(LOOKS_LIKE), plain)):
+            if word.strip("*"):
+                term, _ = self.find(word)
+                if term is not None:
+                    return term, False
+        return None, False
+
 
 def hits(text: str, lexicon: Lexicon) -> list[tuple[str, bool, bool]]:
-    """Term, met exactly, quoted, for every word of a text that meets a term."""
-    low = text.lower()
-    out = []
+    """Term, met exactly, quoted, for every word of a text that meets a term. What is quoted shows in the words within the window."""
+    low, out = text.lower(), []
+    last: deque = deque(maxlen=WINDOW)
     for m in WORD.finditer(low):
-        word = m[0] if m[0].isalpha() else re.sub(r"[^\w]|\d|_", "", m[0])
-        term, exact = lexicon.find(word)
+        term, exact = lexicon.meets(m[0])
         if term is not None:
-            around = low[max(0, m.start() - 12 * WINDOW) : m.start()]
-            ahead = low[m.end() : m.end() + 12 * WINDOW]
+            around = low[last[0].start() if last else 0 : m.start()]
+            following = list(islice(WORD.finditer(low, m.end()), WINDOW))
+            ahead = low[m.end() : following[-1].end() + 1 if len(following) == WINDOW else len(low)]
             opened = sum(around.count(q) for q in QUOTES) % 2 == 1 and any(q in ahead for q in QUOTES)
-            out.append((term, exact and word == m[0], opened or any(w in REPORTS for w in WORD.findall(around)[-WINDOW:])))
+            out.append((term, exact, opened or any(x[0] in REPORTS for x in last)))
+        last.append(m)
     return out
 
 
@@ -167,11 +179,18 @@ def held_out(doc_id):
 
 def chosen_terms(toxic: dict[str, int]) -> list[str]:
     """Of terms that begin alike: the longest that nearly all their texts share, else the shortest beginning."""
-    narrow = lambda t: any(u != t and u.startswith(t[:-1]) and len(u.rstrip("*")) >= len(t) - 1 and 10 * toxic[u] >= 9 * toxic[t] for u in toxic)
+    most: dict[str, list[tuple[int, str]]] = {}  # the two commonest terms of each beginning
+    for t, n in toxic.items():
+        for k in range(4, min(8, len(t.rstrip("*"))) + 1):
+            most[t[:k]] = sorted([*most.get(t[:k], []), (n, t)], reverse=True)[:2]
+    narrow = lambda t: any(u != t and 10 * n >= 9 * toxic[t] for n, u in most.get(t[:-1], []))
     kept: list[str] = []
+    begun: set[str] = set()
     for t in sorted((t for t in toxic if not (t.endswith("*") and narrow(t))), key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
-        if len(kept) < MAX_TERMS and len(t.rstrip("*")) > 2 and not any(k.endswith("*") and t.startswith(k[:-1]) for k in kept):
+        if len(t.rstrip("*")) > 2 and not any(t[:k] in begun for k in range(4, 9)):
             kept.append(t)
+            if t.endswith("*"):
+                begun.add(t[:-1])
     return kept
 
 
@@ -198,9 +217,9 @@ def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lex
     total = seen.filter("term = ''").first()  # the empty term stands for all documents
     least = max(MIN_DOCS, (total.toxic * MIN_PERCENT) // 100) if total else MIN_DOCS
     strong = seen.filter((F.col("term") != "") & (F.col("toxic") >= least) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("other"))))
-    strong = strong.orderBy((F.col("toxic") / (F.col("other") + 1)).desc(), "term").limit(8 * MAX_TERMS).collect()
-    kept = chosen_terms({r.term: r.toxic for r in strong})
-    lexicon = Lexicon(kept, any_first=True)
+    # each is in a share of the toxic rows, so they are as many as such a row has words, times a constant
+    kept = chosen_terms({r.term: r.toxic for r in strong.orderBy("term").collect()})
+    lexicon = Lexicon(kept)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -215,7 +234,7 @@ def learned(table: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[Lex
         (bad if toxic else good).update({t for t, exact, _ in own if not exact})
     # a term that clean texts come near by chance is only met exactly
     fuzzy = {t for t in kept if good[t] == 0 or bad[t] >= 3 * good[t]}
-    lexicon = Lexicon(kept, fuzzy, any_first=True)
+    lexicon = Lexicon(kept, fuzzy)
     own = [(toxic, [h for h in found_ if h[1] or h[0] in fuzzy]) for toxic, found_ in sample]
     weights = fit(np.array([counts(h) for _, h in own]), np.array([float(t) for t, _ in own]))
     # where no labelled text was misspelled, an edited term counts as four fifths of a term

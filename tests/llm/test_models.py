@@ -86,30 +86,32 @@ def distance(a, b):
 
 def test_automaton_finds_what_is_one_edit_away():
     rng = random.Random(2)
-    terms = sorted({"".join(rng.choices("abc", k=rng.randint(5, 7))) for _ in range(12)})
-    lexicon = toxicity.Lexicon(terms)
-    for _ in range(1500):
-        word = "".join(rng.choices("abcd", k=rng.randint(4, 8)))
-        near = [t for t in terms if distance(word, t) <= 1 and t[0] in word[:2]]
-        term, exact = lexicon.find(word)
-        assert (term in near and exact == (term == word)) if near else term is None, (word, near, term)
+    for least in (3, 5):
+        terms = sorted({"".join(rng.choices("abc", k=rng.randint(least, least + 3))) for _ in range(9)})
+        lexicon = toxicity.Lexicon(terms)
+        for _ in range(3000):
+            word = "".join(rng.choices("abcd", k=rng.randint(least - 1, least + 4)))
+            near = [t for t in terms if distance(word, t) <= 1]
+            term, exact = lexicon.find(word)
+            assert (term in near and exact == (term == word)) if near else term is None, (word, near, term)
     assert toxicity.Lexicon(["abcde*"]).find("abcdefgh") == ("abcde*", True)
     assert toxicity.Lexicon(["abcde*"]).find("abdcefgh") == ("abcde*", False)
+    assert [toxicity.Lexicon(["grumpox"]).find(w) for w in ("brumpox", "rumpox", "xgrumpox")] == [("grumpox", False)] * 3
+    assert [toxicity.Lexicon(["grump*"]).find(w) for w in ("brumpox", "rumpox")] == [("grump*", False)] * 2
+    assert toxicity.Lexicon(["grumpox"], set()).find("brumpox") == (None, False)
 
 
-def test_any_letter_may_be_edited():
-    rng = random.Random(5)
-    terms = sorted({"".join(rng.choices("abc", k=rng.randint(5, 7))) for _ in range(12)})
-    lexicon = toxicity.Lexicon(terms, any_first=True)
-    for _ in range(3000):
-        word = "".join(rng.choices("abcd", k=rng.randint(4, 8)))
-        near = [t for t in terms if distance(word, t) <= 1]
-        term, exact = lexicon.find(word)
-        assert (term in near and exact == (term == word)) if near else term is None, (word, near, term)
-    assert [toxicity.Lexicon(["grumpox"], any_first=True).find(w) for w in ("brumpox", "rumpox", "xgrumpox")] == [("grumpox", False)] * 3
-    assert [toxicity.Lexicon(["grump*"], any_first=True).find(w) for w in ("brumpox", "rumpox")] == [("grump*", False)] * 2
-    assert toxicity.hits("4sshole", toxicity.Lexicon(["asshole"], any_first=True)) == [("asshole", False, False)]
-    assert toxicity.Lexicon(["grumpox"], set(), True).find("brumpox") == (None, False)
+def test_misspelled_terms_of_any_length():
+    lexicon = toxicity.Lexicon(["fuck", "shit", "asshole"])
+    for word, term in (("f**k", "fuck"), ("fvck", "fuck"), ("f*ck", "fuck"), ("sh1t", "shit"), ("$hit", "shit"), ("a$$hole", "asshole"), ("fuuck", "fuck"), ("4sshole", "asshole"), ("a$$h0le", "asshole"), ("f***", "fuck")):
+        assert toxicity.hits(f"oh {word}, no", lexicon) == [(term, False, False)], word
+    assert toxicity.hits("it's 3pm * and **bold** or $5 don't", lexicon) == []
+
+
+def test_terms_are_as_many_as_the_labels_give():
+    toxic = {f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + i // 50)}qz": 9 for i in range(600)} | {"grump*": 50, "grumpox": 49, "grumpy": 5}
+    kept = toxicity.chosen_terms(toxic)
+    assert len(kept) == len(toxic) - 1 and "grump*" not in kept
 
 
 def test_toxicity(spark):
@@ -143,6 +145,9 @@ def test_quotation_is_told_from_abuse():
     assert toxicity.hits('you grumpox go', lexicon) == [("grumpox", True, False)]
     assert toxicity.hits('the sign "no grumpox here" hung', lexicon) == [("grumpox", True, True)]
     assert toxicity.hits("the word grumpox is old", lexicon) == [("grumpox", True, True)]
+    long = " ".join(["w" * 30] * 6)  # windows are words, however long
+    assert toxicity.hits(f'he wrote {long} grumpox', lexicon) == [("grumpox", True, True)]
+    assert toxicity.hits(f'he wrote {long} a b grumpox', lexicon) == [("grumpox", True, False)]
 
 
 def test_expectation_maximisation_finds_the_accuracies():
