@@ -68,19 +68,28 @@ HOCR_CONFIDENCE = r"x_wconf (\d+(?:\.\d+)?)"
 SPAN_MARK = r"(?=</?span\b)"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _from_marks(text: Column, mark: str) -> Column:
     """The text cut before every mark, without what stands before the first one."""
-    pieces = F.split(text, mark, -1)
-    return F.when(text.rlike(f"^{mark}"), pieces).otherwise(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    behind = lambda pieces: F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return _once(F.split(text, mark, -1), lambda pieces: F.when(text.rlike(f"^{mark}"), pieces).otherwise(behind(pieces)))
+
+
+def _plain_content(after_mark: Column) -> Column:
+    """What a span without spans inside holds, given what follows its start mark; all of it if the span is never closed."""
+    closing = F.locate("</span", after_mark)
+    return F.when(closing > 0, F.left(after_mark, closing - 1)).otherwise(after_mark)
 
 
-def _span_content(after_mark: Column) -> Column:
+def _span_content(after_mark: Column, plain: Column) -> Column:
     """What a span holds, given what follows its start mark, with spans at any depth inside; all of it if the span is never closed.
 
-    Most words hold no span; for the others the open spans are counted from mark to mark.
+    Most words hold no span (``plain`` is their content); for the others the open spans are counted from mark to mark.
     """
-    closing = F.locate("</span", after_mark)
-    plain = F.when(closing > 0, F.left(after_mark, closing - 1)).otherwise(after_mark)
     state = F.struct(F.lit(1).alias("depth"), F.lit("").alias("held"))
 
     def step(s, piece):
@@ -96,12 +105,16 @@ def parse_hocr(pages: DataFrame, hocr: str = "hocr", keys: list[str] = PAGE) ->
     """Words of hOCR texts: content, box and confidence (0..1), numbered by their start marks. A word without box or confidence has nulls."""
     words = pages.select(*keys, F.posexplode(_from_marks(F.col(hocr), HOCR_WORD)).alias("ord", "_s"))
     words = words.withColumn("_tag", F.regexp_extract("_s", "^<[^>]*>", 0))
-    side = [F.regexp_extract("_tag", HOCR_BOX, i).try_cast("double") for i in range(1, 5)]
-    content = _span_content(F.substring("_s", F.length("_tag") + 1, F.length("_s")))
+    # a column of its own for what is named several times, so that no word is searched twice
+    words = words.withColumns({"_after": F.substring("_s", F.length("_tag") + 1, F.length("_s")), "_box": F.split(F.regexp_extract("_tag", HOCR_BOX, 0), " ")})
+    words = words.withColumn("_plain", _plain_content(F.col("_after")))
+    words = words.withColumn("_held", _span_content(F.col("_after"), F.col("_plain")))
+    words = words.withColumn("_held", F.when(F.col("_held").contains("<"), F.regexp_replace("_held", "<[^>]*>", "")).otherwise(F.col("_held")))
+    side = [F.try_element_at("_box", F.lit(i)).try_cast("double") for i in range(2, 6)]
     return words.select(
         *keys,
         F.col("ord").cast("bigint").alias("ord"),
-        unescape_html(F.regexp_replace(content, "<[^>]*>", "")).alias("text"),
+        unescape_html(F.col("_held")).alias("text"),
         (F.regexp_extract("_tag", HOCR_CONFIDENCE, 1).try_cast("double") / 100).alias("confidence"),
         four_corners(*side).alias("bbox"),
     )
@@ -109,8 +122,7 @@ def parse_hocr(pages: DataFrame, hocr: str = "hocr", keys: list[str] = PAGE) ->
 
 def hocr_sheets(documents: DataFrame, hocr: str = "hocr", keys: list[str] = ["doc_id"]) -> DataFrame:
     """Pages of hOCR documents, numbered from 1; a document without page marks is one page."""
-    sheets = _from_marks(F.col(hocr), HOCR_PAGE)
-    whole = F.when(F.size(sheets) > 0, sheets).otherwise(F.array(hocr))
+    whole = _once(_from_marks(F.col(hocr), HOCR_PAGE), lambda sheets: F.when(F.size(sheets) > 0, sheets).otherwise(F.array(hocr)))
     return documents.select(*keys, F.posexplode(whole).alias("_p", "hocr")).select(*keys, (F.col("_p") + 1).alias("page_no"), "hocr")
 
 
