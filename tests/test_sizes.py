@@ -54,3 +54,13 @@ def test_hocr_files_named_by_their_document(spark, tmp_path):
     S.write_text_files(rows, str(tmp_path / "h"))
     found = words_src.scan_hocr_words(spark, str(tmp_path / "h"), "*.txt").selectExpr("doc_id", "page_no", "ord", "text", "confidence", "bbox[2].x", "bbox[2].y")
     assert sorted(map(tuple, found.collect())) == [("7", 1, 0, "a&b", 0.5, 3.0, 4.0), ("8", 1, 0, "c", None, None, None)]
+
+
+def test_words_look_up_their_row_without_being_sorted(spark):
+    found = R.group_rows_by_anchor(_words(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Window" not in plan
+    rows = [(None, 1, 0, 5.0), (None, 1, 1, 30.0), (None, 1, 2, None), (2, None, 3, float("nan")), (2, None, 4, -0.0), (2, None, 5, 0.0), (2, None, 5, 0.0)]
+    odd = spark.createDataFrame(rows, "doc_id long, page_no int, ord long, y double")
+    expected = [(None, 1, 0, 0), (None, 1, 1, 1), (None, 1, 2, -1), (2, None, 3, 0), (2, None, 4, 0), (2, None, 5, 0), (2, None, 5, 0)]
+    assert sorted(map(tuple, R.group_rows_by_anchor(odd).select("doc_id", "page_no", "ord", "row_no").collect()), key=lambda r: r[2]) == expected
