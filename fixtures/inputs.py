@@ -1,15 +1,20 @@
-"""Input tables of the operators, derived from the test data with column expressions only.
+"""Input tables of the operators, derived from the test data, nearly all with column expressions.
 
-Every table is derived from all rows and whole texts. Ids pick *values* (coordinates, file endings, answer shapes), never rows.
+Every table is derived from all rows and whole texts; nested pages are built with Arrow. Ids pick *values* (coordinates, file endings, answer shapes), never rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doctables.llm.common import slices, text_bytes
 from doctables.operators.blocks import number_rows
 from doctables.sinks.files import write_table_files, write_text_files
+from doctables.sinks.shipped import ship_package
 from doctables.sources.pages import explode_lines
 
 LINES_PER_PAGE = 25
@@ -107,39 +112,91 @@ def _line_items(make) -> object:
     return F.transform("_lines", one_line)
 
 
-def box_pages(spark, sf_dir) -> DataFrame:
-    """Pages as ``array<array<struct<bbox, text, confidence>>>``: one inner list per recogniser group (line)."""
+def _paged_words(spark, sf_dir, trees: bool) -> DataFrame:
+    """Pages with their words nested as ``box_pages`` or ``tree_pages`` have them, built from whole slices of texts with Arrow.
 
-    def make(s, ln):
-        x, y, right, low = (s[n] for n in ("x", "y", "right", "low"))
-        corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-        return F.struct(
-            F.array(corner(x, y), corner(right, y), corner(right, low), corner(x, low)).alias("bbox"),
-            s["text"].alias("text"),
-            (((F.col("doc_id") + s["i"]) % 100) / F.lit(100.0)).alias("confidence"),
-        )
+    Everything stands inside, so that workers need no module of the fixtures.
+    """
+    ship_package(spark)
+    per_page, block = LINES_PER_PAGE, 5
+
+    def lists(items, sizes):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), items)
+
+    def runs(first):
+        return np.diff(np.append(np.flatnonzero(first), len(first)))
+
+    def lines_of(data, offsets):
+        """Per line with the added empty ones: text, place in its text, whether it was added; per line of the texts: where it starts."""
+        breaks = np.flatnonzero(data == 10)
+        n = 1 + np.bincount(np.searchsorted(offsets[1:], breaks, side="right"), minlength=len(offsets) - 1)
+        begins, opening = np.empty(n.sum(), np.int64), np.zeros(n.sum(), bool)
+        opening[np.cumsum(n) - n] = True
+        begins[opening], begins[~opening] = offsets[:-1], breaks + 1
+        at = np.arange(len(begins)) - np.repeat(np.cumsum(n) - n, n)
+        twice = 1 + (at % 9 == 8)
+        added = np.zeros(twice.sum(), bool)
+        added[(np.cumsum(twice) - 1)[twice == 2]] = True
+        doc, place = np.repeat(np.repeat(np.arange(len(n)), n), twice), np.repeat(at + at // 9, twice) + added
+        return doc, place, added, begins
+
+    def pages_of(batch):
+        batch = batch.filter(pc.is_valid(batch.column("text")))
+        ids, (data, offsets) = batch.column("doc_id"), text_bytes(batch.column("text"))
+        doc, place, added, begins = lines_of(data, offsets)
+        ln = place % per_page
+        held = np.concatenate(([False], (data != 32) & (data != 10), [False]))
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True  # words end where their text ends
+        start = np.flatnonzero(held[1:] & (~held[:-1] | edge))
+        end = np.flatnonzero(held[:-1] & (~held[1:] | edge))
+        blanks, chars = (np.concatenate(([0], np.cumsum(x))) for x in (data == 32, (data & 0xC0) != 0x80))
+        line = np.searchsorted(begins, start, side="right") - 1
+        i = blanks[start] - blanks[begins[line]]
+        line = np.flatnonzero(~added)[line]
+        words = np.bincount(line, minlength=len(ln))
+        first = (np.cumsum(words) - words)[line]
+        k = np.arange(len(line)) - first
+        order = np.empty(len(line), np.int64)
+        order[first + np.where(ln[line] % 3 == 0, words[line] - 1 - k, k)] = np.arange(len(line))
+        ends = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+        text = pa.Array.from_buffers(pa.string(), len(line), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[held[1:-1]]))]).take(pa.array(order))
+        i, line, size = i[order], line[order], (chars[end] - chars[start])[order]
+        missing, d, n = ids.is_null().to_numpy(zero_copy_only=False)[doc[line]], pc.fill_null(ids, 0).to_numpy()[doc[line]], ln[line]
+        x = (i * 40 + (i >> 2) * 76 + np.fmod(d + n * 3 + i * 7, 23)).astype(np.float64)
+        y = (n * 30 + np.fmod(d * 7 + n * 13 + i * 5, 11)).astype(np.float64)
+        right, low = x + 8 * size, y + 12
+        corners = [(x, y), (right, low)] if trees else [(x, y), (right, y), (right, low), (x, low)]
+        points = [pa.array(np.stack(side, 1).ravel(), mask=np.repeat(missing, len(corners))) for side in zip(*corners)]
+        box = lists(pa.StructArray.from_arrays(points, ["x", "y"]), np.full(len(line), len(corners)))
+        confidence = pa.array(np.fmod(d + i, 100) / 100.0, mask=missing)
+        if trees:
+            lined = pa.StructArray.from_arrays([lists(pa.StructArray.from_arrays([text, confidence, box], ["text", "confidence", "geometry"]), words)], ["words"])
+            blocks = pa.StructArray.from_arrays([lists(lined, runs(ln % block == 0))], ["lines"])
+            nested = lists(blocks, -(-runs(ln == 0) // block))
+        else:
+            nested = lists(lists(pa.StructArray.from_arrays([box, text, confidence], ["bbox", "text", "confidence"]), words), runs(ln == 0))
+        top = np.flatnonzero(ln == 0)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[top])), pa.array((place[top] // per_page + 1).astype(np.int32)), nested], names=["doc_id", "page_no", name])
+
+    def made(batches):
+        for batch in slices(batches, "text", 1 << 18):
+            yield pages_of(batch)
+
+    point = "array<struct<x:double,y:double>>"
+    name = "blocks" if trees else "result"
+    kind = f"array<struct<lines:array<struct<words:array<struct<text:string,confidence:double,geometry:{point}>>>>>>" if trees else f"array<array<struct<bbox:{point},text:string,confidence:double>>>"
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(made, f"doc_id bigint, page_no int, {name} {kind}")
 
-    return _nested_pages(spark, sf_dir).select("doc_id", "page_no", _line_items(make).alias("result"))
+
+def box_pages(spark, sf_dir) -> DataFrame:
+    """Pages as ``array<array<struct<bbox, text, confidence>>>``: one inner list per recogniser group (line)."""
+    return _paged_words(spark, sf_dir, trees=False)
 
 
 def tree_pages(spark, sf_dir) -> DataFrame:
     """Pages as block -> line -> word trees with two-corner geometry; a block holds five lines."""
-
-    def make(s, ln):
-        x, y, right, low = (s[n] for n in ("x", "y", "right", "low"))
-        corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-        return F.struct(
-            s["text"].alias("text"),
-            (((F.col("doc_id") + s["i"]) % 100) / F.lit(100.0)).alias("confidence"),
-            F.array(corner(x, y), corner(right, low)).alias("geometry"),
-        )
-
-    got = _nested_pages(spark, sf_dir).select("doc_id", "page_no", _line_items(make).alias("_ls"))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_ls") - 1) / 5).cast("int")),
-        lambda b: F.struct(F.transform(F.slice("_ls", b * 5 + 1, F.lit(5)), lambda ws: F.struct(ws.alias("words"))).alias("lines")),
-    )
-    return got.select("doc_id", "page_no", blocks.alias("blocks"))
+    return _paged_words(spark, sf_dir, trees=True)
 
 
 def hocr_pages(spark, sf_dir) -> DataFrame:

@@ -8,6 +8,7 @@ from doctables.sinks import files as S
 from doctables.sinks import writers as W
 from doctables.sources import files as sources
 from doctables.sources import words as words_src
+from fixtures import inputs
 
 
 def _words(spark):
@@ -64,3 +65,22 @@ def test_words_look_up_their_row_without_being_sorted(spark):
     odd = spark.createDataFrame(rows, "doc_id long, page_no int, ord long, y double")
     expected = [(None, 1, 0, 0), (None, 1, 1, 1), (None, 1, 2, -1), (2, None, 3, 0), (2, None, 4, 0), (2, None, 5, 0), (2, None, 5, 0)]
     assert sorted(map(tuple, R.group_rows_by_anchor(odd).select("doc_id", "page_no", "ord", "row_no").collect()), key=lambda r: r[2]) == expected
+
+
+def test_nested_pages_are_built_from_whole_slices(spark, tmp_path):
+    texts = [(1, "ä b  c\n\nd\n"), (2, ""), (3, None), (None, "e f"), (-5, "\n".join(f"w{i} x" for i in range(30)))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = inputs.box_pages(spark, str(tmp_path))
+    assert "lambda" not in pages._jdf.queryExecution().executedPlan().toString()
+    found = {(r.doc_id, r.page_no): [[w.text for w in line] for line in r.result] for r in pages.collect()}
+    with_empty = [line for i in range(30) for line in ([[f"w{i}", "x"], []] if i % 9 == 8 else [[f"w{i}", "x"]])]
+    turned = lambda lines: [line[::-1] if n % 3 == 0 else line for n, line in enumerate(lines)]
+    assert found == {
+        (1, 1): [["c", "b", "ä"], [], ["d"], []], (2, 1): [[]], (None, 1): [["f", "e"]],
+        (-5, 1): turned(with_empty[:25]), (-5, 2): turned(with_empty[25:]),
+    }
+    words = {(r.doc_id, w.text): w for r in pages.collect() for line in r.result for w in line}
+    assert [(p.x, p.y) for p in words[1, "c"].bbox] == [(142.0, 0.0), (150.0, 0.0), (150.0, 12.0), (142.0, 12.0)] and words[1, "c"].confidence == 0.04
+    assert words[None, "e"].confidence is None and words[None, "e"].bbox[0].x is None
+    blocks = {(r.doc_id, r.page_no): [[[w.text for w in line.words] for line in b.lines] for b in r.blocks] for r in inputs.tree_pages(spark, str(tmp_path)).collect()}
+    assert blocks == {k: [lines[i : i + 5] for i in range(0, len(lines), 5)] for k, lines in found.items()}
