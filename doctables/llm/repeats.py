@@ -62,8 +62,7 @@ class Segments:
             self.start, self.strings, self.key, self.doc, self.hasher = empty, empty, empty.astype(np.uint64), empty, SpanHasher(data)
             return
         self.hasher = SpanHasher(data)
-        at = np.arange(len(data) - window + 1)
-        value = self.hasher(at, at + window)
+        value = self.hasher.every(window)
         least, span = value, 1
         while span < reach:  # minimum over windows, doubling
             step = min(span, reach - span)
