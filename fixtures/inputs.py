@@ -18,6 +18,8 @@ from doctables.sinks.shipped import ship_package
 from doctables.sources.pages import explode_lines
 
 LINES_PER_PAGE = 25
+# Bytes of text that one task cuts up, about: its words take some twenty times as much memory where they are sorted.
+TEXT_PER_TASK = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt out by a hash of their id before their texts are cut up.
 
-    By the hash, not the id: else Spark would leave all pages of a document together in every later step.
+    By the hash, not the id: else Spark would leave all pages of a document together in every later step. Left to itself Spark makes tasks
+    by the bytes it moves, which says little of the words that come of them: with more text there are more tasks, not larger ones.
     """
-    return table(spark, sf_dir, "documents").repartition(F.xxhash64("doc_id"))
+    docs, place = table(spark, sf_dir, "documents"), F.xxhash64("doc_id")
+    tasks = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TEXT_PER_TASK)
+    return docs.repartition(place) if tasks <= spark.sparkContext.defaultParallelism else docs.repartition(tasks, place)
 
 
 def _with_empty_lines(text: str) -> Column:
