@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doctables.functions.fixed_values import CLUSTER_EPS, COLUMN_BOUNDARIES
 from doctables.operators.blocks import ROWS_PER_PART, gap_numbers, number_rows
+from doctables.sinks.stored import stored
 
 LINE = ["doc_id", "page_no", "line_no"]
 
@@ -43,7 +44,7 @@ def order_clusters(words: DataFrame, keys: list[str] = LINE, column_order: str =
         return words
     if column_order != "first_seen":
         raise ValueError(f"column_order is 'x' or 'first_seen', not {column_order!r}")
-    firsts = words.groupBy(*keys, cluster).agg(F.min(ord_col).alias("_first"))
+    firsts = stored(words.groupBy(*keys, cluster).agg(F.min(ord_col).alias("_first")))  # read twice, and far fewer than the words
     ranked = number_rows(firsts, keys, ["_first"], "_rank").drop("_first")
     return words.join(ranked, [*keys, cluster]).withColumn(cluster, F.col("_rank")).drop("_rank")
 
