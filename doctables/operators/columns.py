@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StringType, StructField, StructType
 
 from doctables.functions.fixed_values import CLUSTER_EPS, COLUMN_BOUNDARIES
 from doctables.operators.blocks import ROWS_PER_PART, gap_numbers, number_rows
+from doctables.sinks.shipped import ship_package
 from doctables.sinks.stored import stored
 
 LINE = ["doc_id", "page_no", "line_no"]
@@ -49,20 +56,107 @@ def order_clusters(words: DataFrame, keys: list[str] = LINE, column_order: str =
     return words.join(ranked, [*keys, cluster]).withColumn(cluster, F.col("_rank")).drop("_rank")
 
 
-def merge_cell_text(words: DataFrame, keys: list[str] = [*LINE, "col_no"], ord_col: str = "ord", sep: str = " ") -> DataFrame:
-    """One cell per key: its words in emission order, joined by a blank."""
-    return (
-        words.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(ord_col, "text"))).alias("_words"))
-        .withColumn("text", F.array_join(F.transform("_words", lambda w: w["text"]), sep))
-        .drop("_words")
-    )
+def _runs(words: DataFrame, keys: list[str], ord_col: str, sep: str) -> DataFrame:
+    """Neighbouring words of one cell, joined where they stand: a text in emission order, and what it takes to part it again.
+
+    ``words`` are the words one by one where the text cannot simply be split; places are ``first`` and those after it, or ``places``.
+    """
+    kind = words.schema[ord_col].dataType
+    whole, plain = isinstance(kind, IntegralType), len(sep) == 1
+
+    def some(values: pa.Array, size: np.ndarray, kept: np.ndarray) -> pa.ListArray:
+        """Lists of so many values, null where not ``kept``."""
+        ends = np.concatenate(([0], np.cumsum(np.where(kept, size, 0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), values.filter(pa.array(np.repeat(kept, size))), mask=pa.array(~kept))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fresh = np.zeros(n, bool)
+            fresh[0] = True
+            for k in keys:
+                column = batch.column(k)
+                if pa.types.is_nested(column.type):
+                    fresh[:] = True
+                else:  # two nulls count as different here; runs of one cell come together later
+                    fresh[1:] |= pc.fill_null(pc.not_equal(column.slice(0, n - 1), column.slice(1)), True).to_numpy(zero_copy_only=False)
+            run, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            place, text = batch.column(ord_col), batch.column("text")
+            numbers = place.to_numpy() if whole and not place.null_count else None
+            order = None if numbers is None else np.lexsort((numbers, run))
+            if order is None or ((np.diff(numbers[order]) == 0) & (np.diff(run) == 0)).any():
+                order = pc.sort_indices(pa.table({"r": run, "p": place, "t": text}), [("r", "ascending"), ("p", "ascending"), ("t", "ascending")], null_placement="at_start").to_numpy()
+            order = order[text.is_valid().to_numpy(zero_copy_only=False)[order]]  # a missing word adds nothing to its cell
+            place, text, run = place.take(pa.array(order)), text.take(pa.array(order)), run[order]
+            size = np.bincount(run, minlength=len(begin))
+            ends = np.concatenate(([0], np.cumsum(size)))
+            some_words = size > 0
+            head = np.where(some_words, ends[:-1], 0)
+            apart = ~some_words if plain else np.ones(len(begin), bool)
+            follow = np.zeros(len(begin), bool)
+            if plain:
+                apart[run[pc.match_substring(text, sep).to_numpy(zero_copy_only=False)]] = True
+            if numbers is not None:
+                follow[:] = some_words
+                numbers = numbers[order]
+                follow[run[1:][(np.diff(run) == 0) & (np.diff(numbers) != 1)]] = False
+            first = pa.nulls(len(begin), pa.int64()) if numbers is None or not len(numbers) else pa.array(numbers[head].astype(np.int64), mask=~follow)
+            lined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), text), sep)
+            at = pa.array(begin)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(at) for k in keys), lined, some(text, size, apart), first, some(place, size, ~follow)],
+                names=[*keys, "_text", "_words", "_first", "_places"],
+            )
+
+    ship_package(words.sparkSession)
+    fields = [StructField("_text", StringType()), StructField("_words", ArrayType(StringType())), StructField("_first", LongType()), StructField("_places", ArrayType(kind))]
+    spec = StructType([*(words.schema[k] for k in keys), *fields])
+    return words.select(*keys, ord_col, "text").mapInArrow(joined, spec)
+
+
+def merge_cell_text(words: DataFrame, keys: list[str] = [*LINE, "col_no"], ord_col: str = "ord", sep: str = " ", deal: list[str] | None = None) -> DataFrame:
+    """One cell per key: its words in emission order, joined by a blank.
+
+    With ``deal`` (some of the keys) the cells come dealt out by those, so that later steps by them move no text again, and neighbouring
+    words are joined before they are moved: for words that are not dealt out by their line yet. The cells are the same.
+    """
+    if deal is None:
+        return (
+            words.groupBy(*keys)
+            .agg(F.sort_array(F.collect_list(F.struct(ord_col, "text"))).alias("_words"))
+            .withColumn("text", F.array_join(F.transform("_words", lambda w: w["text"]), sep))
+            .drop("_words")
+        )
+    kind = words.schema[ord_col].dataType
+
+    def parted(run):
+        texts = F.coalesce(run["_words"], F.split(run["_text"], "".join(f"\\x{{{ord(c):x}}}" for c in sep)))
+        return F.transform(texts, lambda w, i: F.struct(F.coalesce(F.get(run["_places"], i), (run["_first"] + i).cast(kind) if isinstance(kind, IntegralType) else F.lit(None).cast(kind)).alias("ord"), w.alias("text")))
+
+    held = _runs(words, keys, ord_col, sep).repartition(*deal).groupBy(*keys).agg(F.collect_list(F.struct("_text", "_words", "_first", "_places")).alias("_runs"))
+    several = F.array_join(F.transform(F.sort_array(F.flatten(F.transform("_runs", parted))), lambda w: w["text"]), sep)
+    return held.select(*keys, F.when(F.size("_runs") == 1, F.col("_runs")[0]["_text"]).otherwise(several).alias("text"))
 
 
 def fill_columns(lines: DataFrame, cells: DataFrame, n_columns: int, keys: list[str] = LINE) -> DataFrame:
-    """Every line with all of its ``n_columns`` cells; missing cells are empty strings."""
-    grid = lines.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_columns - 1))).alias("col_no"))
-    return grid.join(cells, [*keys, "col_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """Every line with all of its ``n_columns`` cells; missing cells are empty strings.
+
+    Lines meet the cells of a line together, so cells that come dealt out by ``keys`` stay where they are.
+    """
+    more = [c for c in cells.columns if c not in (*keys, "col_no")]
+    held = cells.groupBy(*keys).agg(F.collect_list(F.struct("col_no", *more)).alias("_cells"))
+    some = F.coalesce("_cells", F.array().cast(held.schema["_cells"].dataType))
+
+    def column(i):
+        found = F.transform(F.filter(some, lambda c: c["col_no"] == i), lambda c: F.struct(i.alias("col_no"), *[F.coalesce(c[m], F.lit("")).alias(m) if m == "text" else c[m].alias(m) for m in more]))
+        none = F.struct(i.alias("col_no"), *[(F.lit("") if m == "text" else F.lit(None).cast(cells.schema[m].dataType)).alias(m) for m in more])
+        return F.when(F.size(found) > 0, found).otherwise(F.array(none))
+
+    grid = lines.select(*keys).join(held, keys, "left")
+    columns = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), column))
+    return grid.select(*keys, F.explode(columns).alias("_at")).select(*keys, "_at.*")
 
 
 def skip_empty_lines(lines: DataFrame, words: DataFrame, keys: list[str] = LINE, keep_empty: bool = False) -> DataFrame:

@@ -55,7 +55,7 @@ def tables_from_clusters(words: DataFrame, eps: float = CLUSTER_EPS, column_orde
 
 def tables_from_boundaries(lines: DataFrame, words: DataFrame, boundaries=COLUMN_BOUNDARIES, scale: float = 1.0, overflow: str = "last") -> DataFrame:
     """Cells (long form) per line on a fixed grid; lines without words give a row of empty cells."""
-    cells = C.merge_cell_text(C.bin_columns_fixed(R.word_left_x(words), boundaries, scale=scale, overflow=overflow))
+    cells = C.merge_cell_text(C.bin_columns_fixed(R.word_left_x(words), boundaries, scale=scale, overflow=overflow), deal=C.LINE)
     return C.fill_columns(lines, cells, len(boundaries))
 
 
