@@ -4,10 +4,11 @@ Texts are stored once in blocks. Each string of 50 bytes belongs to the least of
 same least window form one segment, so equal strings always stand in segments of equal windows. Blocks first tell which windows they
 have, in a few bytes each; a window of one document only needs no further look. Of the others each block sends the hashes of its distinct
 segments with the smallest document that has them; where all segments of a window are equal, that settles them. Only windows with
-different segments need their texts. A bucket of those is sorted into a Burrows-Wheeler transform; from it, breadth-first backward
+different segments need their texts. A part of a bucket of those is sorted into a Burrows-Wheeler transform; from it, breadth-first backward
 extension of intervals finds common prefixes by increasing length and stops at 50, which leaves runs of equal strings. The smallest
-document of each run goes back to the blocks, which mark their bytes. A window that very many blocks have is cut into its single
-strings, which are dealt out by their own hash, so that no bucket gathers all contexts of one passage.
+document of each run goes back to the blocks, which mark their bytes. A window with very many segments is cut into its single
+strings, which are dealt out by their own hash, so that no bucket gathers all contexts of one passage. Every block sends something to
+every bucket, so buckets are large and few, and only what is transformed at once is small.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ from doctables.sinks.stored import shared_folder, stored
 LENGTH = 50
 WINDOW = 20
 BLOCK_BYTES = 2 << 20
+#: Text that is transformed at once, about; a bucket has up to so many times as much.
 BUCKET_BYTES = 2 << 20
-HOT_BLOCKS = 64
+BUCKET_PARTS = 16
+#: A window of more segments is cut: its texts, of 50 to 80 bytes each, would take more than half of what is transformed at once.
+HOT_SEGMENTS = 1 << 14
 OPEN = np.iinfo(np.int64).min
 NO_ID = np.iinfo(np.int64).max
 
@@ -223,14 +227,14 @@ class Block:
 
 
 def _windows(block: Block, segments: Segments, buckets: int):
-    """The block's distinct windows by bucket and short key: bucket, short key, whether two of its documents have it; per segment its place."""
+    """The block's distinct windows by bucket and short key: bucket, short key, whether two of its documents have it, segments; per segment its place."""
     bucket, short = (segments.key % np.uint64(buckets)).astype(np.int64), (segments.key >> np.uint64(32)).astype(np.uint32)
     both, place = np.unique(bucket << 32 | short.astype(np.int64), return_inverse=True)
     low, high = np.full(len(both), NO_ID), np.full(len(both), np.iinfo(np.int64).min)
     ids = block.ids[segments.doc]
     np.minimum.at(low, place, ids)
     np.maximum.at(high, place, ids)
-    return both >> 32, (both & 0xFFFFFFFF).astype(np.uint32), low != high, place
+    return both >> 32, (both & 0xFFFFFFFF).astype(np.uint32), low != high, np.bincount(place, minlength=len(both)), place
 
 
 def _distinct(block: Block, segments: Segments, buckets: int):
@@ -257,7 +261,7 @@ def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from ((int(bucket[a]), int(a), int(b)) for a, b in zip(edge, [*edge[1:], len(bucket)]))
 
 
-def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_segments: int = HOT_SEGMENTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (starts and ends of removed runs, in bytes).
 
     Matches lie within texts. Missing and empty texts, and texts shorter than ``length``, lose nothing. A document without an id counts as
@@ -271,25 +275,29 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_b
     blocked(table, block_bytes).write.bucketBy(parts, "block").option("path", folder).saveAsTable(title)
     blocks = spark.table(title)
     total = blocks.select(F.sum(F.octet_length("sizes")), F.sum(F.octet_length("raw"))).first()
-    buckets = max(1, 2 * int(total[1] or 0) // bucket_bytes)
+    small = 2 * int(total[1] or 0) // bucket_bytes
+    buckets = max(1, min(small, max(parts, small // BUCKET_PARTS)))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _read(batches):
-            bucket, short, _, _ = _windows(block, block.segments(length, window), buckets)
+            bucket, short, _, n, _ = _windows(block, block.segments(length, window), buckets)
+            n = np.minimum(n, 0xFFFF).astype("<u2")
             cut = list(_pieces(bucket))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array([_pack(np.diff(short[a:b], prepend=np.uint32(0))) for _, a, b in cut], pa.binary())], names=["bucket", "block", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array([_pack(np.diff(short[a:b], prepend=np.uint32(0)), n[a:b]) for _, a, b in cut], pa.binary())], names=["bucket", "block", "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _gathered(batches, ("block", "keys")):
-            keys = [np.cumsum(_unpack(k, "<u4")[0], dtype=np.uint32) for k in rows["keys"]]
+            opened = [_unpack(k, "<u4", "<u2") for k in rows["keys"]]
+            keys = [np.cumsum(o[0], dtype=np.uint32) for o in opened]
             _, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            state = ((n > 1).astype(np.uint8) + (n > hot_blocks))[place]  # 1: other blocks have it, 2: very many have
+            many = np.bincount(place, np.concatenate([o[1] for o in opened])) > hot_segments
+            state = ((n > 1).astype(np.uint8) + ((n > 1) & many))[place]  # 1: other blocks have it, 2: and its segments are very many
             cut = np.cumsum([len(k) for k in keys])[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int64()), pa.array([bucket] * len(keys), pa.int32()), pa.array([_pack(s) for s in np.split(state, cut)], pa.binary())], names=["block", "bucket", "value"])
 
     def shared_segments(block: Block, states: list) -> Segments:
         segments = block.segments(length, window)
-        _, _, own, place = _windows(block, segments, buckets)
+        _, _, own, _, place = _windows(block, segments, buckets)
         state = np.concatenate([_unpack(x["value"], "u1")[0] for x in sorted(states, key=lambda x: x["bucket"])]) if states else np.zeros(0, np.uint8)
         segments.only(((state > 0) | own)[place], (state == 2)[place])
         return segments
@@ -316,17 +324,18 @@ def removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block_b
             first, bucket, _, low, _ = _distinct(block, segments, buckets)
             still = np.flatnonzero(_settled(settled) == OPEN)
             first, bucket, low = first[still], bucket[still], low[still]
+            top = (segments.key[first] >> np.uint64(56)).astype(np.uint8)  # rises within a bucket
             raw, start, size = block.data.tobytes(), segments.start[first], segments.strings[first] + length - 1
             out: list[list] = [[], [], []]
             for b, x, y in _pieces(bucket):
                 joined = b"".join([raw[s : s + n] for s, n in zip(start[x:y].tolist(), size[x:y].tolist())])
-                for column, value in zip(out, (b, number, _pack(np.frombuffer(joined, np.uint8), size[x:y].astype("<u4"), low[x:y]))):
+                for column, value in zip(out, (b, number, _pack(np.frombuffer(joined, np.uint8), size[x:y].astype("<u4"), low[x:y], top[x:y]))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["bucket", "block", "segments"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _gathered(batches, ("block", "segments")):
-            yield _answers(bucket, rows, length)
+            yield _answers(bucket, rows, length, bucket_bytes)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, states, settled, answers in _read(batches, "states", "settled", "answers"):
@@ -388,21 +397,30 @@ def _settled(rows: list | None) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _answers(bucket: int, rows: dict, length: int) -> pa.RecordBatch:
-    """For each block's segments of a bucket the smallest documents of their strings, as runs: number of runs, their lengths, documents."""
-    opened = [_unpack(x, "u1", "<u4", "<i8") for x in rows["segments"]]
-    text, size, low = (np.concatenate([o[k] for o in opened]) for k in range(3))
-    raw, end = text.tobytes(), np.cumsum(size, dtype=np.int64)
-    segments = [raw[b - n : b] for b, n in zip(end.tolist(), size.tolist())]
-    known: dict[bytes, int] = {}
-    number = np.array([known.setdefault(s, len(known)) for s in segments], np.int64)
-    least = np.full(len(known), NO_ID)
-    np.minimum.at(least, number, low)
-    found = smallest(list(known), least, length)
-    out, at = [], 0
-    for o in opened:
-        own = [found[k] for k in number[at : at + len(o[1])].tolist()]
-        at += len(o[1])
+def _answers(bucket: int, rows: dict, length: int, at_once: int) -> pa.RecordBatch:
+    """For each block's segments of a bucket the smallest documents of their strings, as runs: number of runs, their lengths, documents.
+
+    The bucket is worked through in parts of about ``at_once`` bytes; equal windows, and so equal strings, are in one part.
+    """
+    opened = [_unpack(x, "u1", "<u4", "<i8", "u1") for x in rows["segments"]]
+    held = np.bincount(np.concatenate([o[3] for o in opened]), np.concatenate([o[1] for o in opened]), 256)
+    part = ((np.cumsum(held) - held) // at_once).astype(np.int64)  # of each leading byte of a window's hash
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), 256]
+    ends = [np.concatenate(([0], np.cumsum(o[1], dtype=np.int64))) for o in opened]
+    runs: list[list] = [[] for _ in opened]
+    for low, high in zip(edges, edges[1:]):
+        cuts = [np.searchsorted(o[3], (low, high)) if high < 256 else np.array([np.searchsorted(o[3], low), len(o[3])]) for o in opened]
+        if not any(y > x for x, y in cuts):
+            continue
+        text = [o[0][e[x] : e[y]] for o, e, (x, y) in zip(opened, ends, cuts)]
+        size, docs = (np.concatenate([o[k][x:y] for o, (x, y) in zip(opened, cuts)]) for k in (1, 2))
+        found = _found(np.concatenate(text), size, docs, length)
+        at = 0
+        for own, (x, y) in zip(runs, cuts):
+            own += found[at : at + y - x]
+            at += y - x
+    out = []
+    for own in runs:
         line = np.concatenate(own)
         edge = np.ones(len(line), bool)
         edge[1:] = line[1:] != line[:-1]
@@ -412,6 +430,18 @@ def _answers(bucket: int, rows: dict, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "bucket", "value"])
 
 
+def _found(text: np.ndarray, size: np.ndarray, low: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each of the segments that stand end to end, the smallest document of each of its strings."""
+    raw, end = text.tobytes(), np.cumsum(size, dtype=np.int64)
+    segments = [raw[b - n : b] for b, n in zip(end.tolist(), size.tolist())]
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(s, len(known)) for s in segments], np.int64)
+    least = np.full(len(known), NO_ID)
+    np.minimum.at(least, number, low)
+    found = smallest(list(known), least, length)
+    return [found[k] for k in number.tolist()]
+
+
 def _marked(block: Block, segments: Segments, settled: np.ndarray, answers: list, buckets: int, length: int) -> pa.RecordBatch:
     """The block's documents with what is removed from each."""
     gone = np.zeros(len(block.data) + 1, np.int64)

@@ -61,3 +61,39 @@ def test_missing_ids_repeated_rows_empty_tables(spark):
     got = sorted((r.doc_id is None, r.doc_id, r.n_removed) for r in repeats.removed(spark.createDataFrame(some, SCHEMA)).collect())
     assert got == [(False, 3, 0), (False, 3, 0), (False, 4, 0), (False, 5, len(long)), (True, None, len(long))]
     assert repeats.removed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_blocks_send_to_few_buckets_and_frequent_windows_stay_whole(spark, monkeypatch):
+    """What is told does not grow with blocks times buckets, and a window of many blocks with few segments is not cut into its strings."""
+    phrase = "a phrase that very many texts have in common "
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    data = [(k, " ".join([word() for _ in range(12)] + [phrase] + [word() for _ in range(12)]), *[None] * 8) for k in range(300)]
+    data += [(300 + k, data[k][1], *[None] * 8) for k in range(20)]
+    sizes = []
+
+    def seen(table):
+        kept = original(table)
+        sizes.append(kept.selectExpr("sum(size(" + kept.columns[1] + "))").first()[0])
+        return kept
+
+    original = repeats.stored
+    monkeypatch.setattr(repeats, "stored", seen)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(spark.createDataFrame(data, SCHEMA).repartition(4), 50, 20, 400, 400).collect()}
+    assert got == brute(data, 50)
+    blocks = len(data)  # at most
+    assert max(sizes) <= blocks * 40  # 400 bytes at a time would be over 100 buckets
+
+
+def test_parts_of_a_bucket(spark):
+    """A bucket is transformed in parts, and its answers are those of the whole."""
+    rng = random.Random(7)
+    pieces = []
+    for block in range(3):
+        keys = np.sort(np.array([rng.randrange(256) for _ in range(40)], np.uint8))
+        text = [bytes([97 + k // 16, 97 + k % 16]) + bytes(rng.choice(b"XY") for _ in range(10)) for k in keys.tolist()]
+        pieces.append(repeats._pack(np.frombuffer(b"".join(text), np.uint8), np.full(40, 12, "<u4"), np.array([rng.randrange(50) for _ in keys], "<i8"), keys))
+    rows = {"block": [1, 2, 3], "segments": pieces}
+    whole = [[x.tolist() for x in repeats._unpack(v, "u1", "<i8")] for v in repeats._answers(0, rows, 12, 1 << 20).column("value").to_pylist()]
+    for at_once in (1, 100, 400):
+        assert [[x.tolist() for x in repeats._unpack(v, "u1", "<i8")] for v in repeats._answers(0, rows, 12, at_once).column("value").to_pylist()] == whole
