@@ -66,6 +66,8 @@ def _runs(words: DataFrame, keys: list[str], ord_col: str, sep: str) -> DataFram
 
     def some(values: pa.Array, size: np.ndarray, kept: np.ndarray) -> pa.ListArray:
         """Lists of so many values, null where not ``kept``."""
+        if not kept.any():
+            return pa.nulls(len(kept), pa.list_(values.type))
         ends = np.concatenate(([0], np.cumsum(np.where(kept, size, 0)))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), values.filter(pa.array(np.repeat(kept, size))), mask=pa.array(~kept))
 
@@ -80,15 +82,18 @@ def _runs(words: DataFrame, keys: list[str], ord_col: str, sep: str) -> DataFram
                 column = batch.column(k)
                 if pa.types.is_nested(column.type):
                     fresh[:] = True
+                elif pa.types.is_integer(column.type) and not column.null_count:
+                    fresh[1:] |= np.diff(column.to_numpy()) != 0
                 else:  # two nulls count as different here; runs of one cell come together later
                     fresh[1:] |= pc.fill_null(pc.not_equal(column.slice(0, n - 1), column.slice(1)), True).to_numpy(zero_copy_only=False)
             run, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
             place, text = batch.column(ord_col), batch.column("text")
             numbers = place.to_numpy() if whole and not place.null_count else None
-            order = None if numbers is None else np.lexsort((numbers, run))
+            order = None if numbers is None else np.arange(n) if ((np.diff(numbers) > 0) | fresh[1:]).all() else np.lexsort((numbers, run))
             if order is None or ((np.diff(numbers[order]) == 0) & (np.diff(run) == 0)).any():
                 order = pc.sort_indices(pa.table({"r": run, "p": place, "t": text}), [("r", "ascending"), ("p", "ascending"), ("t", "ascending")], null_placement="at_start").to_numpy()
-            order = order[text.is_valid().to_numpy(zero_copy_only=False)[order]]  # a missing word adds nothing to its cell
+            if text.null_count:  # a missing word adds nothing to its cell
+                order = order[text.is_valid().to_numpy(zero_copy_only=False)[order]]
             place, text, run = place.take(pa.array(order)), text.take(pa.array(order)), run[order]
             size = np.bincount(run, minlength=len(begin))
             ends = np.concatenate(([0], np.cumsum(size)))
@@ -149,14 +154,14 @@ def fill_columns(lines: DataFrame, cells: DataFrame, n_columns: int, keys: list[
     held = cells.groupBy(*keys).agg(F.collect_list(F.struct("col_no", *more)).alias("_cells"))
     some = F.coalesce("_cells", F.array().cast(held.schema["_cells"].dataType))
 
-    def column(i):
-        found = F.transform(F.filter(some, lambda c: c["col_no"] == i), lambda c: F.struct(i.alias("col_no"), *[F.coalesce(c[m], F.lit("")).alias(m) if m == "text" else c[m].alias(m) for m in more]))
+    def filled(found, i):
+        there = F.transform(found, lambda c: F.struct(i.alias("col_no"), *[F.coalesce(c[m], F.lit("")).alias(m) if m == "text" else c[m].alias(m) for m in more]))
         none = F.struct(i.alias("col_no"), *[(F.lit("") if m == "text" else F.lit(None).cast(cells.schema[m].dataType)).alias(m) for m in more])
-        return F.when(F.size(found) > 0, found).otherwise(F.array(none))
+        return F.when(F.size(found) > 0, there).otherwise(F.array(none))
 
     grid = lines.select(*keys).join(held, keys, "left")
-    columns = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), column))
-    return grid.select(*keys, F.explode(columns).alias("_at")).select(*keys, "_at.*")
+    by_column = F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda i: F.filter(some, lambda c: c["col_no"] == i))
+    return grid.select(*keys, F.explode(F.flatten(F.transform(by_column, filled))).alias("_at")).select(*keys, "_at.*")
 
 
 def skip_empty_lines(lines: DataFrame, words: DataFrame, keys: list[str] = LINE, keep_empty: bool = False) -> DataFrame:
