@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from doctables.sinks.shipped import ship_package
 
 FOLDERS = 256
+#: Compression of files by the extension that tells it.
+CODECS = {"": None, ".gz": "gzip", ".bz2": "bz2", ".zst": "zstd"}
 
 
 class _Tables:
@@ -59,7 +61,8 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, str, pa.RecordBatch]]:
         yield batch.column("_folder")[a].as_py(), batch.column("_name")[a].as_py(), content.slice(a, b - a)
 
 
-def _write(rows: DataFrame, path: str, name: str, form: Callable) -> None:
+def _write(rows: DataFrame, path: str, name: str, form: Callable, dealt: bool = False, packed: str = "") -> None:
+    """``dealt``: the rows of a name stand together, each in one task, and are not moved. ``packed``: the extension of compressed files."""
     ship_package(rows.sparkSession)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +83,8 @@ def _write(rows: DataFrame, path: str, name: str, form: Callable) -> None:
                         if folder not in made:
                             system.create_dir(at)
                             made.add(folder)
-                        target, beside = f"{at}/{file}", f"{at}/_{uuid4().hex}"
-                        last, out, n = file, form(system.open_output_stream(beside), content.schema), n + 1
+                        target, beside = f"{at}/{file}{packed}", f"{at}/_{uuid4().hex}"
+                        last, out, n = file, form(system.open_output_stream(beside, compression=CODECS[packed]), content.schema), n + 1
                     out.write(content)
             if out:
                 done()
@@ -92,7 +95,8 @@ def _write(rows: DataFrame, path: str, name: str, form: Callable) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
     named = rows.filter(F.col(name).isNotNull()).withColumn("_folder", F.pmod(F.xxhash64(name), F.lit(FOLDERS)).cast("int")).withColumnRenamed(name, "_name")
-    named.repartition("_folder", "_name").sortWithinPartitions("_folder", "_name").mapInArrow(written, "n long").agg(F.sum("n")).first()
+    placed = named if dealt else named.repartition("_folder", "_name").sortWithinPartitions("_folder", "_name")
+    placed.mapInArrow(written, "n long").agg(F.sum("n")).first()
 
 
 def write_table_files(rows: DataFrame, path: str, name: str = "file_name") -> None:
@@ -100,6 +104,10 @@ def write_table_files(rows: DataFrame, path: str, name: str = "file_name") -> No
     _write(rows, path, name, _Tables)
 
 
-def write_text_files(lines: DataFrame, path: str, name: str = "file_name", text: str = "value") -> None:
-    """A text file of the lines of every file name. Rows without a name are left out."""
-    _write(lines.select(name, text), path, name, _Texts)
+def write_text_files(lines: DataFrame, path: str, name: str = "file_name", text: str = "value", dealt: bool = False, packed: str = "") -> None:
+    """A text file of the lines of every file name. Rows without a name are left out.
+
+    ``dealt``: the lines of a name already stand together, each name in one task, and are written where they are. ``packed``: ``.gz`` or
+    another of ``CODECS``: files are compressed, and this stands behind their names.
+    """
+    _write(lines.select(name, text), path, name, _Texts, dealt, packed)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.functions.text import base_name, unescape_html, without_extension
+from doctables.functions.text import unescape_html, without_extension
+from doctables.sources.files import read_text_files
 
 PAGE = ["doc_id", "page_no"]
 
@@ -66,6 +67,8 @@ HOCR_WORD = r"""(?=<span\b[^>]*class=['"][^'"]*\bocrx_word\b)"""
 HOCR_BOX = r"bbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)"
 HOCR_CONFIDENCE = r"x_wconf (\d+(?:\.\d+)?)"
 SPAN_MARK = r"(?=</?span\b)"
+# --- fixed value: the extension of a compressed file, behind that of what it holds ---
+PACKED = r"(?<=.\.[^.]{1,9})\.(gz|bz2|zst)$"
 
 
 def _once(value: Column, use) -> Column:
@@ -129,8 +132,9 @@ def hocr_sheets(documents: DataFrame, hocr: str = "hocr", keys: list[str] = ["do
 def scan_hocr_words(spark: SparkSession, path: str, files: str = "*.hocr") -> DataFrame:
     """Read hOCR sidecar files, one per document and of any number of pages, as words.
 
-    ``doc_id`` is the name of the file without its extension, or that of its folder if folders are named ``doc_id=...``.
+    ``doc_id`` is the name of the file without its extension, or that of its folder if folders are named ``doc_id=...``. Files may be
+    compressed, which a second extension tells.
     """
-    found = spark.read.option("pathGlobFilter", files).text(path, wholetext=True)
-    name = F.col("doc_id") if "doc_id" in found.columns else without_extension(base_name(F.col("_metadata.file_path")))
+    found = read_text_files(spark, path, files, "doc_id")
+    name = F.when(F.col("named"), F.col("name")).otherwise(without_extension(F.regexp_replace("name", PACKED, "")))
     return parse_hocr(hocr_sheets(found.select(name.alias("doc_id"), F.col("value").alias("hocr"))))

@@ -156,7 +156,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_folder(spark)
     I.write_hocr(spark, sf, path)
-    return _hocr_words(words_src.scan_hocr_words(spark, path, "*.txt"))
+    return _hocr_words(words_src.scan_hocr_words(spark, path, "*.txt.gz"))
 
 
 def _hocr_words(words):
